@@ -8,7 +8,7 @@ from ..functions.nodes import NODES, attr, first, matches, raw_text
 from ..functions.text import _c, contains_any, ends_with_any, strip
 from ..functions.urls import resolve_url
 from ..sources.pages import parse_pages
-from .shared import first_per_key, skew_left_join
+from .shared import first_per_key, skew_join
 
 
 def is_false_positive(email) -> Column:
@@ -69,7 +69,7 @@ def with_contact_emails(records: DataFrame, by_url: DataFrame) -> DataFrame:
     records = records.withColumn("_need", need)
     wanted = records.where("_need is not null").select("_need").distinct()
     found = wanted.join(by_url.select(F.col("url").alias("_need"), F.col("email").alias("_found")), "_need")
-    return skew_left_join(records, found, "_need", ["page_id"]) \
+    return skew_join(records, found, "_need", ["page_id"]) \
         .withColumn("email", F.coalesce("email", "_found")).drop("_need", "_found")
 
 

@@ -38,14 +38,14 @@ def hot_keys(df: DataFrame, key: str, share: float = 0.001) -> DataFrame:
     return counts.where((F.col("_n") > total) & (F.col("_n") > 1)).select(key)
 
 
-def skew_left_join(left: DataFrame, right: DataFrame, key: str, spread_by, salts: int = 32) -> DataFrame:
-    """Left join against a right side that is unique per key, when a few keys may
-    hold most of the left rows.
-
-    Only hot keys are salted; the right side is replicated for those alone.
-    Rows without a key would all hash to one task, so they are spread too.
-    ``spread_by`` names columns that tell left rows apart: the salt is a function
-    of the row, so a re-run task sends each row to the same place.
+def skew_join(left: DataFrame, right: DataFrame, key: str, spread_by, how: str = "left", salts: int = 32) -> DataFrame:
+    """Join on one column when a few keys may hold most of the left rows.
+
+    Only hot keys are salted; the right side is replicated for those alone, so
+    it should be small per key (mostly: unique).  Rows without a key would all
+    hash to one task, so they are spread too.  ``spread_by`` names columns that
+    tell left rows apart: the salt is a function of the row, so a re-run task
+    sends each row to the same place.
     """
     hot = hot_keys(left, key).withColumn("_hot", F.lit(True))
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
@@ -54,30 +54,37 @@ def skew_left_join(left: DataFrame, right: DataFrame, key: str, spread_by, salts
     copies = right.join(F.broadcast(hot), key, "left").withColumn(
         "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
                            .otherwise(F.array(F.lit(0))))).drop("_hot")
-    return salted.join(copies, [key, "_salt"], "left").drop("_salt")
+    return salted.join(copies, [key, "_salt"], how).drop("_salt")
 
 
-def ranked(df: DataFrame, order: str, keys=(), name: str = "rank", width: int = 1_000_000) -> DataFrame:
-    """Exact 1-based row number over a unique ``long`` order, overall or per key.
+def running_total(df: DataFrame, order: str, value: Column, keys=(), name: str = "total",
+                  width: int = 1_000_000) -> DataFrame:
+    """Inclusive running sum in the order of a ``long`` that is unique per key.
 
     A window without keys, or with one hot key, would sort in a single task.
     Here the order is cut into ranges of ``width``; a range holds at most
-    ``width`` rows because the order is unique.  Rows are numbered inside their
-    range, and the running total of the range sizes (one row per key and range)
-    gives the offset.
+    ``width`` rows of a key because the order is unique.  Sums run inside each
+    range, and the running total over the ranges (one row per key and range)
+    gives each range its offset.
     """
     keys = list(keys)
     part = keys + ["_range"]
-    df = df.withColumn("_range", F.floor(F.col(order) / F.lit(width)))
-    sizes = df.groupBy(*part).agg(F.count("*").alias("_size"))
+    df = df.withColumn("_value", value.cast("long")).withColumn("_range", F.floor(F.col(order) / F.lit(width)))
+    sums = df.groupBy(*part).agg(F.sum("_value").alias("_sum"))
     before = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy("_range") \
         .rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
-    numbered = df.withColumn("_at", F.row_number().over(W.partitionBy(*part).orderBy(order)))
+    offsets = sums.withColumn("_offset", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    inside = W.partitionBy(*part).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    summed = df.withColumn("_at", F.sum("_value").over(inside)).drop("_value")
     same = [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in part]
-    joined = numbered.alias("n").join(offsets.alias("o"), same, "inner")
-    return joined.select(*[F.col(f"n.{c}") for c in df.columns if c != "_range"],
-                         (F.col("o._offset") + F.col("n._at")).cast("long").alias(name))
+    joined = summed.alias("n").join(offsets.alias("o"), same, "inner")
+    kept = [F.col(f"n.`{c}`") for c in df.columns if c not in ("_range", "_value")]
+    return joined.select(*kept, (F.col("o._offset") + F.col("n._at")).alias(name))
+
+
+def ranked(df: DataFrame, order: str, keys=(), name: str = "rank", width: int = 1_000_000) -> DataFrame:
+    """Exact 1-based row number over a unique ``long`` order, overall or per key."""
+    return running_total(df, order, F.lit(1), keys, name, width)
 
 
 def first_per_key(df: DataFrame, keys, order: Column) -> DataFrame:

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import extraction  # noqa: F401
+from . import extraction, maintenance, streams  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -420,7 +420,7 @@ def name_jsonld(spark, d):
     UNION ALL SELECT n * 2, 'Head ' || k, 60, 'h1' FROM {SITES} WHERE n % 5 = 3
     UNION ALL SELECT n * 2, 'Head ' || k, 70, 'header h1' FROM {SITES} WHERE n % 5 = 3""")
 def name_headers(spark, d):
-    return _name_candidates(parsed_sites(spark, d).drop("regex_emails"), names.header_candidates).where("method != '.brand'")
+    return _name_candidates(parsed_sites(spark, d).drop("regex_emails"), names.header_candidates)
 
 
 @query("name_meta", f"SELECT n * 2 AS page_id, 'OG ' || k AS value, 80::BIGINT AS score, 'og:site_name' AS method FROM {SITES} WHERE n % 5 = 2")

@@ -161,3 +161,43 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """One provided file is one split; spread it before per-row Python work."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, F.col(key))
+
+# ------------------------------------------------------------------ lead tables
+
+# A third of the named leads share one of forty names; some are really named
+# like a numbered repeat.
+LEADS = f"""
+SELECT n AS row_idx, raw_url, url, host, domain_key,
+  CASE WHEN n % 10 = 9 THEN NULL WHEN n % 20 = 7 THEN concat('Biz', CAST(n % 40 AS VARCHAR(20)), '_', CAST(n % 3 + 1 AS VARCHAR(20)))
+    WHEN n % 3 = 0 THEN concat('Biz', CAST(n % 40 AS VARCHAR(20))) ELSE concat('Biz Haus ', k) END AS business_name,
+  CASE WHEN n % 6 < 4 THEN concat('info', k, '@example.com') END AS email,
+  CASE WHEN n % 5 = 0 THEN concat(root, '/img/a.png') END AS logo,
+  CASE n % 4 WHEN 1 THEN concat('Roofing ', k, '; Tiling') WHEN 2 THEN concat('Roofing ', k, '; Tiling; Gardening') END AS services,
+  CASE WHEN n % 7 = 3 THEN concat('Request error: ', k) END AS error,
+  CASE WHEN n % 4 > 0 THEN n % 4 END AS stage,
+  CASE WHEN n % 2 = 1 AND n % 8 < 6 THEN '2024-02-01' WHEN n % 2 = 1 THEN '' END AS next_send,
+  CASE WHEN n % 3 > 0 THEN concat('https://sites.example.com/old/', k) END AS template_url
+FROM ({SITES}) s
+"""
+_FOLDER = """CASE n % 6 WHEN 0 THEN upper(concat('Biz Haus ', k)) WHEN 1 THEN concat('Werk_', k)
+    WHEN 2 THEN concat('Shop biz', k, '.example.net') WHEN 3 THEN concat('biz', k) WHEN 4 THEN concat('Biz_Haus_', k)
+    ELSE concat('my_biz', k, '_site') END"""
+# Published folders, and the map of some domains to them.
+FOLDERS = f"""
+SELECT n AS folder_idx, {_FOLDER} AS folder, concat('Site ', k, CASE WHEN n % 9 = 0 THEN ' HAUS' ELSE '' END) AS site_name,
+  lpad(CAST(n % 7 + 1 AS VARCHAR(20)), 6, '0') AS main_folder, CASE WHEN n % 11 = 5 THEN '' ELSE concat('in', k) END AS inner_folder,
+  CASE n % 3 WHEN 0 THEN 'elegant,minimalist,modern' WHEN 1 THEN 'elegant,modern' ELSE 'minimalist' END AS styles
+FROM ({SITES}) s
+"""
+DOMAIN_MAP = f"""
+SELECT domain_key AS domain, lpad(CAST(n % 9 + 1 AS VARCHAR(20)), 6, '0') AS main_folder, concat('biz', k) AS inner_folder,
+  {_FOLDER} AS ftp_name
+FROM ({SITES}) s WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')
+"""
+# Paths of generated files: two generations, three styles, one stray folder name.
+ARTIFACTS = f"""
+SELECT concat('/srv/out/', generation, '/', site, '/', style, '/index.html') AS path, generation, site, style FROM (
+  SELECT CASE WHEN c_nationkey < 12 THEN 'website_templates_20240301-101500' ELSE 'website_templates_20231231-235959' END AS generation,
+    CASE WHEN n % 13 = 0 THEN '__pycache__' ELSE concat('site_', k) END AS site, style
+  FROM ({SITES}) s CROSS JOIN (SELECT 'modern' AS style UNION ALL SELECT 'elegant' UNION ALL SELECT 'minimalist') t) x
+"""
