@@ -12,7 +12,7 @@ from ..functions import rules
 from ..functions.text import blank_to_null, or_default, strip
 from ..functions.urls import batch_folder, domain_key, domain_slug, first_label, netloc, site_url
 from .matching import first_contained, first_overlap
-from .shared import first_per_key, last_per_key, skew_join, union_all
+from .shared import first_per_key, last_per_key, materialize, skew_join, union_all
 
 
 def domain_map_left_join(leads: DataFrame, domain_map: DataFrame, counter: int) -> DataFrame:
@@ -66,7 +66,7 @@ def linkage_domain(domain_map: DataFrame, leads: DataFrame) -> DataFrame:
 
 def partial_match(leads: DataFrame, folders: DataFrame, domain_map: DataFrame) -> DataFrame:
     """Leads whose domain contains a folder name or lies in one; first folder wins."""
-    keyed = linkage_domain(domain_map, leads)
+    keyed = materialize(linkage_domain(domain_map, leads), "domains")
     low = folders.select(F.lower("folder").alias("_folder"), "folder_idx")
     hit = first_overlap(keyed.where("_domain is not null"), low, "_domain", "_folder", "folder_idx")
     full = hit.join(folders.select("folder_idx", "folder", "main_folder", "inner_folder"), "folder_idx")
@@ -77,9 +77,13 @@ def staged_linkage(leads: DataFrame, folders: DataFrame, domain_map: DataFrame)
     """The first stage that succeeds decides: 1 name, 2 domain map, 3 partial."""
     keys = leads.select("row_idx", "url", "business_name")
     columns = ["row_idx", "folder_idx", "folder", "main_folder", "inner_folder"]
-    by_name = name_exact_match(keys, folders).select(F.lit(1).cast("long").alias("stage"), *columns)
-    rest = keys.join(by_name.select("row_idx"), "row_idx", "left_anti")
-    by_map = domain_map_then_deployed(rest, folders, domain_map).select(F.lit(2).cast("long").alias("stage"), *columns)
+
+    def stage(n, links):
+        return materialize(links.select(F.lit(n).cast("long").alias("stage"), *columns), f"stage{n}")
+
+    by_name = stage(1, name_exact_match(keys, folders))
+    rest = materialize(keys.join(by_name.select("row_idx"), "row_idx", "left_anti"), "unlinked")
+    by_map = stage(2, domain_map_then_deployed(rest, folders, domain_map))
     rest = rest.join(by_map.select("row_idx"), "row_idx", "left_anti")
     by_part = partial_match(rest, folders, domain_map).select(F.lit(3).cast("long").alias("stage"), *columns)
     return union_all(by_name, by_map, by_part)
@@ -91,7 +95,7 @@ def folder_lead_containment(folders: DataFrame, leads: DataFrame) -> DataFrame:
     usable = leads.where(netloc(strip("url")) != "").select(
         "row_idx", F.lower(strip("business_name")).alias("_name")).where("_name != ''")
     shown = folders.withColumn("_shown", F.replace(F.lower("folder"), F.lit("_"), F.lit(" ")))
-    hit = first_overlap(shown, usable, "_shown", "_name", "row_idx")
+    hit = materialize(first_overlap(shown, usable, "_shown", "_name", "row_idx"), "hits")
     labels = leads.select("row_idx", first_label(domain_key("url")).alias("domain_label"))
     return skew_join(shown, hit.join(labels, "row_idx"), "_shown", ["folder_idx"], how="inner").drop("_shown")
 
@@ -99,10 +103,11 @@ def folder_lead_containment(folders: DataFrame, leads: DataFrame) -> DataFrame:
 def folder_domain_containment(folders: DataFrame, leads: DataFrame) -> DataFrame:
     """Domain label for each folder: from a lead whose name matches, else from
     the first lead whose label lies in the folder name, else from the folder itself."""
-    by_name = folder_lead_containment(folders, leads).select("folder_idx", "domain_label", F.lit("name").alias("source"))
+    by_name = materialize(folder_lead_containment(folders, leads).select(
+        "folder_idx", "domain_label", F.lit("name").alias("source")), "by_name")
     labels = leads.select("row_idx", first_label(domain_key("url")).alias("_label"))
-    rest = folders.join(by_name.select("folder_idx"), "folder_idx", "left_anti") \
-        .withColumn("_joined", F.replace(F.lower("folder"), F.lit("_"), F.lit("")))
+    rest = materialize(folders.join(by_name.select("folder_idx"), "folder_idx", "left_anti").select(
+        "folder_idx", "folder", F.replace(F.lower("folder"), F.lit("_"), F.lit("")).alias("_joined")), "unnamed")
     hit = first_contained(rest, labels.where("_label is not null"), "_joined", "_label", "row_idx")
     answer = hit.join(labels, "row_idx").select("_joined", F.col("_label").alias("domain_label"))
     by_label = skew_join(rest, answer, "_joined", ["folder_idx"]).select(

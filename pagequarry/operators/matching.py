@@ -40,14 +40,20 @@ def first_containing(short: DataFrame, long: DataFrame, s: str, t: str, order: s
 
 
 def first_contained(long: DataFrame, short: DataFrame, t: str, s: str, order: str) -> DataFrame:
-    """For each distinct ``t``, the lowest ``order`` of an ``s`` inside it."""
+    """For each distinct ``t``, the lowest ``order`` of an ``s`` inside it.
+
+    ``s`` is unique on its side, so a substring that many strings share can only
+    make the listing side hot, and adaptive execution splits that side of an
+    inner join.
+    """
     firsts = short.where(f"{s} != ''").groupBy(s).agg(F.min(order).alias(order))
     parts = substrings(long.select(t).distinct(), t, lengths(short, s), s)
-    return skew_join(parts, firsts, s, [t], how="inner").groupBy(t).agg(F.min(order).alias(order))
+    return parts.join(firsts, s).groupBy(t).agg(F.min(order).alias(order))
 
 
 def first_overlap(left: DataFrame, right: DataFrame, a: str, b: str, order: str) -> DataFrame:
     """For each distinct ``a``, the lowest ``order`` of a ``b`` that contains it or lies in it."""
+    left, right = materialize(left.select(a).distinct()), materialize(right.groupBy(b).agg(F.min(order).alias(order)))
     both = first_containing(left, right, a, b, order).unionByName(first_contained(left, right, a, b, order))
     return both.groupBy(a).agg(F.min(order).alias(order))
 

@@ -30,31 +30,36 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def hot_keys(df: DataFrame, key: str, share: float = 0.001) -> DataFrame:
-    """Keys holding more than ``share`` of the rows.  At most ``1/share`` rows by
-    construction, which is what makes broadcasting them safe."""
+def hot_keys(df: DataFrame, key: str, rows: int = 100_000, most: int = 1000) -> list:
+    """The keys with more than ``rows`` rows, hottest first.
+
+    At most ``most`` of them: any key beyond has less than ``1/most`` of all
+    rows, which one task can hold.  One aggregate with map-side combine; only
+    this bounded list reaches the driver.
+    """
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n").alias("t")).select(F.col("t") * F.lit(share)).scalar()
-    return counts.where((F.col("_n") > total) & (F.col("_n") > 1)).select(key)
+    return [r[0] for r in counts.where(F.col("_n") > rows).orderBy(F.desc("_n")).limit(most).collect()]
 
 
-def skew_join(left: DataFrame, right: DataFrame, key: str, spread_by, how: str = "left", salts: int = 32) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, key: str, spread_by, how: str = "left", salts: int = 32,
+              hot_rows: int = 100_000) -> DataFrame:
     """Join on one column when a few keys may hold most of the left rows.
 
     Only hot keys are salted; the right side is replicated for those alone, so
-    it should be small per key (mostly: unique).  Rows without a key would all
-    hash to one task, so they are spread too.  ``spread_by`` names columns that
-    tell left rows apart: the salt is a function of the row, so a re-run task
-    sends each row to the same place.
+    it should be small per key (mostly: unique).  Left rows without a key would
+    all hash to one task, so they are spread too.  ``spread_by`` names columns
+    that tell left rows apart: the salt is a function of the row, so a re-run
+    task sends each row to the same place.  The left side is read twice:
+    materialize it first if it is expensive.
     """
-    hot = hot_keys(left, key).withColumn("_hot", F.lit(True))
+    hot = hot_keys(left, key, hot_rows)
+
+    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-    salted = left.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | F.col(key).isNull(), salt).otherwise(F.lit(0))).drop("_hot")
-    copies = right.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
-                           .otherwise(F.array(F.lit(0))))).drop("_hot")
-    return salted.join(copies, [key, "_salt"], how).drop("_salt")
+    salted = left.withColumn("_salt", F.when(F.col(key).isNull() | is_hot, salt).otherwise(F.lit(0)))
+    copies = F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))) \
+        if hot else F.lit(0)
+    return salted.join(right.withColumn("_salt", copies), [key, "_salt"], how).drop("_salt")
 
 
 def running_total(df: DataFrame, order: str, value: Column, keys=(), name: str = "total",
