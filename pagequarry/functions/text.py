@@ -1,7 +1,8 @@
 """String helpers as native column expressions."""
 
-from functools import reduce
+from functools import reduce, wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +15,25 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def built_once(build):
+    """Keep the expression of a builder called with plain arguments.
+
+    A page expression has thousands of parts, each a call into the JVM to
+    create.  Expressions are immutable and belong to no session or plan.
+    """
+    kept = {}
+
+    @wraps(build)
+    def get(*args):
+        if not all(isinstance(a, str) for a in args):
+            return build(*args)
+        key = (id(SparkContext._gateway), args)
+        if key not in kept:
+            kept[key] = build(*args)
+        return kept[key]
+    return get
+
+
 def let(value: Column, body) -> Column:
     """Bind an expression to a name: it is evaluated once and appears once in
     the plan, however often ``body`` uses it."""

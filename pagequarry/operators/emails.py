@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.nodes import NODES, attr, first, matches, raw_text
-from ..functions.text import _c, contains_any, ends_with_any, strip
+from ..functions.text import built_once, _c, contains_any, ends_with_any, strip
 from ..functions.urls import resolve_url
 from ..sources.pages import parse_pages
 from .shared import first_per_key, skew_join
@@ -17,6 +17,7 @@ def is_false_positive(email) -> Column:
         | e.startswith(rules.EMAIL_REJECT_PREFIXES[0]) | e.startswith(rules.EMAIL_REJECT_PREFIXES[1])
 
 
+@built_once
 def regex_emails(raw) -> Column:
     """All plausible addresses in raw text, in order.  Texts without ``@`` skip
     the regex, whose cost grows with the square of long unbroken runs."""
@@ -33,26 +34,31 @@ def mailto_address(href: Column) -> Column:
     return F.when(F.coalesce(host.contains("."), F.lit(False)), email)
 
 
+@built_once
 def mailto_emails(nodes=NODES) -> Column:
     links = F.filter(nodes, lambda n: matches(n, 'a[href^="mailto:"]'))
     return F.filter(F.transform(links, lambda n: mailto_address(attr(n, "href"))), lambda e: e.isNotNull())
 
 
+@built_once
 def contact_href(nodes=NODES, words=rules.CONTACT_LINK_WORDS) -> Column:
     """Target of the first link whose text names a contact page."""
     return first(F.filter(nodes, lambda n: (n["tag"] == "a") & attr(n, "href").isNotNull()
                           & contains_any(F.lower(raw_text(n)), words)))["attrs"]["href"]
 
 
+@built_once
 def page_emails(regex: str = "regex_emails") -> Column:
     """All addresses of a page, mailto links before plain text, without repeats."""
     return F.array_distinct(F.concat(mailto_emails(), F.col(regex)))
 
 
+@built_once
 def own_email(regex: str = "regex_emails") -> Column:
     return first(page_emails(regex))
 
 
+@built_once
 def contact_url() -> Column:
     return resolve_url(F.col("url"), contact_href())
 

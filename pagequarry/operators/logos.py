@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.nodes import (NODES, ancestors, attr, attr_filled, best, first, json_ld, json_string, matches_rule,
                                parent, rule_table)
-from ..functions.text import let
+from ..functions.text import built_once, let
 from ..functions.urls import is_image_url, resolve_url
 
 _CANDIDATES = "array<struct<value:string,score:int,method:string>>"
@@ -29,6 +29,7 @@ def image_score(img: Column, nodes=NODES, s=rules.LOGO_SCORES) -> Column:
         + bonus(home_link, s["home_link"]))
 
 
+@built_once
 def images(nodes=NODES, base_url=None) -> Column:
     """The page's usable images with their score and ancestors."""
     base_url = F.col("url") if base_url is None else base_url
@@ -44,6 +45,7 @@ def images(nodes=NODES, base_url=None) -> Column:
     return F.filter(found, lambda i: is_image_url(i["value"]))
 
 
+@built_once
 def selector_candidates(imgs="imgs", selectors=rules.LOGO_SELECTORS) -> Column:
     """Images matched by each selector in turn; one image may appear several times."""
     return F.flatten(F.transform(rule_table(selectors), lambda r: F.transform(
@@ -58,6 +60,7 @@ def _single(value: Column, score: int, method: str) -> Column:
         v.alias("value"), F.lit(score).alias("score"), F.lit(method).alias("method")))).otherwise(none))
 
 
+@built_once
 def icon_candidates(nodes=NODES) -> Column:
     link = first(F.filter(nodes, lambda n: (n["tag"] == "link") & F.exists(
         F.split(F.lower(F.coalesce(attr(n, "rel"), F.lit(""))), r"\s+"),
@@ -66,6 +69,7 @@ def icon_candidates(nodes=NODES) -> Column:
     return _single(resolve_url(F.col("url"), href), rules.LOGO_SCORES["icon"], "icon")
 
 
+@built_once
 def og_image_candidates(nodes=NODES) -> Column:
     tag = first(F.filter(nodes, lambda n: (n["tag"] == "meta")
                          & F.coalesce(attr(n, "property") == "og:image", F.lit(False))))
@@ -73,12 +77,14 @@ def og_image_candidates(nodes=NODES) -> Column:
     return _single(resolve_url(F.col("url"), content), rules.LOGO_SCORES["og_image"], "og:image")
 
 
+@built_once
 def json_ld_candidates(nodes=NODES) -> Column:
     urls = F.transform(json_ld(nodes), lambda v: resolve_url(F.col("url"), json_string(v, "$.logo")))
     return F.transform(F.filter(urls, lambda u: u.isNotNull() & is_image_url(u)), lambda u: F.struct(
         u.alias("value"), F.lit(rules.LOGO_SCORES["json_ld"]).alias("score"), F.lit("json-ld").alias("method")))
 
 
+@built_once
 def logo_candidates() -> Column:
     return F.concat(selector_candidates(), icon_candidates(), og_image_candidates(), json_ld_candidates())
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.nodes import (NODES, best, candidate, first, json_is_object, json_ld, json_string, meta_content,
                                present, rule_table, select, select_rule, text_of)
-from ..functions.text import _c, blank_to_null, let, strip
+from ..functions.text import built_once, _c, blank_to_null, let, strip
 from ..functions.urls import domain_display_name
 
 
@@ -19,11 +19,13 @@ def clean_title(title) -> Column:
     return blank_to_null(strip(F.regexp_replace(strip(title), "(?Ud)" + rules.TITLE_TAIL_PATTERN, "")))
 
 
+@built_once
 def title_candidates(nodes=NODES) -> Column:
     title = first(select("title", nodes))
     return present([candidate(clean_title(text_of(title)), rules.NAME_TITLE_SCORE, "title")])
 
 
+@built_once
 def json_ld_candidates(nodes=NODES) -> Column:
     def of_one(v):
         def long_enough(s):
@@ -40,6 +42,7 @@ def _fits(value: Column) -> Column:
     return let(value, lambda v: F.when(F.char_length(v).between(*rules.NAME_LENGTH), v))
 
 
+@built_once
 def header_candidates(nodes=NODES, table=rules.NAME_HEADER_RULES) -> Column:
     """The first match of each rule, if its text has a name's length."""
     rows = rule_table([s for s, _ in table], [score for _, score in table])
@@ -49,15 +52,18 @@ def header_candidates(nodes=NODES, table=rules.NAME_HEADER_RULES) -> Column:
     return F.filter(found, lambda c: c["value"].isNotNull())
 
 
+@built_once
 def meta_candidates(nodes=NODES, table=rules.NAME_META_RULES) -> Column:
     return present([candidate(_fits(meta_content([("property", p), ("name", p)], nodes)), score, p)
                     for p, score in table])
 
 
+@built_once
 def domain_candidates(url="url") -> Column:
     return present([candidate(domain_display_name(url), rules.NAME_DOMAIN_SCORE, "domain")])
 
 
+@built_once
 def name_candidates() -> Column:
     return F.concat(title_candidates(), json_ld_candidates(), header_candidates(), meta_candidates(),
                     domain_candidates())
@@ -69,6 +75,7 @@ def with_name(parsed):
         .withColumn("business_name", best(F.col("name_candidates")))
 
 
+@built_once
 def native_name(html, url) -> Column:
     """Title and domain only, straight from raw HTML: no parsing, all native."""
     return best(F.concat(present([candidate(clean_title(title_from_raw_html(html)), rules.NAME_TITLE_SCORE, "title")]),

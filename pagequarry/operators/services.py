@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.nodes import (NODES, attr, descendants, first, matches_step, meta_content, next_sibling, raw_text,
                                rule_table, siblings_until_heading, text_of)
-from ..functions.text import (contains_any, drop_near_duplicates, is_service_text, let, split_on_first_separator,
+from ..functions.text import (built_once, contains_any, drop_near_duplicates, is_service_text, let, split_on_first_separator,
                               strip)
 
 
@@ -31,17 +31,20 @@ def _card_titles(cards: Column, nodes: Column) -> Column:
     return F.filter(titles, lambda t: F.coalesce(is_service_text(t), F.lit(False)))
 
 
+@built_once
 def labelled(nodes=NODES) -> Column:
     """Nodes with a class or an id: the only ones a section selector can match."""
     return F.filter(nodes, lambda n: (F.size(n["classes"]) > 0) | n["id"].isNotNull())
 
 
+@built_once
 def sections(from_nodes="labelled", selectors=rules.SERVICE_SECTION_SELECTORS) -> Column:
     """Matches of every selector in turn; a section may appear more than once."""
     return F.flatten(F.transform(rule_table(selectors), lambda r: F.filter(
         from_nodes, lambda n: matches_step(n, r["last"]))))
 
 
+@built_once
 def section_services(nodes=NODES, found="sections") -> Column:
     def items(s):
         return _texts(F.slice(F.filter(descendants(s, nodes), lambda n: n["tag"].isin(rules.SECTION_ITEM_TAGS)),
@@ -54,6 +57,7 @@ def section_services(nodes=NODES, found="sections") -> Column:
     return F.flatten(F.transform(found, lambda s: F.concat(items(s), cards(s))))
 
 
+@built_once
 def heading_services(nodes=NODES, keywords=rules.SERVICE_HEADING_KEYWORDS) -> Column:
     headings = F.slice(F.filter(nodes, lambda n: n["tag"].isin("h1", "h2", "h3", "h4")), 1, rules.HEADING_LIMIT)
     telling = F.filter(headings, lambda h: contains_any(F.lower(raw_text(h)), keywords))
@@ -74,6 +78,7 @@ def heading_services(nodes=NODES, keywords=rules.SERVICE_HEADING_KEYWORDS) -> Co
         F.transform(siblings_until_heading(h, nodes), of_sibling))))
 
 
+@built_once
 def phrase_paragraphs(nodes=NODES, phrases=rules.SERVICE_PHRASES) -> Column:
     """Texts of paragraphs with a telling phrase, each with the paragraph right after it."""
     ps = F.slice(F.filter(nodes, lambda n: n["tag"] == "p"), 1, rules.PARAGRAPH_LIMIT)
@@ -112,22 +117,35 @@ def description_services(description: Column, patterns=rules.DESCRIPTION_PATTERN
 
 def with_raw_services(parsed):
     """Adds the raw items of each method: ``services_m1`` … ``services_m4``."""
-    n1, n2, n3 = (F.size(F.col(f"services_m{i}")) for i in (1, 2, 3))
-    description = meta_content([("name", "description"), ("property", "og:description")])
+    methods = service_methods()
     return (parsed
             .withColumn("labelled", labelled()).withColumn("sections", sections())
-            .withColumn("services_m1", section_services())
-            .withColumn("services_m2", F.when(n1 < 3, heading_services()).otherwise(_none()))
-            .withColumn("services_m3", F.when(n1 + n2 < 2, paragraph_services(phrase_paragraphs(), n1 + n2)).otherwise(_none()))
-            .withColumn("services_m4", F.when(n1 + n2 + n3 < 2, description_services(description)).otherwise(_none()))
+            .withColumn("services_m1", section_services()).withColumn("services_m2", methods[0])
+            .withColumn("services_m3", methods[1]).withColumn("services_m4", methods[2])
             .drop("labelled", "sections"))
 
 
+@built_once
+def service_methods():
+    """Methods 2 to 4, each gated by the raw count of the ones before."""
+    n1, n2, n3 = (F.size(F.col(f"services_m{i}")) for i in (1, 2, 3))
+    description = meta_content([("name", "description"), ("property", "og:description")])
+    return (F.when(n1 < 3, heading_services()).otherwise(_none()),
+            F.when(n1 + n2 < 2, paragraph_services(phrase_paragraphs(), n1 + n2)).otherwise(_none()),
+            F.when(n1 + n2 + n3 < 2, description_services(description)).otherwise(_none()))
+
+
+@built_once
 def raw_services() -> Column:
     return F.concat("services_m1", "services_m2", "services_m3", "services_m4")
 
 
+@built_once
+def kept_services() -> Column:
+    return drop_near_duplicates(raw_services())
+
+
 def with_services(parsed):
     """Adds ``service_list`` (array) and ``services`` (joined, NULL if none)."""
-    return with_raw_services(parsed).withColumn("service_list", drop_near_duplicates(raw_services())) \
+    return with_raw_services(parsed).withColumn("service_list", kept_services()) \
         .withColumn("services", F.nullif(F.array_join("service_list", "; "), F.lit("")))

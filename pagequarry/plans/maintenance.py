@@ -505,7 +505,17 @@ def log_level_counts(spark, d):
 
 # ------------------------------------------------------------------ order and windows
 
-@query("unique_folder_suffix")
+@query("unique_folder_suffix", f"""
+    WITH RECURSIVE o AS (
+        SELECT row_number() OVER (ORDER BY row_idx) AS i, row_idx, replace(coalesce(business_name, replace(host, ':', '')), ' ', '_') AS name FROM {LEADS} l),
+      r AS (
+        SELECT 0::BIGINT AS i, NULL::BIGINT AS row_idx, NULL::VARCHAR AS name, NULL::VARCHAR AS folder, []::VARCHAR[] AS used
+        UNION ALL SELECT i, row_idx, name, folder, list_append(used, folder) FROM (
+          SELECT i, row_idx, name, used, CASE WHEN NOT list_contains(used, name) THEN name ELSE name || '_' ||
+              list_min(list_filter(range(1, len(kin) + 2), lambda x: NOT list_contains(kin, name || '_' || x))) END AS folder
+          FROM (SELECT o.i, o.row_idx, o.name, r.used, list_filter(r.used, lambda u: starts_with(u, o.name || '_')) AS kin
+                FROM r JOIN o ON o.i = r.i + 1)))
+    SELECT row_idx, name, folder FROM r WHERE i > 0""")
 def unique_folder_suffix(spark, d):
     return maintain.unique_folders(maintain.folder_names(leads(spark, d)))
 
