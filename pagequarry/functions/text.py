@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from . import rules
 
-_WS = r"[\s\x1c-\x1f]"
+_WS = r"(?U)[\s\x1c-\x1f]"  # white space as Python's ``str.isspace`` has it
 
 
 def _c(col) -> Column:
@@ -42,17 +42,17 @@ def let(value: Column, body) -> Column:
 
 def strip(col) -> Column:
     """Trim Unicode white space; plain ``trim`` only removes blanks."""
-    return F.regexp_replace(_c(col), rf"(?U)^{_WS}+|{_WS}+$", "")
+    return F.regexp_replace(_c(col), rf"^{_WS}+|{_WS}+$", "")
 
 
 def squeeze(col) -> Column:
     """Collapse every run of white space to one blank and trim."""
-    return F.trim(F.regexp_replace(_c(col), rf"(?U){_WS}+", " "))
+    return F.trim(F.regexp_replace(_c(col), rf"{_WS}+", " "))
 
 
 def words(col) -> Column:
     """Distinct words of a text, in order of first appearance."""
-    return F.array_distinct(F.filter(F.split(squeeze(col), " "), lambda w: w != ""))
+    return F.array_distinct(F.filter(F.split(_c(col), _WS + "+"), lambda w: w != ""))
 
 
 def capitalized(col) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import jaccard, words
+from ..functions.text import jaccard, let, words
 from .shared import materialize, skew_join, union_all
 
 
@@ -65,7 +65,7 @@ def ordered_words(words_col, common) -> Column:
     common ones from rare to frequent.  Any total order keeps prefix filtering
     exact; this one keeps frequent words out of the prefixes without joining
     word counts back to the documents."""
-    rare = F.array_sort(F.transform(F.array_except(words_col, common),
+    rare = F.sort_array(F.transform(F.array_except(words_col, common),
                                     lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w"))))
     return F.concat(F.transform(rare, lambda x: x["w"]), F.array_intersect(common, words_col))
 
@@ -74,14 +74,32 @@ def common_words(sets: DataFrame, k: int = 1000) -> Column:
     """The ``k`` most frequent words, rarest first, as one constant array."""
     top = sets.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")) \
         .orderBy(F.desc("n"), "w").limit(k)
-    return top.agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "w"))), lambda x: x["w"]).alias("c")).scalar()
+    return top.agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "w"))), lambda x: x["w"]).alias("c")).scalar()
+
+
+def parity_bits(words_col, parts: int = 8) -> Column:
+    """A word set as ``64 * parts`` bits; each word flips one.
+
+    Flips cancel, so the bits in which two sets differ are at most the words in
+    which they differ: a lower bound on the difference, whatever the set size.
+    """
+    def flip(acc, h):
+        bit = F.pmod(F.shiftright(h, 8), F.lit(64)).cast("int")
+        return acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit))
+
+    def part(hashes, i):
+        mine = F.filter(hashes, lambda h: F.pmod(h, F.lit(parts)) == i)
+        return F.aggregate(mine, F.lit(0).cast("long"), flip).alias(f"bits{i}")
+
+    return let(F.transform(words_col, lambda w: F.xxhash64(w)),
+               lambda hashes: F.struct(*[part(hashes, i) for i in range(parts)]))
 
 
 def copy_groups(texts: DataFrame, id_col: str, text_col: str):
     """Split texts into one representative per distinct word set, and links from
     every copy to its representative.  A group of copies stays linear."""
     sets = texts.select(F.col(id_col).alias("id"), words(F.lower(text_col)).alias("words")).where(F.size("words") > 0)
-    keyed = materialize(sets.withColumn("key", F.sha2(F.array_join(F.array_sort("words"), " "), 256)), "wordsets")
+    keyed = materialize(sets.withColumn("key", F.sha2(F.array_join(F.sort_array("words"), " "), 256)), "wordsets")
     reps = keyed.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     copies = skew_join(keyed.select("id", "key"), reps.where("copies > 1").drop("copies"), "key", ["id"], how="inner") \
         .where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
@@ -94,23 +112,30 @@ def jaccard_pairs(sets: DataFrame, threshold: float = rules.SERVICE_SIMILARITY)
 
     Two sets above the threshold share a word among the first
     ``n - ceil(t n) + 1`` of each; sizes and positions bound the overlap that is
-    still possible, and only surviving pairs meet the full word sets.
+    still possible, parity bits bound the difference, and only surviving pairs
+    meet the full word sets.
     """
     ordered = sets.withColumn("common", common_words(sets)).select(
-        "id", F.size("words").alias("n"), ordered_words("words", "common").alias("w"))
+        "id", F.size("words").alias("n"), ordered_words("words", "common").alias("w"), parity_bits("words").alias("bits"))
     # Different sets this small cannot exceed the threshold: n/(n+1) is too low.
     smallest = threshold / (1 - threshold)
     prefix = F.slice("w", F.lit(1), F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1)
-    tokens = materialize(ordered.where(F.col("n") > smallest).select(
-        "id", "n", F.posexplode(prefix).alias("pos", "word")), "prefixes")
-    left = tokens.select("word", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("p_a"))
-    right = tokens.select("word", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("p_b"))
-    need = (F.col("n_a") + F.col("n_b")) * threshold / (1 + threshold)
-    possible = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
-    found = skew_join(left, right, "word", ["a"], how="inner") \
-        .where((F.col("a") < F.col("b")) & (possible > need - 1e-9)
-               & (F.col("n_a") > F.col("n_b") * threshold) & (F.col("n_b") > F.col("n_a") * threshold)) \
-        .select("a", "b").distinct()
+    tokens = materialize(ordered.where(F.col("n") > smallest - 1e-9).select(
+        "id", "n", "bits.*", F.posexplode(prefix).alias("pos", "word")), "prefixes")
+
+    bits = [c for c in tokens.columns if c.startswith("bits")]
+
+    def side(s):
+        return tokens.select("word", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "pos", *bits)])
+
+    total = F.col("n_a") + F.col("n_b")
+    possible = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    differing = sum(F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in bits)
+    found = skew_join(side("a"), side("b"), "word", ["id_a"], how="inner") \
+        .where((F.col("id_a") < F.col("id_b")) & (possible > total * threshold / (1 + threshold) - 1e-9)
+               & (F.col("n_a") > F.col("n_b") * threshold) & (F.col("n_b") > F.col("n_a") * threshold)
+               & (differing < total * (1 - threshold) / (1 + threshold) + 1e-9)) \
+        .select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
     full = found.join(sets.select(F.col("id").alias("a"), F.col("words").alias("w_a")), "a") \
         .join(sets.select(F.col("id").alias("b"), F.col("words").alias("w_b")), "b")
     return full.withColumn("similarity", jaccard(F.col("w_a"), F.col("w_b"))) \
@@ -136,7 +161,7 @@ def similar_names(names: DataFrame, col: str) -> DataFrame:
         F.lit(rules.CONTAINMENT_SIMILARITY).alias("similarity"))
     sets = distinct.select(F.col("s").alias("id"), words("s").alias("words")).where(F.size("words") > 0)
     # Different names with one word set are similar too; link them in a chain's place by their first name.
-    groups = sets.withColumn("key", F.array_join(F.array_sort("words"), " "))
+    groups = sets.withColumn("key", F.array_join(F.sort_array("words"), " "))
     firsts = groups.groupBy("key").agg(F.min("id").alias("first"))
     same = groups.join(firsts, "key").where("id != first").select(
         F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))

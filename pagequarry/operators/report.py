@@ -122,7 +122,7 @@ def send_result_summary(results: DataFrame) -> DataFrame:
 def styles_per_site(artifacts: DataFrame) -> DataFrame:
     """Styles of each site, by name; a site has few styles, so each list is short."""
     return artifacts.select("generation", "site", "style").distinct().groupBy("generation", "site") \
-        .agg(F.array_sort(F.collect_list("style")).alias("styles"))
+        .agg(F.sort_array(F.collect_list("style")).alias("styles"))
 
 
 def gallery_stats(sites: DataFrame) -> DataFrame:
@@ -135,7 +135,7 @@ def generation_summary(outcomes: DataFrame, k: int = rules.ERROR_PREVIEW) -> Dat
     counts = outcomes.agg(F.count_if(F.col("error").isNull()).alias("processed"),
                           F.count_if(F.col("error").isNotNull()).alias("skipped"))
     shown = first_errors(outcomes, k).agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("row_idx", "error"))), lambda e: e["error"]).alias("errors"))
+        F.sort_array(F.collect_list(F.struct("row_idx", "error"))), lambda e: e["error"]).alias("errors"))
     more = F.when(F.col("skipped") > k, F.concat(
         F.lit("...and "), (F.col("skipped") - k).cast("string"), F.lit(" more errors")))
     return counts.withColumn("errors", shown.scalar()).withColumn("more", more)
