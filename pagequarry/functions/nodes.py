@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from .text import let, strip
 
+NODE_TYPE = ("struct<node_id:int,end_id:int,parent_id:int,depth:int,tag:string,id:string,"
+             "classes:array<string>,attrs:map<string,string>,text_start:int,text_len:int,raw:string>")
+
 NODES, TEXT = "nodes", "text"  # default column names
 _SIMPLE = re.compile(r'(\w+)?(?:\.([\w-]+))?(?:#([\w-]+))?(?:\[(\w+)([*^])="([^"]*)"( i)?\])?')
 
@@ -65,8 +68,14 @@ def inside(n: Column, a: Column) -> Column:
 
 
 def ancestors(n: Column, nodes=NODES) -> Column:
-    """Proper ancestors, outermost first.  They all precede the node."""
-    return F.filter(F.slice(nodes, F.lit(1), n["node_id"] - 1), lambda a: n["node_id"] <= a["end_id"])
+    """Proper ancestors, innermost first: follows the parent links, one step per level."""
+    def up(s, _):
+        above = F.element_at(nodes, s["at"])
+        return F.struct(above["parent_id"].alias("at"), F.array_append(s["seen"], above).alias("seen"))
+    start = F.struct(n["parent_id"].alias("at"), F.array().cast(f"array<{NODE_TYPE}>").alias("seen"))
+    return F.when(n["depth"] > 0, F.aggregate(
+        F.sequence(F.lit(1), F.greatest(n["depth"], F.lit(1))), start, up, lambda s: s["seen"])) \
+        .otherwise(F.array().cast(f"array<{NODE_TYPE}>"))
 
 
 def rule_table(selectors, scores=None) -> Column:

@@ -14,11 +14,11 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.nodes import NODE_TYPE
+
 # The parser travels inside the task, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-NODE_TYPE = ("struct<node_id:int,end_id:int,parent_id:int,depth:int,tag:string,id:string,"
-             "classes:array<string>,attrs:map<string,string>,text_start:int,text_len:int,raw:string>")
 PARSED_COLUMNS = f"text string, nodes array<{NODE_TYPE}>, parse_error string"
 
 # ---- Fixed values: HTML void elements, and elements whose text stays out of
