@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import nodes as N
 from ..functions import rules, text, urls
 from ..operators import emails, logos, names, records, report, services, structure
+from ..operators.shared import skew_join
 from ..sources import pages as page_source
 from . import fixtures as fx
 from .registry import query
@@ -528,7 +529,8 @@ def page_contact_join(spark, d):
     links = parsed_sites(spark, d).select("page_id", emails.contact_url().alias("contact_url")) \
         .where("contact_url is not null")
     corpus = fx.site_corpus(spark, d).select(F.col("page_id").alias("contact_page_id"), F.col("url").alias("contact_url"))
-    return links.join(corpus, "contact_url").select("page_id", "contact_url", "contact_page_id")
+    links = records.materialize(links, "links")
+    return skew_join(links, corpus, "contact_url", ["page_id"], how="inner").select("page_id", "contact_url", "contact_page_id")
 
 
 @query("scrape_success_stats", """SELECT CAST(count(*) FILTER (page_id % 50 != 49) AS BIGINT) AS success,

@@ -158,9 +158,11 @@ def pages(spark, sf_dir: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """One provided file is one split; spread it before per-row Python work."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, F.col(key))
+    """A small table is one file and one split; spread it before per-row work.
+    A table with splits enough for all cores is left as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, F.col(key))
+
 
 # ------------------------------------------------------------------ lead tables
 

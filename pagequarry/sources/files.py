@@ -1,14 +1,17 @@
 """File sources: lead tables, JSON maps, deployment logs, text logs, artifact trees."""
 
+import re
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.text import null_tokens_to_null, strip
 from ..functions.urls import normalize_url
 
-_ROW_BITS = 33
+_ROW_BITS, _FILE_BITS = 33, 44
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:/+"  # a path is written with one or three slashes
 
 
 def with_row_order(df: DataFrame, name: str = "row_idx") -> DataFrame:
@@ -21,10 +24,17 @@ def with_row_order(df: DataFrame, name: str = "row_idx") -> DataFrame:
     directly on a scan; ``ranked`` makes it dense where that matters.
     """
     number = F.monotonically_increasing_id().bitwiseAND((1 << _ROW_BITS) - 1)
-    at = df.withColumns({"_path": F.col("_metadata.file_path"), "_at": F.col("_metadata.file_block_start") + number})
-    files = at.select("_path").distinct().withColumn("_file", F.row_number().over(Window.orderBy("_path")) - 1)
-    return at.join(files, "_path").withColumn(
-        name, F.col("_file").cast("long") * F.lit(1 << 44) + F.col("_at")).drop("_path", "_at", "_file")
+    at = F.col("_metadata.file_block_start") + number
+    paths = sorted(df.inputFiles())
+    if len(paths) == 1:
+        return df.withColumn(name, at)
+    # The driver holds this file list already, so it is small enough to send out.
+    ranks = df.sparkSession.createDataFrame(
+        [(re.sub(_SCHEME, "", p), i << _FILE_BITS) for i, p in enumerate(paths)], "_path string, _file long")
+    placed = df.withColumns({"_path": F.regexp_replace("_metadata.file_path", _SCHEME, ""), "_at": at})
+    rank = F.coalesce("_file", F.raise_error(F.concat(F.lit("unlisted file "), "_path")).cast("long"))
+    return placed.join(F.broadcast(ranks) if len(paths) < 100_000 else ranks, "_path", "left") \
+        .withColumn(name, rank + F.col("_at")).drop("_path", "_at", "_file")
 
 
 def _reader(spark, **options):

@@ -33,7 +33,7 @@ def test_upload_without_header(spark, tmp_path):
 
 def test_row_order_over_many_splits_and_files(spark, tmp_path):
     for i in range(3):
-        (tmp_path / f"p{i}.txt").write_text("".join(f"{i}-{j}\n" for j in range(2000)))
+        (tmp_path / f"p {i} ü%20.txt").write_text("".join(f"{i}-{j}\n" for j in range(2000)))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
     try:
         df = files.text_log_scan(spark, str(tmp_path))
