@@ -160,7 +160,7 @@ def similar_names(names: DataFrame, col: str) -> DataFrame:
         F.least("s", "part").alias("a"), F.greatest("s", "part").alias("b"),
         F.lit(rules.CONTAINMENT_SIMILARITY).alias("similarity"))
     sets = distinct.select(F.col("s").alias("id"), words("s").alias("words")).where(F.size("words") > 0)
-    # Different names with one word set are similar too; link them in a chain's place by their first name.
+    # Names with the same words in another order: each is linked to the first of its group.
     groups = sets.withColumn("key", F.array_join(F.sort_array("words"), " "))
     firsts = groups.groupBy("key").agg(F.min("id").alias("first"))
     same = groups.join(firsts, "key").where("id != first").select(

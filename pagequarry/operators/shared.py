@@ -72,19 +72,18 @@ def running_total(df: DataFrame, order: str, value: Column, keys=(), name: str =
     range, and the running total over the ranges (one row per key and range)
     gives each range its offset.
     """
-    keys = list(keys)
-    part = keys + ["_range"]
-    df = df.withColumn("_value", value.cast("long")).withColumn("_range", F.floor(F.col(order) / F.lit(width)))
-    sums = df.groupBy(*part).agg(F.sum("_value").alias("_sum"))
-    before = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy("_range") \
-        .rowsBetween(W.unboundedPreceding, -1)
-    offsets = sums.withColumn("_offset", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    inside = W.partitionBy(*part).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    summed = df.withColumn("_at", F.sum("_value").over(inside)).drop("_value")
-    same = [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in part]
-    joined = summed.alias("n").join(offsets.alias("o"), same, "inner")
-    kept = [F.col(f"n.`{c}`") for c in df.columns if c not in ("_range", "_value")]
-    return joined.select(*kept, (F.col("o._offset") + F.col("n._at")).alias(name))
+    df = df.withColumns({"_value": value.cast("long"), "_key": F.struct(F.lit(0).alias("all"), *keys),
+                         "_range": F.floor(F.col(order) / F.lit(width))})
+    # One column for key and range: the window's shuffle also serves the join,
+    # and a struct with a NULL inside still equals itself.
+    df = df.withColumn("_part", F.struct("_key", "_range"))
+    before = W.partitionBy("_key").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = df.groupBy("_part").agg(F.sum("_value").alias("_sum")).select("_part", "_part.*", "_sum") \
+        .select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+    inside = W.partitionBy("_part").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    summed = df.withColumn("_at", F.sum("_value").over(inside)).drop("_value", "_key", "_range")
+    return summed.join(offsets, "_part").withColumn(name, F.col("_offset") + F.col("_at")) \
+        .drop("_part", "_offset", "_at")
 
 
 def ranked(df: DataFrame, order: str, keys=(), name: str = "rank", width: int = 1_000_000) -> DataFrame:

@@ -32,6 +32,12 @@ def test_running_total_and_rank_over_ranges(spark, width):
     assert {r.o: r["rank"] for r in ranked(df, "o", width=width).collect()} == {o: i + 1 for i, (o, _, _) in enumerate(rows)}
 
 
+def test_rank_counts_rows_without_a_key(spark):
+    rows = [(i, None if i % 2 else "a") for i in range(10)]
+    df = spark.createDataFrame(rows, "o long, k string")
+    assert {r.o: r["rank"] for r in ranked(df, "o", ["k"], width=3).collect()} == {i: i // 2 + 1 for i in range(10)}
+
+
 def sequential(names):
     used, out = set(), []
     for n in names:
