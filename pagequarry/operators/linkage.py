@@ -125,7 +125,7 @@ def site_style_cross(sites: DataFrame, styles=rules.STYLES) -> DataFrame:
 
 def semi_membership(batch: DataFrame, known: DataFrame) -> DataFrame:
     """Batch rows whose URL is not known yet."""
-    return skew_join(batch, known.select("url").distinct(), "url", batch.columns, how="left_anti")
+    return skew_join(batch, known.select("url").distinct(), "url", how="left_anti")
 
 
 def deployed_status(sites: DataFrame, deployed: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Building blocks that keep joins, ranks and lineage safe at scale."""
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,16 @@ from pyspark.sql.window import Window as W
 
 
 def shared_folder(spark) -> str:
-    """Folder that all executors share: ``spark.checkpoint.dir`` of the session,
-    or a temporary one where that is unset (local tests)."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+
+    Without that setting a local session (one process, so every folder is shared)
+    gets a temporary one; on a cluster it is an error, because each executor
+    would write to its own disk and the read-back would miss rows.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="pagequarry-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -30,36 +37,28 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def hot_keys(df: DataFrame, key: str, rows: int = 100_000, most: int = 1000) -> list:
-    """The keys with more than ``rows`` rows, hottest first.
-
-    At most ``most`` of them: any key beyond has less than ``1/most`` of all
-    rows, which one task can hold.  One aggregate with map-side combine; only
-    this bounded list reaches the driver.
-    """
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    return [r[0] for r in counts.where(F.col("_n") > rows).orderBy(F.desc("_n")).limit(most).collect()]
-
-
-def skew_join(left: DataFrame, right: DataFrame, key: str, spread_by, how: str = "left", salts: int = 32,
-              hot_rows: int = 100_000) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, key: str, spread_by=None, how: str = "left") -> DataFrame:
     """Join on one column when a few keys may hold most of the left rows.
 
-    Only hot keys are salted; the right side is replicated for those alone, so
-    it should be small per key (mostly: unique).  Left rows without a key would
-    all hash to one task, so they are spread too.  ``spread_by`` names columns
-    that tell left rows apart: the salt is a function of the row, so a re-run
-    task sends each row to the same place.  The left side is read twice:
+    Every left row gets one of as many salts as there are shuffle partitions.
+    The distinct ``(key, salt)`` pairs, few per key however hot it is, look the
+    right side up; their answers then meet the left rows on both columns, so a
+    hot key fills all partitions evenly.  Rows without a key cannot match and
+    bypass the join.  Nothing is listed, counted or broadcast.
+
+    ``spread_by`` names columns that tell left rows apart, so that a task run
+    again sends each row to the same place; without it the salt follows the
+    row's position in its input split.  The left side is read twice:
     materialize it first if it is expensive.
     """
-    hot = hot_keys(left, key, hot_rows)
-
-    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-    salted = left.withColumn("_salt", F.when(F.col(key).isNull() | is_hot, salt).otherwise(F.lit(0)))
-    copies = F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))) \
-        if hot else F.lit(0)
-    return salted.join(right.withColumn("_salt", copies), [key, "_salt"], how).drop("_salt")
+    salts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    number = F.xxhash64(*spread_by) if spread_by else F.monotonically_increasing_id()
+    keyed = left.where(F.col(key).isNotNull()).withColumn("_salt", F.pmod(number, F.lit(salts)).cast("int"))
+    answers = keyed.select(key, "_salt").distinct().join(right, key)
+    joined = keyed.join(answers, [key, "_salt"], how).drop("_salt")
+    if how not in ("left", "left_anti"):
+        return joined
+    return joined.unionByName(left.where(F.col(key).isNull()), allowMissingColumns=True)
 
 
 def running_total(df: DataFrame, order: str, value: Column, keys=(), name: str = "total",

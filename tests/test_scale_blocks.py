@@ -6,18 +6,42 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagequarry.operators import maintain, matching
-from pagequarry.operators.shared import hot_keys, ranked, running_total, skew_join
+from pagequarry.operators.shared import ranked, running_total, shared_folder, skew_join
 
 
 def test_skew_join_equals_plain_join(spark):
     left = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 50 == 1, None)
                                     .otherwise((F.col("id") % 100).cast("string")).alias("k"))
     right = spark.createDataFrame([("hot", 1), ("7", 2), ("none", 3)], "k string, v int")
-    assert hot_keys(left, "k", 500) == ["hot"]
-    for how in ("left", "inner"):
-        a = skew_join(left, right, "k", ["id"], how, hot_rows=500).select("id", "k", "v")
-        b = left.join(right, "k", how).select("id", "k", "v")
-        assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+    for how in ("left", "inner", "left_anti", "left_semi"):
+        for spread_by in (["id"], None):
+            a, b = skew_join(left, right, "k", spread_by, how), left.join(right, "k", how)
+            assert sorted(map(repr, a.select(b.columns).collect())) == sorted(map(repr, b.collect()))
+
+
+def test_a_hot_key_reaches_all_partitions(spark):
+    left = spark.range(80_000).select("id", F.lit("hot").alias("k"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = skew_join(left, spark.createDataFrame([("hot",)], "k string"), "k", ["id"], "inner")
+        rows = plan.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(rows) > 3 and max(r["count"] for r in rows) < 50_000
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    class Session:  # what shared_folder asks of a session
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(dict)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session)
 
 
 @pytest.mark.parametrize("width", [1, 7, 1000])
