@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, sharding, url_filter
+from . import exact_dedup, sharding, simhash, url_filter
 from .common import read
 
 QUERIES: dict = {}
@@ -25,6 +25,13 @@ def op1(spark, sf_dir):
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
 
 
+@query("op2_golay_simhash")
+def op2(spark, sf_dir):
+    """Fingerprint and near-duplicate class of every document."""
+    classes = simhash.near_duplicate_classes(read(spark, sf_dir, "documents"))
+    return classes.select("doc_id", F.lower(F.lpad(F.hex(F.col("prints")[0]), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query("op4_cuckoo_exact_dedup", f"""
     WITH d AS (SELECT doc_id, sha256({_LOW}) AS h FROM documents),
          g AS (SELECT h, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY h)
