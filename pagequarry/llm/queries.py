@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, sharding, simhash, url_filter
+from . import exact_dedup, license_scan, sharding, simhash, url_filter
 from .common import read
 
 QUERIES: dict = {}
@@ -32,6 +32,12 @@ def op2(spark, sf_dir):
     return classes.select("doc_id", F.lower(F.lpad(F.hex(F.col("prints")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op3_rare_token_licenses")
+def op3(spark, sf_dir):
+    """Licence notices in every document."""
+    return license_scan.scan_licenses(read(spark, sf_dir, "documents"))
+
+
 @query("op4_cuckoo_exact_dedup", f"""
     WITH d AS (SELECT doc_id, sha256({_LOW}) AS h FROM documents),
          g AS (SELECT h, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY h)
