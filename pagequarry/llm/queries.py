@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, license_scan, sharding, simhash, url_filter
+from . import decontaminate, exact_dedup, license_scan, sharding, simhash, url_filter
 from .common import read
 
 QUERIES: dict = {}
@@ -46,6 +46,12 @@ def op4(spark, sf_dir):
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
 
+@query("op5_cgk_decontamination")
+def op5(spark, sf_dir):
+    """Benchmark items that stand in documents, with their edit distance."""
+    return decontaminate.benchmark_passages(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 #: Hosts whose pages make up the list that op7 blocks.
 LISTED_HOSTS = r"(casino|bets|pills|ads-track|spam|adult)"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
