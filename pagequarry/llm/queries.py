@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, license_scan, sharding, simhash, url_filter
+from . import decontaminate, exact_dedup, license_scan, sharding, simhash, toxicity, url_filter
 from .common import read
 
 QUERIES: dict = {}
@@ -52,6 +52,12 @@ def op5(spark, sf_dir):
     return decontaminate.benchmark_passages(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+@query("op6_counterfactual_toxicity")
+def op6(spark, sf_dir):
+    """Toxicity of every document, learned from the labelled rows that are not held out."""
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 #: Hosts whose pages make up the list that op7 blocks.
 LISTED_HOSTS = r"(casino|bets|pills|ads-track|spam|adult)"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
