@@ -1,10 +1,12 @@
 """The named queries of this subpackage and, where SQL can state the answer, their oracles."""
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, license_scan, sharding, simhash, toxicity, url_filter
+from . import bpe, decontaminate, exact_dedup, license_scan, sharding, simhash, toxicity, url_filter
 from .common import read
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 QUERIES: dict = {}
 ORACLES: dict = {}
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -80,3 +82,9 @@ def op7(spark, sf_dir):
     """Every page's URL: rules, else the list of spam hosts' canonical URLs."""
     pages = read(spark, sf_dir, "pages")
     return url_filter.judge_urls(pages, url_filter.listing(pages, LISTED_HOSTS))
+
+
+@query("op8_lexicon_bpe")
+def op8(spark, sf_dir):
+    """Every document encoded and decoded."""
+    return bpe.encode_documents(read(spark, sf_dir, "documents"), TOKENIZER)
