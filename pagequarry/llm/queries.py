@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, license_scan, sharding, simhash, toxicity, url_filter
+from . import bpe, class_lm, decontaminate, exact_dedup, license_scan, sharding, simhash, toxicity, url_filter
 from .common import read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -88,3 +88,9 @@ def op7(spark, sf_dir):
 def op8(spark, sf_dir):
     """Every document encoded and decoded."""
     return bpe.encode_documents(read(spark, sf_dir, "documents"), TOKENIZER)
+
+
+@query("op10_brown_class_lm")
+def op10(spark, sf_dir):
+    """Log probability of every document under the class model and the unigram base."""
+    return class_lm.score_documents(read(spark, sf_dir, "documents"))
