@@ -43,7 +43,7 @@ def sample_places(seed: int, walk: int, sample: int) -> list[int]:
     return [0, EARLY, *sorted(int(p) for p in rng.choice(np.arange(EARLY + 1, STEPS), LATER, replace=False))]
 
 
-def repeats(recall: float, edits: float = 0.35, anchors: int = 10) -> tuple[int, int]:
+def repeats(recall: float, edits: float = 0.4, anchors: int = 10) -> tuple[int, int]:
     """Walks and samples per walk that reach a recall when a word is edited with
     probability ``edits`` and ``anchors`` starts are tried: a sample survives when
     the words that its walk reads, about half its steps, are untouched.  A hash of

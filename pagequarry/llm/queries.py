@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, class_lm, decontaminate, exact_dedup, license_scan, sharding, simhash, toxicity, url_filter
+from . import bpe, class_lm, decontaminate, exact_dedup, license_scan, pii, sharding, simhash, toxicity, url_filter
 from .common import read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -94,3 +94,9 @@ def op8(spark, sf_dir):
 def op10(spark, sf_dir):
     """Log probability of every document under the class model and the unigram base."""
     return class_lm.score_documents(read(spark, sf_dir, "documents"))
+
+
+@query("op9_boosted_pii")
+def op9(spark, sf_dir):
+    """Personal data in every document."""
+    return pii.personal_data(read(spark, sf_dir, "documents"))
