@@ -231,5 +231,8 @@ def personal_data(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFram
     out = rows.join(per, "row", "left")
     none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
     base, every = F.coalesce("base", none), F.coalesce("all", none)
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+
+    def count(kind):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return out.select("doc_id", *counts, F.sha2(_text(base), 256).alias("base_sha256"), _text(every).alias("spans"))
