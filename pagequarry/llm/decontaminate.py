@@ -29,8 +29,9 @@ from .words import PUNCTUATION, chunks, find_words, hash_words, mix
 
 #: Steps of a walk, where the first check of all samples lies, places that a sample adds.
 STEPS, EARLY, LATER = 10, 2, 2
-#: Words in few items that a sample must hold; samples of common words alone are no evidence.
-RARE = 2
+#: Rare words that a sample must hold (samples of common words alone are no evidence) if this share of an
+#: item's samples can; a word is rare if at most this share of the items has it.
+RARE, USABLE, RARE_SHARE = 2, 0.3, 0.03
 #: Edits allowed, as a share of an item's characters.
 MAX_EDITS = 0.2
 BLOCK_WORDS = 2_000_000
@@ -128,7 +129,7 @@ class Items:
         lows, posts = [], [[] for _ in range(walks * samples)]
         pairs, of = np.unique(np.stack([hashes, found.row.astype(np.uint64)]), axis=1, return_inverse=True)
         _, at, held = np.unique(pairs[0], return_inverse=True, return_counts=True)
-        usual, common = held[at[of]], max(3, len(ids) // 50)  # items that hold each word
+        usual, common = held[at[of]], max(3, int(RARE_SHARE * len(ids)))  # items that hold each word
         for k, (item, lo, hi) in enumerate(zip(ids, found.first, found.first[1:])):
             own = hashes[lo:hi]
             self.ids.append(item)
@@ -141,9 +142,13 @@ class Items:
                 continue
             starts = np.arange(hi - lo - STEPS // 2 + 1, dtype=np.int32)
             rare = np.r_[usual[lo:hi] <= common, np.zeros(STEPS + 1, bool)]
-            for walk, (live, partial, keys, counts) in enumerate(_keys(_padded(own), starts, walks, samples, seed, rare=rare)):
+            walked = list(_keys(_padded(own), starts, walks, samples, seed, rare=rare))
+            seen = np.concatenate([c for *_, counts in walked for c in counts])
+            # An item of mostly common words keeps samples with fewer rare ones, down to none.
+            least = next(r for r in range(RARE, -1, -1) if np.mean(seen >= r) >= USABLE)
+            for walk, (live, partial, keys, counts) in enumerate(walked):
                 for s, key in enumerate(keys):
-                    good = counts[s] >= RARE
+                    good = counts[s] >= least
                     lows.append(partial[good])
                     posts[walk * samples + s].append(np.stack([
                         key[good], np.full(good.sum(), k, np.uint64), live[good].astype(np.uint64)]))
