@@ -8,7 +8,7 @@ import json
 import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .text import let, strip
@@ -183,7 +183,9 @@ def meta_content(names, nodes=NODES) -> Column:
 
 
 def json_ld(nodes=NODES) -> Column:
-    """Texts of the JSON-LD scripts whose top level is an object."""
+    """JSON-LD scripts whose top level is an object; of a repeated key the last counts."""
+    # Read when the expression is built, so it must be set before; without it such objects are no JSON.
+    SparkSession.active().conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     scripts = F.filter(nodes, lambda n: (n["tag"] == "script") & F.coalesce(
         attr(n, "type") == "application/ld+json", F.lit(False)) & n["raw"].isNotNull())
     return F.filter(F.transform(scripts, lambda n: F.try_parse_json(n["raw"])),

@@ -30,12 +30,22 @@ def url_path(col) -> Column:
     return F.regexp_replace(_part(col, 3), r";[^/]*$", "")
 
 
+def _after_slashes(u: Column) -> Column:
+    """What follows the first ``//``, up to the next slash; for URLs without an authority."""
+    return F.lower(F.split(F.try_element_at(F.split(u, "//"), F.lit(2)), "/")[0])
+
+
+def authority(col) -> Column:
+    """Lower-cased authority, else the text after ``//``."""
+    u = strip(col)
+    return F.when(netloc(u) != "", F.lower(netloc(u))).otherwise(_after_slashes(u))
+
+
 def domain_key(col) -> Column:
     """Lower-cased authority without one leading ``www.``; NULL if none."""
     u = strip(col)
     host = F.regexp_replace(F.lower(netloc(u)), r"^www\.", "")
-    loose = F.lower(F.split(F.try_element_at(F.split(u, "//"), F.lit(2)), "/")[0])
-    return F.nullif(F.when(netloc(u) != "", host).otherwise(loose), F.lit(""))
+    return F.nullif(F.when(netloc(u) != "", host).otherwise(_after_slashes(u)), F.lit(""))
 
 
 def first_label(domain) -> Column:

@@ -10,16 +10,17 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.text import blank_to_null, or_default, strip
-from ..functions.urls import batch_folder, domain_key, domain_slug, first_label, netloc, site_url
+from ..functions.urls import authority, batch_folder, domain_key, domain_slug, first_label, netloc, site_url
 from .matching import first_contained, first_overlap
-from .shared import first_per_key, last_per_key, materialize, skew_join, union_all
+from .shared import first_per_key, last_per_key, materialize, one_per_key, skew_join, union_all
 
 
 def domain_map_left_join(leads: DataFrame, domain_map: DataFrame, counter: int) -> DataFrame:
     """Adds ``domain_key, main_folder, inner_folder``; unmapped domains get the
     current batch folder and their first label."""
-    mapped = domain_map.select(F.col("domain").alias("domain_key"), F.col("main_folder").alias("_main"),
-                               F.col("inner_folder").alias("_inner"))
+    places = [c for c in ("pos",) if c in domain_map.columns]
+    mapped = one_per_key(domain_map.select(F.col("domain").alias("domain_key"), F.col("main_folder").alias("_main"),
+                                           F.col("inner_folder").alias("_inner"), *places), ["domain_key"])
     joined = skew_join(leads.withColumn("domain_key", domain_key("url")), mapped, "domain_key", ["row_idx"])
     known = F.col("domain_key").isNotNull()
     return joined.withColumns({
@@ -42,24 +43,25 @@ def name_exact_match(leads: DataFrame, folders: DataFrame) -> DataFrame:
 def domain_map_then_deployed(leads: DataFrame, folders: DataFrame, domain_map: DataFrame) -> DataFrame:
     """Leads whose domain is mapped to a folder that is deployed.  The key
     without ``www.`` is preferred where it is mapped."""
-    hosts = leads.select(F.lower(netloc(strip("url"))).alias("_host")).where("_host != ''").distinct()
-    entries = domain_map.select(F.col("domain").alias("_try"), "ftp_name", "main_folder", "inner_folder")
+    hosts = leads.select(authority("url").alias("_host")).where("_host != ''").distinct()
+    places = [c for c in ("pos",) if c in domain_map.columns]
+    entries = one_per_key(domain_map.select(F.col("domain").alias("_try"), "ftp_name", "main_folder", "inner_folder", *places), ["_try"])
     tries = hosts.select("_host", F.posexplode(F.array_distinct(F.array(
         F.regexp_replace("_host", r"^www\.", ""), F.col("_host")))).alias("_at", "_try"))
     hits = first_per_key(tries.join(entries, "_try"), ["_host"], F.col("_at"))
     names = folders.groupBy(F.col("folder").alias("ftp_name")).agg(F.min("folder_idx").alias("folder_idx"))
     live = hits.join(names, "ftp_name").select(
         "_host", "folder_idx", F.col("ftp_name").alias("folder"), "main_folder", "inner_folder")
-    keyed = leads.withColumn("_host", F.lower(netloc(strip("url"))))
+    keyed = leads.withColumn("_host", authority("url"))
     return skew_join(keyed, live, "_host", ["row_idx"], how="inner").drop("_host")
 
 
 def linkage_domain(domain_map: DataFrame, leads: DataFrame) -> DataFrame:
     """Adds ``_domain``: the lower-cased authority, without ``www.`` only where that form is mapped."""
-    host = F.lower(netloc(strip("url")))
+    host = authority("url")
     bare = F.regexp_replace(host, r"^www\.", "")
     keyed = leads.withColumn("_bare", F.nullif(bare, F.lit(""))).withColumn("_host", F.nullif(host, F.lit("")))
-    known = domain_map.select(F.col("domain").alias("_bare"), F.lit(True).alias("_known"))
+    known = domain_map.select(F.col("domain").alias("_bare"), F.lit(True).alias("_known")).distinct()
     return skew_join(keyed, known, "_bare", ["row_idx"]).withColumn(
         "_domain", F.when(F.col("_known"), F.col("_bare")).otherwise(F.col("_host"))).drop("_bare", "_host", "_known")
 

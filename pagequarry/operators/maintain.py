@@ -7,7 +7,7 @@ from ..functions import rules
 from ..functions.text import blank_to_null, safe_folder_name, strip
 from ..functions.urls import batch_folder, domain_key, first_label, folder_source_name, normalize_url
 from .linkage import domain_map_left_join, semi_membership, staged_linkage, with_site_urls
-from .shared import last_per_key, materialize, ranked, running_total, skew_join, union_all
+from .shared import last_per_key, materialize, one_per_key, ranked, running_total, skew_join, union_all
 
 
 def ensure_columns(df: DataFrame, columns, default=None) -> DataFrame:
@@ -59,7 +59,9 @@ def select_by_position(df: DataFrame, positions: DataFrame, column="row_idx") ->
 
 
 def merge_map(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Keyed update: a key in ``new`` replaces the whole old entry."""
+    """Keyed update: a key in ``new`` replaces the whole old entry.  Of repeated keys
+    the last counts (see ``one_per_key``)."""
+    old, new = one_per_key(old, [key]), one_per_key(new, [key])
     rest = [c for c in old.columns if c != key]
     return old.alias("o").join(new.withColumn("_new", F.lit(True)).alias("n"), key, "full").select(
         key, *[F.when(F.col("n._new"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in rest])

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import jaccard, let, words
+from ..functions.text import jaccard, words
 from .shared import materialize, skew_join, union_all
 
 
@@ -60,25 +60,8 @@ def first_overlap(left: DataFrame, right: DataFrame, a: str, b: str, order: str)
 
 # ------------------------------------------------------------------ near duplicates
 
-def ordered_words(words_col, common) -> Column:
-    """A word set in one global order: uncommon words first (by hash), then the
-    common ones from rare to frequent.  Any total order keeps prefix filtering
-    exact; this one keeps frequent words out of the prefixes without joining
-    word counts back to the documents."""
-    rare = F.sort_array(F.transform(F.array_except(words_col, common),
-                                    lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w"))))
-    return F.concat(F.transform(rare, lambda x: x["w"]), F.array_intersect(common, words_col))
-
-
-def common_words(sets: DataFrame, k: int = 1000) -> Column:
-    """The ``k`` most frequent words, rarest first, as one constant array."""
-    top = sets.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")) \
-        .orderBy(F.desc("n"), "w").limit(k)
-    return top.agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "w"))), lambda x: x["w"]).alias("c")).scalar()
-
-
-def parity_bits(words_col, parts: int = 8) -> Column:
-    """A word set as ``64 * parts`` bits; each word flips one.
+def parity_bits(hashes, parts: int = 8) -> Column:
+    """A set of word hashes as ``64 * parts`` bits; each word flips one.
 
     Flips cancel, so the bits in which two sets differ are at most the words in
     which they differ: a lower bound on the difference, whatever the set size.
@@ -91,8 +74,7 @@ def parity_bits(words_col, parts: int = 8) -> Column:
         mine = F.filter(hashes, lambda h: F.pmod(h, F.lit(parts)) == i)
         return F.aggregate(mine, F.lit(0).cast("long"), flip).alias(f"bits{i}")
 
-    return let(F.transform(words_col, lambda w: F.xxhash64(w)),
-               lambda hashes: F.struct(*[part(hashes, i) for i in range(parts)]))
+    return F.struct(*[part(F.col(hashes), i) for i in range(parts)])
 
 
 def copy_groups(texts: DataFrame, id_col: str, text_col: str):
@@ -110,17 +92,24 @@ def copy_groups(texts: DataFrame, id_col: str, text_col: str):
 def jaccard_pairs(sets: DataFrame, threshold: float = rules.SERVICE_SIMILARITY) -> DataFrame:
     """All pairs ``a < b`` of distinct word sets (``id, words``) above a Jaccard threshold, exactly.
 
+    Words are ordered by the number of sets that hold them, so the prefixes hold
+    each set's rarest words; they travel as hashes (an equal hash of two words
+    only adds a candidate).
+
     Two sets above the threshold share a word among the first
     ``n - ceil(t n) + 1`` of each; sizes and positions bound the overlap that is
     still possible, parity bits bound the difference, and only surviving pairs
     meet the full word sets.
     """
-    ordered = sets.withColumn("common", common_words(sets)).select(
-        "id", F.size("words").alias("n"), ordered_words("words", "common").alias("w"), parity_bits("words").alias("bits"))
     # Different sets this small cannot exceed the threshold: n/(n+1) is too low.
     smallest = threshold / (1 - threshold)
-    prefix = F.slice("w", F.lit(1), F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1)
-    tokens = materialize(ordered.where(F.col("n") > smallest - 1e-9).select(
+    listed = sets.select("id", F.size("words").alias("n"), F.explode("words").alias("w")).where(F.col("n") > smallest - 1e-9) \
+        .select("id", "n", F.xxhash64("w").alias("h"))
+    counts = listed.groupBy("h").agg(F.count("*").alias("df"))
+    ordered = skew_join(listed, counts, "h", ["id"], "inner").groupBy("id", "n").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("df", "h"))), lambda x: x["h"]).alias("hashes"))
+    prefix = F.slice("hashes", F.lit(1), F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1)
+    tokens = materialize(ordered.withColumn("bits", parity_bits("hashes")).select(
         "id", "n", "bits.*", F.posexplode(prefix).alias("pos", "word")), "prefixes")
 
     bits = [c for c in tokens.columns if c.startswith("bits")]

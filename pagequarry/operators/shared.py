@@ -91,7 +91,8 @@ def ranked(df: DataFrame, order: str, keys=(), name: str = "rank", width: int =
 
 
 def first_per_key(df: DataFrame, keys, order: Column) -> DataFrame:
-    """The first row of each key, by a hash aggregate with map-side combine."""
+    """The first row of each key, by an aggregate with map-side combine.  A whole row
+    as its value makes Spark sort rather than hash, so keep the columns few."""
     rest = [c for c in df.columns if c not in keys]
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*")
 
@@ -101,6 +102,13 @@ def last_per_key(df: DataFrame, keys, order: Column) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*")
 
 
+def one_per_key(df: DataFrame, keys, order: str = "pos") -> DataFrame:
+    """One row per key, as in a map: the last by ``order`` where there is such a
+    column, else the greatest of the other columns."""
+    rest = [c for c in df.columns if c not in keys]
+    return last_per_key(df, keys, F.col(order) if order in rest else F.struct(*rest)).drop(order)
+
+
 def union_all(*frames: DataFrame) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:

@@ -1,44 +1,39 @@
 """File sources: lead tables, JSON maps, deployment logs, text logs, artifact trees."""
 
-import re
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions import rules
 from ..functions.text import null_tokens_to_null, strip
 from ..functions.urls import normalize_url
 
-_ROW_BITS, _FILE_BITS = 33, 44
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:/+"  # a path is written with one or three slashes
 
 
 def with_row_order(df: DataFrame, name: str = "row_idx") -> DataFrame:
-    """Position of each row of a file scan as a unique ``long`` in file order.
+    """Position from 0 of each row of a file scan: by path, then by place in the file.
 
     ``monotonically_increasing_id`` alone follows the order of the tasks, which
-    is not that of the files.  Here: the file's rank by path, then the byte where
-    the split starts plus the row's number in its task.  A row takes at least a
-    byte, so this rises with the file position and never repeats.  Use it
-    directly on a scan; ``ranked`` makes it dense where that matters.
+    is not that of the files.  Within one split of a file it is gapless, so a
+    row's place in its split is exact; the rows of each split are counted, and a
+    running total over the splits, one row each, gives its offset.  Use it
+    directly on a scan; the counting reads the files once more.
     """
-    number = F.monotonically_increasing_id().bitwiseAND((1 << _ROW_BITS) - 1)
-    at = F.col("_metadata.file_block_start") + number
-    paths = sorted(df.inputFiles())
-    if len(paths) == 1:
-        return df.withColumn(name, at)
-    # The driver holds this file list already, so it is small enough to send out.
-    ranks = df.sparkSession.createDataFrame(
-        [(re.sub(_SCHEME, "", p), i << _FILE_BITS) for i, p in enumerate(paths)], "_path string, _file long")
-    placed = df.withColumns({"_path": F.regexp_replace("_metadata.file_path", _SCHEME, ""), "_at": at})
-    rank = F.coalesce("_file", F.raise_error(F.concat(F.lit("unlisted file "), "_path")).cast("long"))
-    return placed.join(F.broadcast(ranks) if len(paths) < 100_000 else ranks, "_path", "left") \
-        .withColumn(name, rank + F.col("_at")).drop("_path", "_at", "_file")
+    placed = df.withColumns({"_path": F.regexp_replace("_metadata.file_path", _SCHEME, ""),
+                             "_block": F.col("_metadata.file_block_start"), "_at": F.monotonically_increasing_id()})
+    splits = placed.groupBy("_path", "_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = W.orderBy("_path", "_block").rowsBetween(W.unboundedPreceding, -1)
+    offsets = splits.select("_path", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_offset"))
+    return placed.join(offsets, ["_path", "_block"]).withColumn(name, F.col("_offset") + F.col("_at")) \
+        .drop("_path", "_block", "_at", "_offset")
 
 
-def _reader(spark, **options):
-    return spark.read.options(escape='"', **options)
+def _reader(spark, multi_line: bool, **options):
+    """CSV cells may hold line breaks, so files are read whole; ``multi_line=False``
+    splits large files that are known to have none."""
+    return spark.read.options(escape='"', multiLine=multi_line, **options)
 
 
 def finish_leads(raw: DataFrame, trim=True) -> DataFrame:
@@ -48,10 +43,10 @@ def finish_leads(raw: DataFrame, trim=True) -> DataFrame:
     return df.withColumn("url", normalize_url("url", trim))
 
 
-def lead_scan(spark, path: str, multi_line=False) -> DataFrame:
+def lead_scan(spark, path: str, multi_line=True) -> DataFrame:
     """Lead CSV with a ``url`` column, all text, in row order.  Rows without a
     URL keep NULL there; see ``split_rejects``."""
-    raw = _reader(spark, header=True, multiLine=multi_line).csv(path)
+    raw = _reader(spark, multi_line, header=True).csv(path)
     if "url" not in raw.columns:
         raise ValueError("the lead file needs a 'url' column")
     return finish_leads(with_row_order(raw))
@@ -61,21 +56,21 @@ def split_rejects(leads: DataFrame):
     return leads.where("url is not null"), leads.where("url is null")
 
 
-def lead_scan_headerless(spark, path: str) -> DataFrame:
+def lead_scan_headerless(spark, path: str, multi_line=True) -> DataFrame:
     """Without a ``url`` header the first cells of all rows are URLs, the header's too."""
-    raw = _reader(spark, header=False).csv(path)
+    raw = _reader(spark, multi_line, header=False).csv(path)
     urls = with_row_order(raw.select(F.col(raw.columns[0]).alias("url"), "_metadata"))
     return finish_leads(urls.select("url", "row_idx"), trim=False)
 
 
-def lead_upload(spark, path: str) -> DataFrame:
+def lead_upload(spark, path: str, multi_line=True) -> DataFrame:
     """Uploaded CSV: with a ``url`` header as it is, else headerless."""
-    if "url" in _reader(spark, header=True).csv(path).columns:
-        return finish_leads(with_row_order(_reader(spark, header=True).csv(path)), trim=False)
-    return lead_scan_headerless(spark, path)
+    if "url" in _reader(spark, multi_line, header=True).csv(path).columns:
+        return finish_leads(with_row_order(_reader(spark, multi_line, header=True).csv(path)), trim=False)
+    return lead_scan_headerless(spark, path, multi_line)
 
 
-def lead_scan_lenient(spark, path: str) -> DataFrame:
+def lead_scan_lenient(spark, path: str, multi_line=True) -> DataFrame:
     """Ragged CSV text: the ``url`` column if the first line names one, else the
     first column; rows too short to have it are skipped."""
     head = spark.read.text(path).limit(1).select(F.split("value", ",").alias("c")).head()
@@ -83,7 +78,7 @@ def lead_scan_lenient(spark, path: str) -> DataFrame:
     at = cells.index("url") if "url" in cells else 0
     width = max(len(cells), 1)
     schema = ", ".join(f"_c{i} string" for i in range(width))
-    raw = _reader(spark, header="url" in cells, mode="PERMISSIVE").schema(schema).csv(path)
+    raw = _reader(spark, multi_line, header="url" in cells, mode="PERMISSIVE").schema(schema).csv(path)
     urls = with_row_order(raw.select(F.col(f"_c{at}").alias("url"), "_metadata")).where("url is not null")
     return finish_leads(urls.select("url", "row_idx"), trim=False)
 

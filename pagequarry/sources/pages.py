@@ -30,14 +30,31 @@ APART_TAGS = {"script", "style", "template", "rt", "rp"}
 KEEP_SPACE_TAGS = {"pre", "textarea"}
 
 
+#: Single-byte charsets by the names that responses use; and those that Spark decodes itself.
+SINGLE_BYTE = {"windows-1252": ("windows-1252", "cp1252", "iso-8859-1", "latin1", "latin-1"), "iso-8859-15": ("iso-8859-15", "latin-9"),
+               "windows-1251": ("windows-1251", "cp1251"), "koi8-r": ("koi8-r",), "iso-8859-2": ("iso-8859-2", "latin2")}
+OWN = {"UTF-16": ("utf-16",), "UTF-16LE": ("utf-16le",), "UTF-16BE": ("utf-16be",), "UTF-32": ("utf-32",)}
+
+
 def page_scan(spark, path: str) -> DataFrame:
     return spark.read.parquet(path).select("page_id", "url", "html")
 
 
 def decoded_body(body: Column, content_type: Column) -> Column:
-    """Text of a fetched body: UTF-8 unless the response names a charset."""
-    latin = F.coalesce(content_type, F.lit("")).rlike(r"(?i)charset=[\"']?(iso-8859-1|latin-?1|windows-1252)")
-    return F.when(latin, F.decode(body, "ISO-8859-1")).otherwise(F.decode(body, "UTF-8"))
+    """Text of a fetched body in the charset that the response names; UTF-8 without a name or for an unknown one.
+
+    A single-byte charset is Latin-1 with other letters, so it is read as that and
+    its upper half replaced.  ``iso-8859-1`` means windows-1252, as in browsers.
+    """
+    named = F.lower(F.regexp_extract(F.coalesce(content_type, F.lit("")), r"(?i)charset=[\"']?([A-Za-z0-9_-]+)", 1))
+    text = F.decode(body, "UTF-8")
+    for charset, names in OWN.items():
+        text = F.when(named.isin(*names), F.decode(body, charset)).otherwise(text)
+    upper = [bytes([b]) for b in range(128, 256)]
+    for charset, names in SINGLE_BYTE.items():
+        letters = "".join(b.decode(charset, "replace") for b in upper)
+        text = F.when(named.isin(*names), F.translate(F.decode(body, "ISO-8859-1"), "".join(b.decode("latin-1") for b in upper), letters)).otherwise(text)
+    return text
 
 
 class _Tree(HTMLParser):
@@ -59,8 +76,9 @@ class _Tree(HTMLParser):
             return
         if not data.strip(" \n\t\r\x0c") and not any(self.counts.get(t) for t in KEEP_SPACE_TAGS):
             data = "\n" if "\n" in data else " "
-        row = self.rows[self.open[-1]] if self.open else {"tag": None}
-        if row["tag"] in APART_TAGS:
+        if any(self.counts.get(t) for t in APART_TAGS):
+            # Text at any depth of such an element belongs to it alone.
+            row = next(r for r in map(self.rows.__getitem__, reversed(self.open)) if r["tag"] in APART_TAGS)
             row["raw"] = (row["raw"] or "") + data
         else:
             self.parts.append(data)

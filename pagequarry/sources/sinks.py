@@ -3,8 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import rules
-from ..functions.text import blank_to_null, let, or_default  # noqa: F401
+from ..functions.text import blank_to_null, or_default
 from ..functions.urls import logo_basename, netloc
 from ..operators.linkage import site_style_cross
 from ..operators.report import services_split, tagline_phrase
@@ -50,16 +49,21 @@ def rendered_pages(sites: DataFrame, year: int) -> DataFrame:
 
     ``sites`` has ``folder, url, business_name, email, logo, services``.
     """
+    def escaped(s):
+        for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            s = F.replace(s, F.lit(plain), F.lit(entity))
+        return s
+
     def item(s):
-        return F.concat(F.lit("<li>"), s, F.lit("</li>"))
+        return F.concat(F.lit("<li>"), escaped(s), F.lit("</li>"))
 
-    name = or_default("business_name", netloc("url"))
+    name = escaped(or_default("business_name", netloc("url")))
     listed = services_split("services")
     logo = F.when(blank_to_null("logo").isNotNull(), F.concat(
-        F.lit('<img class="logo" src="'), logo_basename("logo"), F.lit('">'))).otherwise(F.lit(""))
+        F.lit('<img class="logo" src="'), escaped(logo_basename("logo")), F.lit('">'))).otherwise(F.lit(""))
     email = F.when(blank_to_null("email").isNotNull(), F.concat(
-        F.lit('<a href="mailto:'), F.col("email"), F.lit('">'), F.col("email"), F.lit("</a>"))).otherwise(F.lit(""))
-    slots = sites.select("folder", name.alias("_name"), logo.alias("_logo"), tagline_phrase(listed).alias("_tagline"),
+        F.lit('<a href="mailto:'), escaped(F.col("email")), F.lit('">'), escaped(F.col("email")), F.lit("</a>"))).otherwise(F.lit(""))
+    slots = sites.select("folder", name.alias("_name"), logo.alias("_logo"), escaped(tagline_phrase(listed)).alias("_tagline"),
                          F.array_join(F.transform(listed, item), "").alias("_items"), email.alias("_email"))
     html = F.concat(
         F.lit("<!DOCTYPE html><html><head><title>"), F.col("_name"), F.lit('</title></head><body class="'),
@@ -74,5 +78,3 @@ def write_pages(pages: DataFrame, path: str) -> None:
     """Partitioned by the three styles, not by site."""
     pages.write.partitionBy("style").parquet(path)
 
-
-STYLE_NAMES = [s[0] for s in rules.STYLES]
