@@ -33,9 +33,7 @@ def scrape_records(pages: DataFrame, corpus: DataFrame | None = None) -> DataFra
     if corpus is None:
         known = fields
     else:
-        need = fields.where("email is null and contact_url is not null") \
-            .select(F.col("contact_url").alias("url")).distinct()
-        known = emails.parse_with_emails(corpus.join(need, "url", "left_semi")) \
-            .select("page_id", "url", emails.own_email().alias("email"))
+        # One narrow pass: only URL and address leave it, the HTML is never shuffled.
+        known = emails.parse_with_emails(corpus).select("page_id", "url", emails.own_email().alias("email"))
     full = emails.with_contact_emails(fields, emails.emails_by_url(known))
     return full.select("page_id", *rules.LEAD_COLUMNS)

@@ -47,7 +47,7 @@ def site_documents(leads: DataFrame) -> DataFrame:
     site = F.struct(
         F.col("url"), or_default("business_name", netloc("url")).alias("business_name"),
         blank_to_null("email").alias("email"),
-        F.when(blank_to_null("logo").isNotNull(), logo_basename("logo")).alias("logo"),
+        *[F.when(blank_to_null("logo").isNotNull(), logo_basename("logo")).alias(c) for c in ("logo", "logo_file")],
         services_split("services", trim=False).alias("services"), blank_to_null("error").alias("error"))
     return leads.where(blank_to_null("url").isNotNull()) \
         .select("folder", F.to_json(site, {"ignoreNullFields": "false"}).alias("document"))

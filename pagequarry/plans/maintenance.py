@@ -160,7 +160,7 @@ SERVICES_JSON = """CASE WHEN services IS NULL THEN '[]' ELSE '["' || array_to_st
 
 @query("site_json_export", f"""SELECT 'f' || row_idx AS folder, '{{"url":' || {_json('url')} || ',"business_name":'
       || {_json("coalesce(business_name, " + netloc_sql('url') + ")")} || ',"email":' || {_json('email')} || ',"logo":' || {_json("CASE WHEN logo IS NOT NULL THEN 'a.png' END")}
-      || ',"services":' || {SERVICES_JSON} || ',"error":' || {_json('error')} || '}}' AS document FROM {LEADS} l""")
+      || ',"logo_file":' || {_json("CASE WHEN logo IS NOT NULL THEN 'a.png' END")} || ',"services":' || {SERVICES_JSON} || ',"error":' || {_json('error')} || '}}' AS document FROM {LEADS} l""")
 def site_json_export(spark, d):
     path = new_path(spark, "site-json")
     sinks.write_documents(report.site_documents(_with_folders(spark, d)), path)

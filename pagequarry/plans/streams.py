@@ -10,9 +10,13 @@ from .registry import query
 
 
 @query("stream_progress", """SELECT count(*)::BIGINT AS completed, count(*) FILTER (event_type != 'error')::BIGINT AS success,
-    count(*) FILTER (event_type = 'error')::BIGINT AS failed FROM events""")
+    count(*) FILTER (event_type = 'error')::BIGINT AS failed, 100.0 * count(*) / (2 * count(*)) AS percent,
+    concat_ws(' ', CASE WHEN {0} >= 3600 THEN ({0} // 3600) || 'h' END, CASE WHEN {0} % 3600 >= 60 THEN ({0} % 3600 // 60) || 'm' END, ({0} % 60) || 's') AS elapsed
+    FROM events""".format("(floor(epoch(max(ts)))::BIGINT - floor(epoch(min(ts)))::BIGINT)"))
 def stream_progress(spark, d):
-    return streams.progress(streams.table_stream(spark, d, "events"), F.col("event_type") == "error")
+    """Half of the work is done: as many results again are expected."""
+    total = 2 * fx.table(spark, d, "events").count()
+    return streams.progress(streams.table_stream(spark, d, "events"), F.col("event_type") == "error", total, "ts")
 
 
 @query("stream_new_urls", "SELECT url FROM pages WHERE NOT starts_with(url, 'http://')")

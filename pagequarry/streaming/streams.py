@@ -7,6 +7,7 @@ own directory named by the batch id, so a repeated batch replaces itself.
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.records import page_fields
 from ..operators.report import log_level
@@ -20,49 +21,75 @@ def table_stream(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def run(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """Write each micro-batch to ``batch=<id>`` and read all of them back."""
+def folder_stream(spark, folder: str, files_per_batch: int = 1) -> DataFrame:
+    """A folder of Parquet files as a stream of micro-batches."""
+    schema = spark.read.parquet(folder).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+
+
+def run(stream: DataFrame, mode: str, name: str, prepare=None) -> DataFrame:
+    """Write each micro-batch to ``batch=<id>`` and read all of them back, with the
+    row's ``place`` in its batch.  ``prepare(batch, before)`` may change a batch;
+    ``before`` has the rows of the earlier ones."""
     spark = stream.sparkSession
     folder = new_path(spark, name)
+    schema = T.StructType([*stream.schema.fields, T.StructField("place", T.LongType())])
+
+    def read():
+        return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{folder}/out")
 
     def save(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+        if prepare:
+            # Batches are numbered from 0; a repeated one does not see its own earlier rows.
+            before = read().where(F.col("batch") < batch_id) if batch_id else batch.limit(0)
+            batch = prepare(batch, before)
+        batch.withColumn("place", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
 
     query = (stream.writeStream.outputMode(mode).queryName(folder.rsplit("/", 1)[-1].replace("-", "_"))
              .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
              .foreachBatch(save).start())
     query.awaitTermination()
-    schema = stream.schema.add("batch", "long")
-    return spark.read.schema(schema).parquet(f"{folder}/out")
+    return read()
 
 
 def latest(df: DataFrame, keys) -> DataFrame:
-    """Newest state of each key over all batches."""
-    return last_per_key(df, keys, F.col("batch")).drop("batch")
+    """Newest state of each key: of the last batch, and there of the last row."""
+    return last_per_key(df, keys, F.struct("batch", "place")).drop("batch", "place")
 
 
-def progress(results: DataFrame, failed) -> DataFrame:
-    """Completed, succeeded and failed so far."""
+def progress(results: DataFrame, failed, total: int, time: str) -> DataFrame:
+    """Completed, succeeded and failed so far, their share of ``total``, and the time from the
+    first to the last result."""
+    at = F.unix_seconds(F.col(time).cast("timestamp"))
     counts = results.agg(F.count("*").alias("completed"), F.count_if(~failed).alias("success"),
-                         F.count_if(failed).alias("failed")).withColumn("job", F.lit(0))
-    return latest(run(counts, "update", "progress"), ["job"]).drop("job")
+                         F.count_if(failed).alias("failed"), (F.max(at) - F.min(at)).alias("seconds")).withColumn("job", F.lit(0))
+    now = latest(run(counts, "update", "progress"), ["job"]).drop("job")
+    share = F.when(F.lit(total) > 0, F.col("completed") / total * 100).otherwise(F.lit(0.0))
+
+    def unit(size, within, letter):
+        n = F.floor((F.col("seconds") % within if within else F.col("seconds")) / size)
+        return F.when(n > 0, F.concat(n.cast("string"), F.lit(letter)))
+    elapsed = F.concat_ws(" ", unit(3600, None, "h"), unit(60, 3600, "m"), F.concat((F.col("seconds") % 60).cast("string"), F.lit("s")))
+    return now.withColumns({"percent": share, "elapsed": elapsed}).drop("seconds")
 
 
 def new_urls(urls: DataFrame, known: DataFrame) -> DataFrame:
-    """Arriving URLs that are not known: each once."""
-    fresh = urls.where(F.trim("url") != "").select(normalize_url("url").alias("url")) \
-        .join(known.select("url").distinct(), "url", "left_anti").dropDuplicates(["url"])
-    return run(fresh, "append", "new_urls").drop("batch")
+    """Arriving URLs that are not known: each once.  What arrived before is looked up in
+    the table that the stream writes, so there is no state to keep in memory."""
+    def fresh(batch, before):
+        return batch.distinct().join(known.select("url"), "url", "left_anti").join(before.select("url"), "url", "left_anti")
+    arriving = urls.where(F.trim("url") != "").select(normalize_url("url").alias("url"))
+    return run(arriving, "append", "new_urls", fresh).drop("batch", "place")
 
 
 def first_seen(events: DataFrame, key: str, time: str, delay: str) -> DataFrame:
     """Each key once, with state bounded by the watermark."""
     timed = events.select(key, F.col(time).cast("timestamp").alias("at")).withWatermark("at", delay)
-    return run(timed.dropDuplicatesWithinWatermark([key]).select(key), "append", "first_seen").drop("batch")
+    return run(timed.dropDuplicatesWithinWatermark([key]).select(key), "append", "first_seen").drop("batch", "place")
 
 
 def extract_upsert(pages: DataFrame) -> DataFrame:
-    """Fields of arriving pages, merged by page: a newer batch replaces a page's record."""
+    """Fields of arriving pages, merged by page: the last version that arrived replaces a page's record."""
     return latest(run(page_fields(pages), "append", "extract"), ["page_id"])
 
 

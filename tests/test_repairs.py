@@ -81,3 +81,18 @@ def test_bodies_in_the_named_charset(spark):
 def test_rank_over_row_order(spark, tmp_path):
     (tmp_path / "a.txt").write_text("1\n2\n3\n")
     assert [r.n for r in ranked(files.text_log_scan(spark, str(tmp_path)), "pos", name="n").orderBy("n").collect()] == [1, 2, 3]
+
+
+def test_streams_over_several_batches(spark, tmp_path):
+    from pagequarry.streaming import streams
+    batches = [[(1, "a.example.com/x", "<title>Old</title>"), (2, "b.example.com", "<title>B</title>")],
+               [(1, "a.example.com/x", "<title>Newer</title>"), (3, "k.example.com", "<title>K</title>"), (3, "k.example.com", "<title>K2</title>")],
+               [(4, " ", "<title>D</title>"), (2, "b.example.com", "<title>B</title>")]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    known = spark.createDataFrame([("https://k.example.com",)], "url string")
+    fresh = streams.new_urls(streams.folder_stream(spark, str(tmp_path / "in")), known).collect()
+    assert sorted(r.url for r in fresh) == ["https://a.example.com/x", "https://b.example.com"]
+    merged = streams.extract_upsert(streams.folder_stream(spark, str(tmp_path / "in"))).collect()
+    names = {r.page_id: r.business_name for r in merged}
+    assert len(merged) == len(names) == 4 and names[1] == "Newer" and names[3] == "K2"
