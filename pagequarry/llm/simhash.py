@@ -128,7 +128,9 @@ def _close(group: np.ndarray, prints: np.ndarray, bits: int) -> Iterator[tuple[n
         own, tree = prints[lo:lo + n], np.arange(n)
         a, b = [], []
         for k in range(1, n):
-            near = np.flatnonzero(np.bitwise_count(own[:k] ^ own[k]) <= bits)
+            distance = np.bitwise_count(own[:k] ^ own[k])
+            near = np.flatnonzero(distance <= bits)
+            near = near[np.argsort(distance[near], kind="stable")]  # the closest row of each tree
             roots, at = np.unique(tree[near], return_index=True)
             if roots.size:
                 a += [own[k]] * roots.size
@@ -182,9 +184,9 @@ def compare_buckets(bits: int, columns: list[str]):
 
 
 def near_links(prints: DataFrame, bits: int = BITS) -> DataFrame:
-    """Links ``number, a, b`` between distinct ``number, print`` rows at ``bits`` or fewer
-    differing bits: all that connectivity needs."""
-    assert bits <= BITS, "the keys cover four differing bits"
+    """Links ``a, b`` between distinct ``number, print`` rows at ``bits`` or fewer differing
+    bits.  At four or fewer they are all that connectivity needs; beyond, those
+    that share a key."""
 
     def keys(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -212,11 +214,28 @@ def near_links(prints: DataFrame, bits: int = BITS) -> DataFrame:
     return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicate_classes(docs: DataFrame, size: int = 4, count: int = 1, bits: int = BITS) -> DataFrame:
+def share_of_bits(similarity: float) -> float:
+    """The share of differing bits to expect of two sets with a Jaccard similarity."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def _alike(links: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """The links whose nodes differ in at most ``most`` bits of all their fingerprints."""
+    sides = materialize(links.distinct(), "candidates")
+    for side in ("a", "b"):
+        sides = skew_join(sides, nodes.select(F.col("node").alias(side), F.col("prints").alias(f"of_{side}")), side,
+                          ["a", "b"], "inner")
+    differing = F.aggregate(F.zip_with("of_a", "of_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return sides.where(differing <= most).select("a", "b")
+
+
+def near_duplicate_classes(docs: DataFrame, size: int = 4, count: int = 1, bits: int = BITS, similarity: float | None = None) -> DataFrame:
     """One row per input row: ``doc_id, prints, component_id`` (the smallest id reachable).
 
-    Two documents are linked when any of their ``count`` fingerprints are within
-    ``bits``.  A text without words has the fingerprint zero and is linked like any
+    Two documents are linked when a fingerprint of theirs is within ``bits``.
+    With ``similarity``, all ``count`` fingerprints together must also differ in no
+    more bits than sets of that Jaccard similarity do on average; ``bits`` may then
+    be above four, where the keys find a part of the pairs.  A text without words has the fingerprint zero and is linked like any
     other.  Repeated rows share their class; rows without an id take part, and a
     class of such rows alone has no component id.  An empty table gives none.
     """
@@ -233,6 +252,8 @@ def near_duplicate_classes(docs: DataFrame, size: int = 4, count: int = 1, bits:
     if count > 1:
         same = each.join(distinct, ["number", "print"]).where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b"))
         links = links.unionByName(same)
+    if similarity is not None:
+        links = _alike(links, nodes, int(share_of_bits(similarity) * 64 * count))
     tied = nodes.join(components(links), "node", "left").select("prints", "doc_id", F.coalesce("component", "node").alias("root"))
     tied = materialize(tied, "tied")
     lowest = tied.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -240,10 +261,10 @@ def near_duplicate_classes(docs: DataFrame, size: int = 4, count: int = 1, bits:
     return skew_join(rows, classes, "prints", ["doc_id"], "inner").select("doc_id", "prints", "component_id")
 
 
-def drop_near(docs: DataFrame, size: int = 5, count: int = 6) -> DataFrame:
+def drop_near(docs: DataFrame, size: int = 5, count: int = 8, bits: int = 10, similarity: float = 0.8) -> DataFrame:
     """The documents with one row of each near-duplicate class, the smallest id: columns as they came.
 
     Rows without an id stay.
     """
-    lost = near_duplicate_classes(docs, size, count).where("doc_id != component_id").select("doc_id").distinct()
+    lost = near_duplicate_classes(docs, size, count, bits, similarity).where("doc_id != component_id").select("doc_id").distinct()
     return docs.join(lost, "doc_id", "left_anti")
