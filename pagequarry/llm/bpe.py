@@ -29,7 +29,9 @@ from .words import chunks, texts_at
 
 PRETOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words in the transducer, and words that a task remembers before it starts anew.
-LEXICON, REMEMBERED = 50_000, 150_000
+LEXICON, REMEMBERED = 100_000, 200_000
+#: Bytes from which a pre-token is merged by a queue.
+LONG = 400
 
 
 def byte_letters() -> dict[str, int]:
@@ -56,7 +58,7 @@ class Vocabulary:
     def merge(self, word: bytes) -> list[int]:
         """Ids of one pre-token: the best-ranked neighbours join until none can."""
         parts = [word[k:k + 1] for k in range(len(word))]
-        if len(parts) > 400:
+        if len(parts) > LONG:
             return self._merge_long(parts)
         while len(parts) > 1:
             ranks = [self.ranks.get(p, 1 << 30) for p in zip(parts, parts[1:])]
@@ -75,6 +77,64 @@ class Vocabulary:
             parts = joined
         return [self.ids[p] for p in parts]
 
+    def merge_many(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of many pre-tokens, merged side by side: a round joins the best-ranked pair of every word."""
+        if not hasattr(self, "_pairs"):
+            known = sorted((self.ids[a] << 20 | self.ids[b], rank, self.ids[a + b]) for (a, b), rank in self.ranks.items())
+            self._pairs, self._rank, self._joined = (np.array([k[i] for k in known], np.int64) for i in range(3))
+            self._bytes = np.array([self.ids[bytes([b])] for b in range(256)], np.int64)
+        out: list = [None] * len(words)
+        short = [k for k, w in enumerate(words) if 0 < len(w) <= LONG]
+        for k, w in enumerate(words):
+            if not 0 < len(w) <= LONG:
+                out[k] = self.merge(w)
+        none = 1 << 30
+
+        def pair_at(symbols, at):
+            key = symbols[at] << 20 | symbols[at + 1]
+            place = np.minimum(np.searchsorted(self._pairs, key), len(self._pairs) - 1)
+            return np.where(self._pairs[place] == key, place, -1) if len(self._pairs) else np.full(len(at), -1)
+        size = np.fromiter((len(words[k]) for k in short), np.int64, len(short))
+        symbols = self._bytes[np.frombuffer(b"".join(words[k] for k in short), np.uint8)]
+        owner = np.repeat(np.arange(len(short)), size)
+        inner = np.flatnonzero(owner[1:] == owner[:-1])
+        pair, rank = np.full(len(symbols), -1), np.full(len(symbols), none)
+        pair[inner] = pair_at(symbols, inner)
+        rank[pair >= 0] = self._rank[pair[pair >= 0]]
+        while len(symbols):
+            start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            best = np.minimum.reduceat(rank, start)
+            length = np.diff(np.r_[start, len(symbols)])
+            done = best == none
+            for k in np.flatnonzero(done):
+                out[short[owner[start[k]]]] = symbols[start[k]:start[k] + length[k]].tolist()
+            if done.any():
+                live = np.repeat(~done, length)
+                symbols, owner, pair, rank = symbols[live], owner[live], pair[live], rank[live]
+                best, length = best[~done], length[~done]
+            at = np.flatnonzero(rank == np.repeat(best, length))
+            if not at.size:
+                continue
+            # Of pairs that overlap, as in "aaa", every other one joins, from the left.
+            first = np.r_[True, np.diff(at) > 1]
+            run = np.arange(len(at)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+            at = at[run % 2 == 0]
+            symbols[at] = self._joined[pair[at]]
+            keep = np.ones(len(symbols), bool)
+            keep[at + 1] = False
+            now = np.cumsum(keep) - 1
+            symbols, owner, pair, rank = symbols[keep], owner[keep], pair[keep], rank[keep]
+            changed = np.unique(np.concatenate([now[at], now[at] - 1]))
+            changed = changed[changed >= 0]
+            pair[changed], rank[changed] = -1, none
+            changed = changed[changed + 1 < len(symbols)]
+            changed = changed[owner[changed] == owner[changed + 1]]
+            fresh = pair_at(symbols, changed)
+            pair[changed] = fresh
+            good = fresh >= 0
+            rank[changed[good]] = self._rank[fresh[good]]
+        return out
+
     def _merge_long(self, parts: list[bytes]) -> list[int]:
         """The same for very long pre-tokens, by a queue over a linked list."""
         import heapq
@@ -234,12 +294,16 @@ class Encoder:
         if len(self.ids) > REMEMBERED:
             self.ids, self.texts, self.raw = {}, {}, {}
         fresh = [w for w in set(words) if w not in self.ids]
+        if not fresh:
+            return
         spelled = [w.encode() for w in fresh]
-        for w, b, ids in zip(fresh, spelled, self.lexicon.find(spelled) if fresh else ()):
+        found = self.lexicon.find(spelled)
+        unseen = [k for k, ids in enumerate(found) if ids is None]
+        for k, ids in zip(unseen, self.vocabulary.merge_many([spelled[k] for k in unseen])):
+            found[k] = ids
+        for w, ids in zip(fresh, found):
             if w in self.vocabulary.special:
                 ids = [self.vocabulary.special[w]]
-            elif ids is None:
-                ids = self.vocabulary.merge(b)
             self.ids[w] = ids
             self.texts[w] = ",".join(map(str, ids))
             self.raw[w] = b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
@@ -274,7 +338,8 @@ def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON):
     sent = context.broadcast(vocabulary)
     frequent = count_words(docs, sent).orderBy(F.desc("n"), "word").limit(size).select("word").toArrow()
     words = [w for w in frequent["word"].to_pylist() if w not in vocabulary.special]
-    block = Lexicon.compile({w.encode(): vocabulary.merge(w.encode()) for w in words})
+    spelled = [w.encode() for w in words]
+    block = Lexicon.compile(dict(zip(spelled, vocabulary.merge_many(spelled))))
     return context.broadcast((vocabulary, block))
 
 
@@ -284,11 +349,9 @@ def encode_ids(docs: DataFrame, sent, id_col="doc_id", text_col="text") -> DataF
         encoder = _encoder(sent)
         for batch in batches:
             for part in chunks(batch, "text"):
-                out = []
-                for _, text in texts_at(part, "text"):
-                    words = list(encoder.vocabulary.split(text))
-                    encoder.learn(words)
-                    out.append([i for w in words for i in encoder.ids[w]])
+                split = [list(encoder.vocabulary.split(text)) for _, text in texts_at(part, "text")]
+                encoder.learn(w for words in split for w in words)
+                out = [[i for w in words for i in encoder.ids[w]] for words in split]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "ids"])
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -314,9 +377,9 @@ def encode_digests(docs: DataFrame, sent) -> DataFrame:
         for batch in batches:
             for part in chunks(batch, "text"):
                 counts, ids, decoded = [], [], []
-                for _, text in texts_at(part, "text"):
-                    words = list(encoder.vocabulary.split(text))
-                    encoder.learn(words)
+                split = [list(encoder.vocabulary.split(text)) for _, text in texts_at(part, "text")]
+                encoder.learn(w for words in split for w in words)
+                for words in split:
                     listed = ",".join(map(encoder.texts.__getitem__, words))
                     spelled = b"".join(map(encoder.raw.__getitem__, words))
                     counts.append(listed.count(",") + 1 if listed else 0)
