@@ -77,26 +77,26 @@ class Vocabulary:
             parts = joined
         return [self.ids[p] for p in parts]
 
-    def merge_many(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of many pre-tokens, merged side by side: a round joins the best-ranked pair of every word."""
+    def merge_many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many pre-tokens, one after the other, and their number per word.  They are merged
+        side by side: a round joins the best-ranked pair of every word."""
         if not hasattr(self, "_pairs"):
             known = sorted((self.ids[a] << 20 | self.ids[b], rank, self.ids[a + b]) for (a, b), rank in self.ranks.items())
             self._pairs, self._rank, self._joined = (np.array([k[i] for k in known], np.int64) for i in range(3))
             self._bytes = np.array([self.ids[bytes([b])] for b in range(256)], np.int64)
-        out: list = [None] * len(words)
-        short = [k for k, w in enumerate(words) if 0 < len(w) <= LONG]
+        finished, owners, none = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 1 << 30
         for k, w in enumerate(words):
-            if not 0 < len(w) <= LONG:
-                out[k] = self.merge(w)
-        none = 1 << 30
+            if len(w) > LONG:
+                finished.append(np.array(self.merge(w), np.int64))
+                owners.append(np.full(len(finished[-1]), k))
 
         def pair_at(symbols, at):
             key = symbols[at] << 20 | symbols[at + 1]
             place = np.minimum(np.searchsorted(self._pairs, key), len(self._pairs) - 1)
             return np.where(self._pairs[place] == key, place, -1) if len(self._pairs) else np.full(len(at), -1)
-        size = np.fromiter((len(words[k]) for k in short), np.int64, len(short))
-        symbols = self._bytes[np.frombuffer(b"".join(words[k] for k in short), np.uint8)]
-        owner = np.repeat(np.arange(len(short)), size)
+        size = np.fromiter((len(w) if len(w) <= LONG else 0 for w in words), np.int64, len(words))
+        symbols = self._bytes[np.frombuffer(b"".join(w for w in words if len(w) <= LONG), np.uint8)]
+        owner = np.repeat(np.arange(len(words)), size)
         inner = np.flatnonzero(owner[1:] == owner[:-1])
         pair, rank = np.full(len(symbols), -1), np.full(len(symbols), none)
         pair[inner] = pair_at(symbols, inner)
@@ -106,10 +106,10 @@ class Vocabulary:
             best = np.minimum.reduceat(rank, start)
             length = np.diff(np.r_[start, len(symbols)])
             done = best == none
-            for k in np.flatnonzero(done):
-                out[short[owner[start[k]]]] = symbols[start[k]:start[k] + length[k]].tolist()
             if done.any():
                 live = np.repeat(~done, length)
+                finished.append(symbols[~live])
+                owners.append(owner[~live])
                 symbols, owner, pair, rank = symbols[live], owner[live], pair[live], rank[live]
                 best, length = best[~done], length[~done]
             at = np.flatnonzero(rank == np.repeat(best, length))
@@ -124,8 +124,9 @@ class Vocabulary:
             keep[at + 1] = False
             now = np.cumsum(keep) - 1
             symbols, owner, pair, rank = symbols[keep], owner[keep], pair[keep], rank[keep]
-            changed = np.unique(np.concatenate([now[at], now[at] - 1]))
-            changed = changed[changed >= 0]
+            touched = np.zeros(len(symbols) + 1, bool)
+            touched[now[at]] = touched[now[at] - 1] = True  # -1 falls on the spare place
+            changed = np.flatnonzero(touched[:-1])
             pair[changed], rank[changed] = -1, none
             changed = changed[changed + 1 < len(symbols)]
             changed = changed[owner[changed] == owner[changed + 1]]
@@ -133,7 +134,8 @@ class Vocabulary:
             pair[changed] = fresh
             good = fresh >= 0
             rank[changed[good]] = self._rank[fresh[good]]
-        return out
+        owner = np.concatenate(owners)
+        return np.concatenate(finished)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words))
 
     def _merge_long(self, parts: list[bytes]) -> list[int]:
         """The same for very long pre-tokens, by a queue over a linked list."""
@@ -260,8 +262,8 @@ class Lexicon:
             os.replace(f.name, path)
         return cls(np.memmap(path, np.uint8, "r"))
 
-    def find(self, words: list[bytes]) -> list:
-        """Ids of each word, or None; all words walk through the automaton together."""
+    def find(self, words: list[bytes]) -> np.ndarray:
+        """Each word's place in the table of ids, or -1; all words walk through the automaton together."""
         size = np.fromiter(map(len, words), np.int64, len(words))
         start = np.cumsum(size) - size
         data = np.frombuffer(b"".join(words), np.uint8)
@@ -277,36 +279,55 @@ class Lexicon:
             state[live] = np.where(good, self.target[at], -1)
             place[live] += np.where(good, self.skip[at], 0)
         found = (state >= 0) & (self.ends[np.maximum(state, 0)] == 1) if len(self.ends) else state >= 0
-        return [self.ids[self.offsets[p]:self.offsets[p + 1]].tolist() if f else None for f, p in zip(found.tolist(), place.tolist())]
+        return np.where(found, place, -1)
+
+    def take(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids at the places, one after the other, and their number per place."""
+        low = self.offsets[places]
+        size = self.offsets[places + 1] - low
+        return self.ids[np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())].astype(np.int64), size
 
 
 class Encoder:
-    """Encodes texts in a task: remembered words, then the transducer, then exact merges."""
+    """Encodes texts in a task: remembered words, then the transducer, then exact merges.
+
+    Per word it keeps its ids as decimals joined by commas, and the bytes they spell.
+    """
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.ids: dict[str, list[int]] = {}
         self.texts: dict[str, str] = {}
         self.raw: dict[str, bytes] = {}
+        top = max(vocabulary.bytes_of) + 1
+        self.names = [str(i) for i in range(top)]
+        self.tokens = [vocabulary.bytes_of.get(i, b"") for i in range(top)]
+        self.sizes = np.array([len(t) for t in self.tokens])
 
     def learn(self, words) -> None:
-        """Makes the ids of all the words known."""
-        if len(self.ids) > REMEMBERED:
-            self.ids, self.texts, self.raw = {}, {}, {}
-        fresh = [w for w in set(words) if w not in self.ids]
+        """Makes all the words known."""
+        if len(self.texts) > REMEMBERED:
+            self.texts, self.raw = {}, {}
+        fresh = [w for w in set(words) if w not in self.texts]
         if not fresh:
             return
+        special = [w for w in fresh if w in self.vocabulary.special]
+        fresh = [w for w in fresh if w not in self.vocabulary.special] if special else fresh
+        for w in special:
+            self.texts[w], self.raw[w] = str(self.vocabulary.special[w]), w.encode()
         spelled = [w.encode() for w in fresh]
-        found = self.lexicon.find(spelled)
-        unseen = [k for k, ids in enumerate(found) if ids is None]
-        for k, ids in zip(unseen, self.vocabulary.merge_many([spelled[k] for k in unseen])):
-            found[k] = ids
-        for w, ids in zip(fresh, found):
-            if w in self.vocabulary.special:
-                ids = [self.vocabulary.special[w]]
-            self.ids[w] = ids
-            self.texts[w] = ",".join(map(str, ids))
-            self.raw[w] = b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
+        places = self.lexicon.find(spelled)
+        known, unseen = np.flatnonzero(places >= 0), np.flatnonzero(places < 0)
+        self._keep([fresh[k] for k in known], *self.lexicon.take(places[known]))
+        self._keep([fresh[k] for k in unseen], *self.vocabulary.merge_many([spelled[k] for k in unseen]))
+
+    def _keep(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        listed = ids.tolist()
+        names, raw = [self.names[i] for i in listed], b"".join([self.tokens[i] for i in listed])
+        ends = np.cumsum(counts)
+        spelled = np.concatenate([[0], np.cumsum(self.sizes[ids])])[np.concatenate([[0], ends])].tolist()
+        ends = [0, *ends.tolist()]
+        self.texts.update(zip(words, (",".join(names[a:b]) for a, b in zip(ends, ends[1:]))))
+        self.raw.update(zip(words, (raw[a:b] for a, b in zip(spelled, spelled[1:]))))
 
 
 def _encoder(sent) -> Encoder:
@@ -339,7 +360,8 @@ def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON):
     frequent = count_words(docs, sent).orderBy(F.desc("n"), "word").limit(size).select("word").toArrow()
     words = [w for w in frequent["word"].to_pylist() if w not in vocabulary.special]
     spelled = [w.encode() for w in words]
-    block = Lexicon.compile(dict(zip(spelled, vocabulary.merge_many(spelled))))
+    ids, counts = vocabulary.merge_many(spelled)
+    block = Lexicon.compile(dict(zip(spelled, (x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])))) if words else {})
     return context.broadcast((vocabulary, block))
 
 
@@ -351,7 +373,7 @@ def encode_ids(docs: DataFrame, sent, id_col="doc_id", text_col="text") -> DataF
             for part in chunks(batch, "text"):
                 split = [list(encoder.vocabulary.split(text)) for _, text in texts_at(part, "text")]
                 encoder.learn(w for words in split for w in words)
-                out = [[i for w in words for i in encoder.ids[w]] for words in split]
+                out = [[int(i) for w in words for i in encoder.texts[w].split(",")] for words in split]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "ids"])
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 

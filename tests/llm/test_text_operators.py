@@ -206,10 +206,22 @@ def test_every_code_point_is_split_as_in_the_library():
 def test_transducer_is_minimal_and_exact():
     words = {b"stop": [1], b"stops": [2, 3], b"top": [4], b"tops": [5], b"s": [], b"st\xc3\xb6p": [7]}
     lexicon = bpe.Lexicon.mapped(bpe.Lexicon.compile(words))
-    assert lexicon.find([*words, b"sto", b"", b"stopss", b"x"]) == [*words.values(), None, None, None, None]
+    places = lexicon.find([*words, b"sto", b"", b"stopss", b"x"])
+    assert (places[len(words):] == -1).all() and len(set(places[:len(words)].tolist())) == len(words)
+    ids, counts = lexicon.take(places[:len(words)])
+    assert ids.tolist() == [i for w in words.values() for i in w] and counts.tolist() == [len(w) for w in words.values()]
     accepted = {(tuple(sorted(w[k:] for w in words if w.startswith(p)))) for w in words for k in range(len(w) + 1) for p in [w[:k]]}
     assert len(lexicon.ends) == len(accepted)  # one state per set of endings
-    assert bpe.Lexicon(np.frombuffer(bpe.Lexicon.compile({}), np.uint8)).find([b"a"]) == [None]
+    assert bpe.Lexicon(np.frombuffer(bpe.Lexicon.compile({}), np.uint8)).find([b"a"]).tolist() == [-1]
+
+
+def test_merging_side_by_side_equals_one_by_one():
+    rng = random.Random(1)
+    vocabulary = bpe.Vocabulary(BPE_PATH)
+    words = [bytes(rng.choices(range(256), k=rng.randint(1, 40))) for _ in range(2000)] + [b"a" * k for k in range(1, 60)] + [b"", b"ab" * 900]
+    words += ["".join(rng.choices([" the", "ing", "er", "é", "zz"], k=4)).encode() for _ in range(500)]
+    ids, counts = vocabulary.merge_many(words)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [vocabulary.merge(w) for w in words]
 
 
 # ------------------------------------------------------------------ personal data
