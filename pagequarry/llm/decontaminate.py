@@ -34,7 +34,7 @@ STEPS, EARLY, LATER = 10, 2, 2
 RARE, USABLE, RARE_SHARE = 2, 0.3, 0.03
 #: Edits allowed, as a share of an item's characters.
 MAX_EDITS = 0.2
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 200_000  # about 40 MB of keys
 _TABLE_BITS = 22
 
 
@@ -158,7 +158,8 @@ class Items:
         self.posts = []
         for p in posts:
             p = np.concatenate(p, axis=1) if p else np.zeros((3, 0), np.uint64)
-            self.posts.append(p[:, np.argsort(p[0], kind="stable")])
+            p = p[:, np.argsort(p[0], kind="stable")]
+            self.posts.append((p[0], p[1].astype(np.int32), p[2].astype(np.int32)))
 
     def candidates(self, hashes: np.ndarray, first: np.ndarray):
         """``text, item, first and last start`` proposals for a chunk of texts.
@@ -287,10 +288,10 @@ def benchmark_passages(docs: DataFrame, benchmark: DataFrame, max_edits: float =
     out = spark.createDataFrame([], schema)
     rows = id_and_text(docs)
     for ids, texts in _blocks(items, block_words):
-        block = spark.sparkContext.broadcast((ids, texts))
+        block = spark.sparkContext.broadcast(Items(ids, texts, walks, samples, seed))
 
         def run(batches, block=block):
-            yield from scan(Items(*block.value, walks, samples, seed), batches, max_edits)
+            yield from scan(block.value, batches, max_edits)
         out = out.unionByName(rows.mapInArrow(run, schema))
     return out
 
