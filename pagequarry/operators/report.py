@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.text import _c, blank_to_null, let, or_default, strip
-from ..functions.urls import first_label, logo_basename, netloc, site_url  # noqa: F401
+from ..functions.urls import logo_basename, netloc  # noqa: F401
 from .shared import ranked, union_all
 
 

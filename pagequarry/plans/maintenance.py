@@ -3,12 +3,12 @@
 from pyspark.sql import functions as F
 
 from ..functions import rules, urls
-from ..functions.text import contains_any, safe_folder_name
+from ..functions.text import safe_folder_name
 from ..operators import linkage, maintain, matching, report
-from ..operators.shared import first_per_key, last_per_key, materialize, new_path, ranked
+from ..operators.shared import last_per_key, materialize, new_path, ranked
 from ..sources import files, sinks
 from . import fixtures as fx
-from .extraction import ALL_URLS, SITES, all_urls, netloc_sql, normalized_sql
+from .extraction import ALL_URLS, all_urls, netloc_sql, normalized_sql
 from .registry import query
 
 COUNTER = 12
