@@ -10,8 +10,20 @@ def read(spark, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Rows of an Arrow batch.  Texts are long, and a batch lies in the JVM and in Python at once.
+BATCH_ROWS, _DEFAULT_ROWS = 1000, "10000"
+
+
+def small_batches(spark) -> None:
+    """Smaller Arrow batches for tasks over texts, unless the session has set a size."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, _DEFAULT_ROWS) == _DEFAULT_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just ``doc_id long, text string``, so that further columns cannot clash."""
+    small_batches(docs.sparkSession)
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 

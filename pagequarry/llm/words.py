@@ -78,7 +78,7 @@ def hash_words(words: Words, seed: int = 0, prefix: int | None = None) -> np.nda
     return h
 
 
-def chunks(batch: pa.RecordBatch, text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batch: pa.RecordBatch, text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows with about ``most`` bytes of text each."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
     lo = 0
