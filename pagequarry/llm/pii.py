@@ -39,10 +39,15 @@ TREES, RATE, PRECISION = 30, 0.3, 0.9
 
 
 def _matches(text: Column, needs: str, pattern: str) -> Column:
-    """All matches with the length of the gap before, the end of that gap, and the character after."""
-    whole = F.lit(rf"(?s)(.*?)({pattern})(?=(.?))")
+    """All matches with the length of the gap before, the end of that gap, and the character after.
+
+    The end of the text counts as a last, empty match; else the search for one more
+    would begin anew at every character after the last.
+    """
+    whole = F.lit(rf"(?s)(.*?)({pattern}|\z)(?=(.?))")
     gap, hit, after = (F.regexp_extract_all(text, whole, F.lit(k)) for k in (1, 2, 3))
-    found = F.transform(F.arrays_zip(gap.alias("g"), hit.alias("h"), after.alias("a")), lambda x: F.struct(
+    full = F.filter(F.arrays_zip(gap.alias("g"), hit.alias("h"), after.alias("a")), lambda x: x["h"] != "")
+    found = F.transform(full, lambda x: F.struct(
         F.char_length(x["g"]).alias("gap"), F.substr(x["g"], F.greatest(F.char_length(x["g"]) - NEAR + 1, F.lit(1))).alias("before"),
         x["h"].alias("hit"), x["a"].alias("after")))
     none = F.array().cast("array<struct<gap:int,before:string,hit:string,after:string>>")
