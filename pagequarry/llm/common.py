@@ -37,6 +37,18 @@ def crc_mod(id_col: str, n: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
 
 
+def send(spark, thing):
+    """Broadcasts an object by its attributes, so that tasks need not import its class."""
+    return spark.sparkContext.broadcast(vars(thing))
+
+
+def received(kind, sent):
+    """The object of class ``kind`` that was sent."""
+    thing = kind.__new__(kind)
+    thing.__dict__.update(sent.value)
+    return thing
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of links ``a long, b long`` as ``node, component`` (the smallest node).
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import id_and_text, received, send
 from .words import PUNCTUATION, chunks, find_words, hash_words, mix
 
 #: Steps of a walk, where the first check of all samples lies, places that a sample adds.
@@ -288,10 +288,10 @@ def benchmark_passages(docs: DataFrame, benchmark: DataFrame, max_edits: float =
     out = spark.createDataFrame([], schema)
     rows = id_and_text(docs)
     for ids, texts in _blocks(items, block_words):
-        block = spark.sparkContext.broadcast(Items(ids, texts, walks, samples, seed))
+        block = send(spark, Items(ids, texts, walks, samples, seed))
 
         def run(batches, block=block):
-            yield from scan(block.value, batches, max_edits)
+            yield from scan(received(Items, block), batches, max_edits)
         out = out.unionByName(rows.mapInArrow(run, schema))
     return out
 

@@ -28,7 +28,7 @@ BITS = 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
 BLOCK = 4096
-SMALL = 32
+SMALL = 8
 _GENERATOR = 0b101011100011  # of the (23, 12) Golay code
 
 
