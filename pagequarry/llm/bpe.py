@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import id_and_text, received, send
 from .words import chunks, texts_at
 
 PRETOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -80,7 +80,7 @@ class Vocabulary:
     def merge_many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of many pre-tokens, one after the other, and their number per word.  They are merged
         side by side: a round joins the best-ranked pair of every word."""
-        if not hasattr(self, "_pairs"):
+        if "_pairs" not in vars(self):
             known = sorted((self.ids[a] << 20 | self.ids[b], rank, self.ids[a + b]) for (a, b), rank in self.ranks.items())
             self._pairs, self._rank, self._joined = (np.array([k[i] for k in known], np.int64) for i in range(3))
             self._bytes = np.array([self.ids[bytes([b])] for b in range(256)], np.int64)
@@ -331,14 +331,14 @@ class Encoder:
 
 
 def _encoder(sent) -> Encoder:
-    vocabulary, block = sent.value
-    return Encoder(vocabulary, Lexicon.mapped(block))
+    vocabulary, block = sent
+    return Encoder(received(Vocabulary, vocabulary), Lexicon.mapped(block.value))
 
 
 def count_words(docs: DataFrame, sent) -> DataFrame:
     """``word, n`` over all texts: counts of pre-tokens, summed inside each task first."""
     def run(batches: Iterator[pa.RecordBatch]):
-        vocabulary, counts = sent.value, Counter()
+        vocabulary, counts = received(Vocabulary, sent), Counter()
 
         def out():
             return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
@@ -353,16 +353,16 @@ def count_words(docs: DataFrame, sent) -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON):
-    """Vocabulary and compiled transducer of the ``size`` most frequent words, as one broadcast."""
+    """Vocabulary and compiled transducer of the ``size`` most frequent words, as two broadcasts."""
     context = docs.sparkSession.sparkContext
     vocabulary = Vocabulary(path)
-    sent = context.broadcast(vocabulary)
+    sent = send(docs.sparkSession, vocabulary)
     frequent = count_words(docs, sent).orderBy(F.desc("n"), "word").limit(size).select("word").toArrow()
     words = [w for w in frequent["word"].to_pylist() if w not in vocabulary.special]
     spelled = [w.encode() for w in words]
     ids, counts = vocabulary.merge_many(spelled)
     block = Lexicon.compile(dict(zip(spelled, (x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])))) if words else {})
-    return context.broadcast((vocabulary, block))
+    return sent, context.broadcast(block)
 
 
 def encode_ids(docs: DataFrame, sent, id_col="doc_id", text_col="text") -> DataFrame:
@@ -381,7 +381,7 @@ def encode_ids(docs: DataFrame, sent, id_col="doc_id", text_col="text") -> DataF
 def decode_ids(encoded: DataFrame, sent) -> DataFrame:
     """``doc_id, text`` of ``doc_id, ids``."""
     def run(batches: Iterator[pa.RecordBatch]):
-        vocabulary = sent.value[0]
+        vocabulary = received(Vocabulary, sent[0])
         for b in batches:
             texts = [vocabulary.decode(ids.as_py() or ()) for ids in b.column("ids")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
