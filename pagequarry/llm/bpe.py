@@ -17,6 +17,7 @@ import os
 import tempfile
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -161,16 +162,14 @@ class Vocabulary:
     def decode(self, ids) -> str:
         return b"".join(self.bytes_of[i] for i in ids).decode("utf-8", "replace")
 
-    def split(self, text: str) -> Iterator[str]:
+    def split(self, text: str) -> list[str]:
         """Pre-tokens and special tokens, in order."""
         if not any(s in text for s in self.special):
-            yield from _pretokens(text)
-            return
+            return _pretokens(text)
+        out = []
         for k, part in enumerate(regex.split("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")", text)):
-            if k % 2:
-                yield part
-            else:
-                yield from _pretokens(part)
+            out += [part] if k % 2 else _pretokens(part)
+        return out
 
 
 _pretokens = regex.compile(PRETOKENS).findall
@@ -254,13 +253,11 @@ class Lexicon:
 
     @classmethod
     def mapped(cls, block: bytes) -> "Lexicon":
-        """The transducer in a memory-mapped file that the tasks of a machine share; made where it is missing."""
-        path = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.sha256(block).hexdigest()[:32]}")
-        if not os.path.exists(path) or os.path.getsize(path) != len(block):
-            with tempfile.NamedTemporaryFile(dir=tempfile.gettempdir(), delete=False) as f:
-                f.write(block)
-            os.replace(f.name, path)
-        return cls(np.memmap(path, np.uint8, "r"))
+        """The transducer in a memory-mapped file without a name: it goes when the task lets it go."""
+        with tempfile.TemporaryFile() as f:
+            f.write(block)
+            f.flush()
+            return cls(np.memmap(f, np.uint8, "r"))
 
     def find(self, words: list[bytes]) -> np.ndarray:
         """Each word's place in the table of ids, or -1; all words walk through the automaton together."""
@@ -307,7 +304,7 @@ class Encoder:
         """Makes all the words known."""
         if len(self.texts) > REMEMBERED:
             self.texts, self.raw = {}, {}
-        fresh = [w for w in set(words) if w not in self.texts]
+        fresh = list(set(words).difference(self.texts))
         if not fresh:
             return
         special = [w for w in fresh if w in self.vocabulary.special]
@@ -330,6 +327,12 @@ class Encoder:
         self.raw.update(zip(words, (raw[a:b] for a, b in zip(spelled, spelled[1:]))))
 
 
+def _valid(raw: bytes) -> bytes:
+    """The bytes of the text that they spell: broken UTF-8 becomes replacement characters."""
+    text = raw.decode("utf-8", "replace")
+    return text.encode() if "\ufffd" in text else raw
+
+
 def _encoder(sent) -> Encoder:
     vocabulary, block = sent
     return Encoder(received(Vocabulary, vocabulary), Lexicon.mapped(block.value))
@@ -371,8 +374,8 @@ def encode_ids(docs: DataFrame, sent, id_col="doc_id", text_col="text") -> DataF
         encoder = _encoder(sent)
         for batch in batches:
             for part in chunks(batch, "text"):
-                split = [list(encoder.vocabulary.split(text)) for _, text in texts_at(part, "text")]
-                encoder.learn(w for words in split for w in words)
+                split = [encoder.vocabulary.split(text) for _, text in texts_at(part, "text")]
+                encoder.learn(chain.from_iterable(split))
                 out = [[int(i) for w in words for i in encoder.texts[w].split(",")] for words in split]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "ids"])
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
@@ -399,14 +402,14 @@ def encode_digests(docs: DataFrame, sent) -> DataFrame:
         for batch in batches:
             for part in chunks(batch, "text"):
                 counts, ids, decoded = [], [], []
-                split = [list(encoder.vocabulary.split(text)) for _, text in texts_at(part, "text")]
-                encoder.learn(w for words in split for w in words)
+                split = [encoder.vocabulary.split(text) for _, text in texts_at(part, "text")]
+                encoder.learn(chain.from_iterable(split))
                 for words in split:
                     listed = ",".join(map(encoder.texts.__getitem__, words))
                     spelled = b"".join(map(encoder.raw.__getitem__, words))
                     counts.append(listed.count(",") + 1 if listed else 0)
                     ids.append(hashlib.sha256(listed.encode()).hexdigest())
-                    decoded.append(hashlib.sha256(spelled.decode("utf-8", "replace").encode()).hexdigest())
+                    decoded.append(hashlib.sha256(_valid(spelled)).hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()),
                                                   pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
     return id_and_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
