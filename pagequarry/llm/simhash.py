@@ -28,7 +28,7 @@ BITS = 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
 BLOCK = 4096
-SMALL = 8
+SMALL = 3
 _GENERATOR = 0b101011100011  # of the (23, 12) Golay code
 
 
@@ -125,12 +125,11 @@ def _close(group: np.ndarray, prints: np.ndarray, bits: int) -> Iterator[tuple[n
         hit = left[np.bitwise_count(prints[left] ^ prints[left + step]) <= bits]
         yield prints[hit], prints[hit + step]
     for lo, n in zip(first[size > SMALL], size[size > SMALL]):
-        own, tree = prints[lo:lo + n], np.arange(n)
+        own, tree = np.sort(prints[lo:lo + n]), np.arange(n)
         a, b = [], []
         for k in range(1, n):
-            distance = np.bitwise_count(own[:k] ^ own[k])
-            near = np.flatnonzero(distance <= bits)
-            near = near[np.argsort(distance[near], kind="stable")]  # the closest row of each tree
+            # Of each tree the smallest fingerprint in reach, so that many buckets name the same links.
+            near = np.flatnonzero(np.bitwise_count(own[:k] ^ own[k]) <= bits)
             roots, at = np.unique(tree[near], return_index=True)
             if roots.size:
                 a += [own[k]] * roots.size
@@ -261,7 +260,7 @@ def near_duplicate_classes(docs: DataFrame, size: int = 4, count: int = 1, bits:
     return skew_join(rows, classes, "prints", ["doc_id"], "inner").select("doc_id", "prints", "component_id")
 
 
-def drop_near(docs: DataFrame, size: int = 5, count: int = 8, bits: int = 10, similarity: float = 0.8) -> DataFrame:
+def drop_near(docs: DataFrame, size: int = 5, count: int = 8, bits: int = 8, similarity: float = 0.8) -> DataFrame:
     """The documents with one row of each near-duplicate class, the smallest id: columns as they came.
 
     Rows without an id stay.
