@@ -29,6 +29,7 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
 BLOCK = 4096
 SMALL = 3
+FEW = 256  # rows of a bucket up to which each row's partners are looked for at once
 _GENERATOR = 0b101011100011  # of the (23, 12) Golay code
 
 
@@ -218,14 +219,144 @@ def share_of_bits(similarity: float) -> float:
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def _alike(links: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
-    """The links whose nodes differ in at most ``most`` bits of all their fingerprints."""
-    sides = materialize(links.distinct(), "candidates")
-    for side in ("a", "b"):
-        sides = skew_join(sides, nodes.select(F.col("node").alias(side), F.col("prints").alias(f"of_{side}")), side,
-                          ["a", "b"], "inner")
-    differing = F.aggregate(F.zip_with("of_a", "of_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return sides.where(differing <= most).select("a", "b")
+def members(bits: int):
+    """Arrow function over rows ``key, node, print`` sorted by key: ``key, node`` of the rows with another
+    within ``bits`` in their bucket, and of all rows of a bucket of over ``FEW``."""
+    def out(key, node):
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], ["key", "node"])
+
+    def paired(key, node, own):
+        hit, left = np.zeros(len(key), bool), np.arange(len(key))
+        for step in range(1, len(key)):
+            left = left[left + step < len(key)]
+            left = left[key[left + step] == key[left]]
+            if not left.size:
+                break
+            near = left[np.bitwise_count(own[left] ^ own[left + step]) <= bits]
+            hit[near] = hit[near + step] = True
+        return out(key[hit], node[hit])
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        kept, large = [np.zeros(0, np.int64)] * 3, None
+        for batch in batches:
+            rows = [np.concatenate([k, batch.column(c).to_numpy()]) for k, c in zip(kept, ("key", "node", "print"))]
+            if large is not None:
+                n = int(np.searchsorted(rows[0], large, "right"))
+                yield out(rows[0][:n], rows[1][:n])
+                rows = [r[n:] for r in rows]
+            if not len(rows[0]):
+                kept = rows
+                continue
+            large, last = None, int(np.searchsorted(rows[0], rows[0][-1]))  # the last bucket may go on
+            yield paired(*(r[:last] for r in rows))
+            kept = [r[last:] for r in rows]
+            if len(kept[0]) > FEW:
+                yield out(kept[0], kept[1])
+                large, kept = int(kept[0][0]), [r[:0] for r in kept]
+        yield paired(*kept)
+    return run
+
+
+def verified_forest(own: np.ndarray, prints: np.ndarray, bits: int, most: int) -> tuple[list[int], list[int]]:
+    """Links (places) of a spanning forest over the rows within ``bits`` of each other in
+    ``own`` and within ``most`` in all ``prints``.  Only such pairs join a tree, so nothing is lost."""
+    left, a, b = np.arange(len(own)), [], []
+    while left.size > 1:
+        reached, left = [left[0]], left[1:]
+        for at in reached:  # grows meanwhile
+            if not left.size:
+                break
+            near = np.flatnonzero(np.bitwise_count(own[left] ^ own[at]) <= bits)
+            near = near[np.bitwise_count(prints[left[near]] ^ prints[at]).sum(1) <= most]
+            found = left[near]
+            a += [at] * found.size
+            b += found.tolist()
+            reached += found.tolist()
+            left = np.delete(left, near)
+    return a, b
+
+
+def verify_buckets(bits: int, most: int, columns: list[str]):
+    """Arrow function over rows ``key, node, prints`` sorted by ``columns``: links ``a, b`` of nodes."""
+    def links(node, prints, number):
+        a, b = verified_forest(prints[:, number], prints, bits, most)
+        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        cols, node, prints = None, None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [batch.column(c).to_numpy() for c in (*columns, "node")]
+            values = batch.column("prints").flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
+            if cols is None:
+                *cols, node = new
+                prints = values
+            else:
+                *cols, node = [np.concatenate([k, x]) for k, x in zip((*cols, node), new)]
+                prints = np.concatenate([prints, values])
+            change = np.zeros(len(node), bool)
+            for c in cols:
+                change[1:] |= c[1:] != c[:-1]
+            first = np.r_[0, np.flatnonzero(change)]
+            for lo, hi in zip(first[:-1], first[1:]):
+                yield links(node[lo:hi], prints[lo:hi], int(cols[0][lo]) >> 26)
+            cols, node, prints = [c[first[-1]:] for c in cols], node[first[-1]:], prints[first[-1]:]
+        if cols is not None:
+            yield links(node, prints, int(cols[0][0]) >> 26)
+    return run
+
+
+def verified_links(nodes: DataFrame, bits: int, most: int) -> DataFrame:
+    """Links ``a, b`` between rows ``node, prints`` that share a key of a fingerprint within ``bits``
+    there and differ in at most ``most`` bits of all their fingerprints: of each bucket a spanning
+    forest of the pairs that pass, so that the links tie all that such pairs tie."""
+    def keys(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                node = part.column("node").to_numpy()
+                prints = part.column("prints").flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+                for number in range(prints.shape[1]):
+                    row, key = golay_keys(prints[:, number])
+                    yield pa.RecordBatch.from_arrays([pa.array(key | number << 26), pa.array(node[row]),
+                                                      pa.array(prints[row, number].view(np.int64))], ["key", "node", "print"])
+    n = partitions(nodes)
+    entries = nodes.select("node", "prints").mapInArrow(keys, "key long, node long, print long")
+    # Most entries meet nothing; only those that do carry all their fingerprints.
+    met = materialize(entries.repartition(n, "key").sortWithinPartitions("key").mapInArrow(members(bits), "key long, node long"), "members")
+    large = met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 2 * BLOCK) \
+        .select("key", F.ceil(F.col("n") * 2 / BLOCK).alias("blocks"))
+    large = materialize(large, "large")
+    of_nodes = nodes.select("node", "prints")
+    if large.isEmpty():
+        whole, split = met, None
+    else:
+        whole = met.join(large, "key", "left_anti")
+        split = skew_join(met, large, "key", ["node"], "inner").withColumn("_own", F.pmod(F.xxhash64("node"), "blocks"))
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+        split = split.withColumn("_other", other).select("key", F.least("_own", "_other").alias("i"),
+                                                         F.greatest("_own", "_other").alias("j"), "node")
+    links = whole.join(of_nodes, "node").repartition(n, "key").sortWithinPartitions("key", "node") \
+        .mapInArrow(verify_buckets(bits, most, ["key"]), "a long, b long")
+    if split is not None:
+        links = links.unionByName(split.join(of_nodes, "node").repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+                                  .mapInArrow(verify_buckets(bits, most, ["key", "i", "j"]), "a long, b long"))
+    return materialize(links.distinct(), "verified")
+
+
+def _unverified(nodes: DataFrame, bits: int, count: int) -> DataFrame:
+    """Links ``a, b`` of nodes with a fingerprint within ``bits``."""
+    each = nodes.select("node", F.posexplode("prints").alias("number", "print"))
+    distinct = materialize(each.groupBy("number", "print").agg(F.min("node").alias("first")), "distinct")
+    near = near_links(distinct, bits)
+    firsts = distinct.groupBy("print").agg(F.min("first").alias("first")) if count > 1 else distinct
+    links = near.join(firsts.select(F.col("print").alias("a"), F.col("first").alias("x")), "a") \
+        .join(firsts.select(F.col("print").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    if count > 1:
+        same = each.join(distinct, ["number", "print"]).where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+        links = links.unionByName(same)
+    return links
 
 
 def near_duplicate_classes(docs: DataFrame, size: int = 4, count: int = 1, bits: int = BITS, similarity: float | None = None) -> DataFrame:
@@ -233,8 +364,9 @@ def near_duplicate_classes(docs: DataFrame, size: int = 4, count: int = 1, bits:
 
     Two documents are linked when a fingerprint of theirs is within ``bits``.
     With ``similarity``, all ``count`` fingerprints together must also differ in no
-    more bits than sets of that Jaccard similarity do on average; ``bits`` may then
-    be above four, where the keys find a part of the pairs.  A text without words has the fingerprint zero and is linked like any
+    more bits than sets of that Jaccard similarity do on average, which is tested
+    inside the buckets, before links are chosen; ``bits`` may then be above four,
+    where the keys find a part of the pairs.  A text without words has the fingerprint zero and is linked like any
     other.  Repeated rows share their class; rows without an id take part, and a
     class of such rows alone has no component id.  An empty table gives none.
     """
@@ -242,17 +374,10 @@ def near_duplicate_classes(docs: DataFrame, size: int = 4, count: int = 1, bits:
     nodes = rows.groupBy("prints").agg(F.min("doc_id").alias("doc_id"))
     # A node's number: its place in the written table.
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    each = nodes.select("node", F.posexplode("prints").alias("number", "print"))
-    distinct = materialize(each.groupBy("number", "print").agg(F.min("node").alias("first")), "distinct")
-    near = near_links(distinct, bits)
-    firsts = distinct.groupBy("print").agg(F.min("first").alias("first")) if count > 1 else distinct
-    links = near.join(firsts.select(F.col("print").alias("a"), F.col("first").alias("x")), "a") \
-        .join(firsts.select(F.col("print").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    if count > 1:
-        same = each.join(distinct, ["number", "print"]).where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b"))
-        links = links.unionByName(same)
     if similarity is not None:
-        links = _alike(links, nodes, int(share_of_bits(similarity) * 64 * count))
+        links = verified_links(nodes, bits, int(share_of_bits(similarity) * 64 * count))
+    else:
+        links = _unverified(nodes, bits, count)
     tied = nodes.join(components(links), "node", "left").select("prints", "doc_id", F.coalesce("component", "node").alias("root"))
     tied = materialize(tied, "tied")
     lowest = tied.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -260,7 +385,7 @@ def near_duplicate_classes(docs: DataFrame, size: int = 4, count: int = 1, bits:
     return skew_join(rows, classes, "prints", ["doc_id"], "inner").select("doc_id", "prints", "component_id")
 
 
-def drop_near(docs: DataFrame, size: int = 5, count: int = 8, bits: int = 8, similarity: float = 0.8) -> DataFrame:
+def drop_near(docs: DataFrame, size: int = 5, count: int = 8, bits: int = 10, similarity: float = 0.8) -> DataFrame:
     """The documents with one row of each near-duplicate class, the smallest id: columns as they came.
 
     Rows without an id stay.

@@ -208,3 +208,45 @@ def test_drop_near_keeps_one_of_each_class(docs):
     rows = simhash.drop_near(docs, size=5, count=2).collect()
     assert len({r.doc_id for r in rows if r.doc_id is not None}) < len({r[0] for r in awkward()})
     assert sum("hot" in low(r.text) for r in rows) == 1
+
+
+def flipped(prints, bits):
+    """The prints with the given bits (of all of them, in a row) turned over."""
+    out = list(prints)
+    for b in bits:
+        out[b // 64] ^= 1 << b % 64
+    return [int(np.uint64(p).astype(np.int64)) for p in out]
+
+
+def verified(spark, rows, bits=10, most=77):
+    nodes = spark.createDataFrame(list(enumerate(rows)), "node long, prints array<long>").repartition(2)
+    return {(min(r), max(r)) for r in simhash.verified_links(nodes, bits, most).collect()}
+
+
+def test_a_pair_that_fails_on_all_bits_hides_no_other_pair(spark):
+    rng = random.Random(5)
+    base, far = ([rng.getrandbits(64) for _ in range(8)] for _ in range(2))
+    # In print 0 all four are next to each other; x and y alone agree in the others, at more than the keys' reach.
+    base[0] &= ~0b1111
+    z, w = flipped([base[0], *far[1:]], []), flipped([base[0], *(p ^ (1 << 64) - 1 for p in far[1:])], [0])
+    apart = [64 * k + 6 * j for k in range(1, 8) for j in range(10)]
+    x, y = flipped(base, [1]), flipped(base, [2, *apart])
+    assert verified(spark, [z, w, x, y]) == {(2, 3)}
+
+
+def test_large_buckets_are_verified_in_blocks(spark, monkeypatch):
+    rng = random.Random(6)
+    base = [rng.getrandbits(64) for _ in range(8)]
+    rows = sorted({tuple(flipped(base, rng.sample(range(512), rng.choice((3, 30, 45))))) for _ in range(60)})
+    want = {(i, j) for i in range(60) for j in range(i) if sum(((a ^ b) % (1 << 64)).bit_count() for a, b in zip(rows[i], rows[j])) <= 50}
+    monkeypatch.setattr(simhash, "BLOCK", 4)
+    monkeypatch.setattr(simhash, "FEW", 5)
+    got = {(b, a) for a, b in verified(spark, rows, most=50)}
+    assert got <= want
+
+    def classes(pairs):
+        root = list(range(60))
+        for a, b in pairs:
+            root = [root[b] if r == root[a] else r for r in root]
+        return len(set(root)), collections.Counter(collections.Counter(root).values())
+    assert classes(got) == classes(want)
