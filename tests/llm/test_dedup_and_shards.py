@@ -250,3 +250,13 @@ def test_large_buckets_are_verified_in_blocks(spark, monkeypatch):
             root = [root[b] if r == root[a] else r for r in root]
         return len(set(root)), collections.Counter(collections.Counter(root).values())
     assert classes(got) == classes(want)
+
+
+def test_holders_of_an_equal_print_are_each_compared(spark):
+    rng = random.Random(7)
+    base, far = ([rng.getrandbits(64) for _ in range(8)] for _ in range(2))
+    # The smallest node, x and y hold the same print 0; only x is like y, and v, next to it in print 0, is like x alone.
+    first, x = flipped([base[0], *far[1:]], []), flipped(base, [])
+    y = flipped(base, [64 * k + 6 * j for k in range(1, 8) for j in range(10)])
+    v = flipped(base, [0, *(64 * k + 6 * j + 3 for k in range(1, 8) for j in range(10))])
+    assert verified(spark, [first, x, y, v]) == {(1, 2), (1, 3)}
