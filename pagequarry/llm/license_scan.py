@@ -3,9 +3,9 @@
 A template is a notice: a label, its words, and the key phrases that must stand
 word for word.  One narrow pass over the texts finds, for files that hold all key
 words of some template, where the templates' words stand.  Document frequencies of
-these words over all files give their IDF.  A file's highest-IDF words look up
-the templates' postings; postings that agree on the start of the notice are an
-alignment; its key phrases are then verified and its words weighed.
+these words over all files give their IDF.  Of each template the highest-IDF words among
+those of its key phrases look up its postings, in every file; where all of them agree
+on the start of the notice is an alignment; its key phrases are then verified and its words weighed.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -98,12 +98,15 @@ def notices(scanned: DataFrame, templates=TEMPLATES, rarest: int = RAREST, cover
     idf = counts.select("word", F.log((files + 1) / F.col("df")).alias("idf"))
     weighed = index.join(idf, "word", "left").fillna(0.0, ["idf"])
     hits = scanned.where("places is not null").select("row", F.inline("places"))
-    present = scanned.where("places is not null").select("row", F.explode("found").alias("word")).join(idf, "word")
-    best = W.partitionBy("row").orderBy(F.desc("idf"), "word")
-    rare = present.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= rarest).select("row", "word")
-    aligned = hits.join(rare, ["row", "word"]).join(index, "word") \
-        .groupBy("row", "template", (F.col("pos") - F.col("at")).alias("start")).agg(F.count("*").alias("votes"))
-    expected = aligned.where("votes > 1").select("row", "template", "start").join(weighed, "template") \
+    # A notice stands only with all its must words, so the rarest of them, the same for all files, miss none.
+    best = W.partitionBy("template").orderBy(F.desc("idf"), "word")
+    needed = weighed.where("must").select("template", "word", "idf").distinct()
+    rare = needed.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= rarest).select("template", "word")
+    lookups = index.where("must").join(rare, ["template", "word"]).withColumn("needs", F.count("*").over(W.partitionBy("template")))
+    aligned = hits.join(F.broadcast(lookups), "word") \
+        .groupBy("row", "template", (F.col("pos") - F.col("at")).alias("start")).agg(
+            F.count("*").alias("votes"), F.first("needs").alias("needs"))
+    expected = aligned.where("votes = needs").select("row", "template", "start").join(weighed, "template") \
         .withColumn("pos", F.col("start") + F.col("at"))
     met = expected.join(hits.withColumn("met", F.lit(1)), ["row", "pos", "word"], "left")
     share = F.sum(F.when(F.col("met") == 1, F.col("idf")).otherwise(0.0)) / F.greatest(F.sum("idf"), F.lit(1e-9))

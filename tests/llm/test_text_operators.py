@@ -320,3 +320,20 @@ def test_exchange_finds_the_classes_of_a_cycle():
         pairs[a, (rng.integers(0, words // kinds) * kinds + (a + 1) % kinds)] += 1
     of = class_lm.exchange(pairs, words, kinds)
     assert len({(k % kinds, of[k]) for k in range(words)}) == kinds and of[words:].tolist() == [3, 4]
+
+
+def test_every_notice_of_a_file_is_looked_up(spark):
+    from pagequarry.llm import license_scan
+    gpl = "this work is licensed under the GNU general public license version 3"
+    four = f"licensed under the Apache license version 2 0 . licensed under cc by nc 4 0 . {gpl} . subject to the terms of the Mozilla public license v 2 0"
+    rows = [(1, four), (2, f"free charge mozilla redistribution lesser isc fee unencumbered creative attribution 4 2 0 {gpl} words")]
+    rows += [(k, gpl) for k in range(10, 60)] + [(k, "licensed under cc by nc 4 0") for k in range(60, 80)]
+    got = {r.doc_id: r.labels for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == "apache-2,cc-by-nc,gpl-3,mpl-2" and got[2] == "gpl-3" and got[10] == "gpl-3"
+
+
+def test_a_key_phrase_of_one_word_is_found(spark):
+    from pagequarry.llm import license_scan
+    rows = [(1, "under the zlib terms"), (2, "no terms")]
+    got = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), [("zlib", "under the zlib terms", ("zlib",))])
+    assert {r.doc_id: r.labels for r in got.collect()} == {1: "zlib", 2: ""}
