@@ -13,6 +13,7 @@ of a spanning forest, never all its pairs, and a bucket of more than ``BLOCK``
 fingerprints is compared in pairs of blocks by several tasks.
 """
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,16 +101,19 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 4, count: int = 1) -> DataFrame:
-    """``doc_id, prints array<long>`` of whole texts.  The first is over the hashes
+    """``doc_id, prints array<long>, digest binary`` (SHA-256) of whole texts.  The first is over the hashes
     themselves, further ones over independent permutations of them."""
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            out = []
+            out, digests = [], []
             for text in b.column("text"):
-                h = shingle_hashes(text.as_py() or "", size)
+                text = text.as_py() or ""
+                h = shingle_hashes(text, size)
+                digests.append(hashlib.sha256(text.encode()).digest())
                 out.append([np.uint64(fingerprint(mix(h ^ np.uint64(k)) if k else h)).astype(np.int64) for k in range(count)])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "prints"])
-    return id_and_text(docs).mapInArrow(run, "doc_id long, prints array<long>")
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.list_(pa.int64())), pa.array(digests, pa.binary())],
+                                             ["doc_id", "prints", "digest"])
+    return id_and_text(docs).mapInArrow(run, "doc_id long, prints array<long>, digest binary")
 
 
 def _close(group: np.ndarray, prints: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -359,6 +363,19 @@ def _unverified(nodes: DataFrame, bits: int, count: int) -> DataFrame:
     return links
 
 
+def _roots(rows: DataFrame, bits: int, count: int, similarity: float | None) -> DataFrame:
+    """``prints, doc_id`` (the smallest), ``root`` (a number of its class) of each distinct ``prints``."""
+    nodes = rows.groupBy("prints").agg(F.min("doc_id").alias("doc_id"))
+    # A node's number: its place in the written table.
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    if similarity is not None:
+        links = verified_links(nodes, bits, int(share_of_bits(similarity) * 64 * count))
+    else:
+        links = _unverified(nodes, bits, count)
+    tied = nodes.join(components(links), "node", "left").select("prints", "doc_id", F.coalesce("component", "node").alias("root"))
+    return materialize(tied, "tied")
+
+
 def near_duplicate_classes(docs: DataFrame, size: int = 4, count: int = 1, bits: int = BITS, similarity: float | None = None) -> DataFrame:
     """One row per input row: ``doc_id, prints, component_id`` (the smallest id reachable).
 
@@ -370,16 +387,8 @@ def near_duplicate_classes(docs: DataFrame, size: int = 4, count: int = 1, bits:
     other.  Repeated rows share their class; rows without an id take part, and a
     class of such rows alone has no component id.  An empty table gives none.
     """
-    rows = materialize(fingerprints(docs, size, count), "prints")
-    nodes = rows.groupBy("prints").agg(F.min("doc_id").alias("doc_id"))
-    # A node's number: its place in the written table.
-    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    if similarity is not None:
-        links = verified_links(nodes, bits, int(share_of_bits(similarity) * 64 * count))
-    else:
-        links = _unverified(nodes, bits, count)
-    tied = nodes.join(components(links), "node", "left").select("prints", "doc_id", F.coalesce("component", "node").alias("root"))
-    tied = materialize(tied, "tied")
+    rows = materialize(fingerprints(docs, size, count).drop("digest"), "prints")
+    tied = _roots(rows, bits, count, similarity)
     lowest = tied.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     classes = skew_join(tied, lowest, "root", ["prints"], "inner").select("prints", "component_id")
     return skew_join(rows, classes, "prints", ["doc_id"], "inner").select("doc_id", "prints", "component_id")
@@ -388,7 +397,16 @@ def near_duplicate_classes(docs: DataFrame, size: int = 4, count: int = 1, bits:
 def drop_near(docs: DataFrame, size: int = 5, count: int = 8, bits: int = 10, similarity: float = 0.8) -> DataFrame:
     """The documents with one row of each near-duplicate class, the smallest id: columns as they came.
 
-    Rows without an id stay.
+    A row is known by its id and text: an id with two texts is two documents, of
+    which one class keeps one.  Rows without an id stay.
     """
-    lost = near_duplicate_classes(docs, size, count, bits, similarity).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti")
+    rows = materialize(fingerprints(docs, size, count), "prints")
+    tied = _roots(rows, bits, count, similarity)
+    own = skew_join(rows.where("doc_id is not null").distinct(), tied.select("prints", "root"), "prints", ["doc_id", "digest"], "inner") \
+        .select("doc_id", "digest", "root")
+    own = materialize(own, "documents")
+    keep = own.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("keep"))
+    lost = skew_join(own, keep, "root", ["doc_id", "digest"], "inner").where(F.struct("doc_id", "digest") != F.col("keep"))
+    lost = lost.select("doc_id", F.lower(F.hex("digest")).alias("_sha256"))
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    return docs.withColumn("_sha256", F.sha2(text, 256)).join(lost, ["doc_id", "_sha256"], "left_anti").select(docs.columns)

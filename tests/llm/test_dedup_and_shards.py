@@ -260,3 +260,12 @@ def test_holders_of_an_equal_print_are_each_compared(spark):
     y = flipped(base, [64 * k + 6 * j for k in range(1, 8) for j in range(10)])
     v = flipped(base, [0, *(64 * k + 6 * j + 3 for k in range(1, 8) for j in range(10))])
     assert verified(spark, [first, x, y, v]) == {(1, 2), (1, 3)}
+
+
+def test_drop_near_removes_rows_not_ids(spark):
+    rng = random.Random(8)
+    a, b, c = (" ".join(f"{k}{rng.randrange(10**6)}" for _ in range(200)) for k in "abc")
+    rows = [(1, a), (2, f"{a} end"), (2, b), (3, c), (3, f"{c} end"), (3, c), (None, f"{a} more")]
+    kept = simhash.drop_near(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.text) for r in kept} & {(1, a), (2, b), (None, f"{a} more")} == {(1, a), (2, b), (None, f"{a} more")}
+    assert len({r.text for r in kept if r.doc_id == 3}) == 1 and (2, f"{a} end") not in {(r.doc_id, r.text) for r in kept}
