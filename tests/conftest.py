@@ -4,8 +4,7 @@ import sys
 import pytest
 
 ROOT = pathlib.Path(__file__).resolve().parent.parent
-sys.path[:0] = [str(ROOT), str(ROOT / "tools")]
-SF = "/root/testdata/sf0.001"
+sys.path[:0] = [str(ROOT), str(ROOT / "tools"), str(ROOT / "tests")]
 
 
 @pytest.fixture(scope="session")
@@ -19,4 +18,5 @@ def spark():
 @pytest.fixture(scope="session")
 def con():
     import check
+    from support import SF
     return check.oracle(SF)

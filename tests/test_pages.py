@@ -136,7 +136,7 @@ def test_logo_needs_integer_sizes(spark):
 
 
 def test_node_intervals_are_consistent(spark):
-    from conftest import SF
+    from support import SF
     df = parse_pages(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html"))
     n = N.exploded(df)
     bad = n.alias("a").join(n.alias("b"), F.expr("a.page_id = b.page_id AND a.parent_id = b.node_id")).where(

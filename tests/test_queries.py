@@ -2,7 +2,7 @@
 
 import check
 import pytest
-from conftest import SF
+from support import SF
 
 import __spark_entry__ as E
 from pagequarry.plans import catalog
