@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import (bpe, class_lm, decontaminate, exact_dedup, license_scan, pii, resampling, sharding, simhash, spelling,
-               toxicity, url_filter)
+               substring_dedup, toxicity, url_filter)
 from .common import read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -166,3 +166,18 @@ _NEAR_WORDS = f"""
 def op11(spark, sf_dir):
     """Every word of the documents with its near words, the word it is a variant of, and the end of that chain."""
     return spelling.spelling_groups(read(spark, sf_dir, "documents"))
+
+
+@query("op13_fm_index_substrings", r"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+         g AS (SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS words FROM d, LATERAL (SELECT unnest(range(1, len(w) - 11)) AS i)),
+         f AS (SELECT words, min(doc_id) AS first FROM g GROUP BY words),
+         gone AS (SELECT DISTINCT r, i + k AS i FROM g JOIN f USING (words), range(13) AS o(k) WHERE doc_id > first),
+         kept AS (SELECT r, i, w FROM (SELECT r, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM d) ANTI JOIN gone USING (r, i)),
+         body AS (SELECT r, count(*) AS n, string_agg(w, ' ' ORDER BY i) AS kept FROM kept GROUP BY r)
+    SELECT doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM d LEFT JOIN body USING (r)""")
+def op13(spark, sf_dir):
+    """Every document without the passages of 13 words that stand in a document with a smaller id."""
+    kept = substring_dedup.drop_repeats(read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

@@ -40,8 +40,8 @@ def mix(h):
     return h ^ (h >> np.uint64(32))
 
 
-def find_words(texts: pa.Array, ends=SPACE) -> Words:
-    """Words of each text after lower-casing A-Z; a null text has none."""
+def find_words(texts: pa.Array, ends=SPACE, lower: bool = True) -> Words:
+    """Words of each text, after lower-casing A-Z unless told otherwise; a null text has none."""
     texts = texts.cast(pa.large_string())
     if texts.null_count:
         texts = texts.fill_null("")
@@ -50,7 +50,7 @@ def find_words(texts: pa.Array, ends=SPACE) -> Words:
     raw = np.frombuffer(body, np.uint8)[at[0]:at[-1]] if body is not None else np.zeros(0, np.uint8)
     bounds = at - at[0]
     data = np.zeros(len(raw) + 8, np.uint8)  # reads of eight bytes may pass the end
-    data[:len(raw)] = _LOWER[raw]
+    data[:len(raw)] = _LOWER[raw] if lower else raw
     inside = ~ends[raw]
     fresh = np.zeros(len(raw) + 1, bool)
     fresh[bounds] = True
@@ -78,6 +78,16 @@ def hash_words(words: Words, seed: int = 0, prefix: int | None = None) -> np.nda
     return h
 
 
+def gather(data: np.ndarray, start: np.ndarray, end: np.ndarray, space: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces ``data[start:end]`` in a row, each followed by a space if asked for, and where each begins and ends."""
+    size = end - start + space
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    out = data[np.arange(bounds[-1]) - np.repeat(bounds[:-1] - start, size)]
+    if space:
+        out[bounds[1:] - 1] = 32
+    return out, bounds
+
+
 def chunks(batch: pa.RecordBatch, text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows with about ``most`` bytes of text each."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
