@@ -29,11 +29,12 @@ def new_path(spark, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
+def materialize(df: DataFrame, name: str = "step", **options) -> DataFrame:
     """Write once to the shared folder and read back: cuts the lineage, survives
-    lost executors, and lets later steps read only the columns they need."""
+    lost executors, and lets later steps read only the columns they need.
+    ``options`` go to the Parquet writer."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
