@@ -214,14 +214,14 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: i
     """
     rows = id_and_text(docs).withColumn("key", F.xxhash64("doc_id", "text"))
     known = rows.where("doc_id is not null")
-    placed = materialize(anchors(known, window, gram), "anchors")
+    placed = anchors(known, window, gram)  # read twice: cheaper than to keep
     live = placed.groupBy("anchor").agg(F.count("*").alias("docs"), F.sum("times").alias("times")).where("docs > 1")
     live = materialize(live.select("anchor", (F.col("times") >= hot).alias("hot")), "live")
-    lists = beside(placed.select("doc_id", "key", "anchor"), live, "anchor", "inner", F.lit(24), small).groupBy("doc_id", "key") \
+    lists = beside(placed.select("key", "anchor"), live, "anchor", "inner", F.lit(24), small).groupBy("key") \
         .agg(F.collect_set("anchor").alias("live"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
     lists = materialize(lists, "lists")
     size = 8 * (F.size("live") + F.size("hot")) + 48
-    found = materialize(segments(beside(known, lists, ["doc_id", "key"], "inner", size, small), window, gram, longest), "segments")
+    found = materialize(segments(beside(known, lists, "key", "inner", size, small), window, gram, longest), "segments", compression="zstd")
     distinct = found.groupBy("anchor", "seg", "words").agg(F.min("doc_id").alias("first"))
     told = materialize(earlier_windows(distinct, window, shard_words), "verdicts")
     # All windows of a segment stand in its first document; that one itself loses only what stands before it.
