@@ -1,5 +1,7 @@
 """Queries over lead tables: sources, sinks, linkage, maintenance, reports."""
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from ..functions import rules, urls
@@ -39,24 +41,52 @@ def folders(spark, d):
 
 # ------------------------------------------------------------------ sources and sinks
 
+@contextmanager
+def small_ranges(spark, size):
+    """Input splits of a few hundred bytes, so that the given tables' files are cut inside records."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _range(rows):
+    """A size of input splits that cuts files of so many rows into a few dozen pieces."""
+    return max(700, rows * 8)
+
+
+LONG_NAME = """coalesce(business_name, 'Unnamed') || CASE row_idx % 3 WHEN 0 THEN chr(10) || 'the "best", since' || chr(10) || chr(10) || '1990'
+      WHEN 1 THEN chr(10) || 'more' ELSE ',"x' END"""
+
+
 @query("lead_scan", f"""
     SELECT row_number() OVER (ORDER BY row_idx) AS position, {normalized_sql('raw_url')} AS url, email, NULL AS logo,
-      CASE WHEN row_idx % 9 != 0 THEN business_name END AS business_name, services, NULL AS error, 'kept' AS extra FROM {LEADS} l""")
+      CASE WHEN row_idx % 9 != 0 THEN {LONG_NAME} END AS business_name, services, NULL AS error, 'kept' AS extra FROM {LEADS} l""")
 def lead_scan(spark, d):
+    """Cells hold line breaks, quotes and commas; the files are read in ranges that end inside them."""
     path = new_path(spark, "lead-csv")
-    name = F.when(F.col("row_idx") % 9 == 0, F.lit("N/A")).otherwise(F.col("business_name"))
-    sinks.write_leads(leads(spark, d).select("row_idx", F.col("raw_url").alias("url"), "email", name.alias("business_name"),
-                                             "services", F.lit("kept").alias("extra")), path)
-    good, _ = files.split_rejects(files.lead_scan(spark, path))
+    rest = F.when(F.col("row_idx") % 3 == 0, '\nthe "best", since\n\n1990').when(F.col("row_idx") % 3 == 1, "\nmore").otherwise(',"x')
+    name = F.when(F.col("row_idx") % 9 == 0, F.lit("N/A")).otherwise(F.concat(F.coalesce("business_name", F.lit("Unnamed")), rest))
+    table = leads(spark, d)
+    sinks.write_leads(table.select("row_idx", F.col("raw_url").alias("url"), "email", name.alias("business_name"),
+                                   "services", F.lit("kept").alias("extra")), path)
+    with small_ranges(spark, _range(table.count())):
+        good, _ = files.split_rejects(files.lead_scan(spark, path))
     return ranked(good, "row_idx", name="position").drop("row_idx")
 
 
 @query("lead_scan_headerless", f"SELECT row_number() OVER (ORDER BY row_idx) AS position, {normalized_sql('bare')} AS url FROM (SELECT row_idx, trim(raw_url) AS bare FROM {LEADS} l)")
 def lead_scan_headerless(spark, d):
     path = new_path(spark, "headerless")
-    lines = leads(spark, d).select("row_idx", F.concat(F.trim("raw_url"), F.lit(",ignored")).alias("value"))
+    table = leads(spark, d)
+    lines = table.select("row_idx", F.concat(F.trim("raw_url"), F.lit(',"ignored\nhttps://no.example.com,\n"')).alias("value"))
     sinks.write_lines(lines, path, "row_idx")
-    return ranked(files.lead_scan_headerless(spark, path), "row_idx", name="position").select("position", "url")
+    with small_ranges(spark, _range(table.count())):
+        found = files.lead_scan_headerless(spark, path)
+    return ranked(found, "row_idx", name="position").select("position", "url")
 
 
 @query("lead_scan_lenient", f"SELECT {normalized_sql('trim(raw_url)')} AS url FROM {LEADS} l WHERE row_idx % 10 != 9")
@@ -64,11 +94,14 @@ def lead_scan_lenient(spark, d):
     path = new_path(spark, "lenient")
     k = F.col("row_idx").cast("string")
     line = F.when(F.col("row_idx") % 10 == 9, k).when(F.col("row_idx") % 10 == 8, F.concat_ws(",", k, F.trim("raw_url"), F.lit("x"), F.lit("y"))) \
-        .otherwise(F.concat_ws(",", k, F.trim("raw_url")))
-    body = leads(spark, d).select("row_idx", line.alias("value"))
+        .when(F.col("row_idx") % 10 == 7, F.concat(F.lit('"a\n""b,\n",'), F.trim("raw_url"))).otherwise(F.concat_ws(",", k, F.trim("raw_url")))
+    table = leads(spark, d)
+    body = table.select("row_idx", line.alias("value"))
     head = body.groupBy().agg(F.lit(-1).cast("long").alias("row_idx"), F.lit("id,url").alias("value"))
-    sinks.write_lines(head.unionByName(body), path, "row_idx")
-    return files.lead_scan_lenient(spark, path).select("url")
+    # One file, as it has one header: the range partition of a single range.
+    sinks.write_lines(head.unionByName(body), path, "row_idx", parts=1)
+    with small_ranges(spark, _range(table.count())):
+        return files.lead_scan_lenient(spark, path).select("url")
 
 
 @query("json_map_scan", f"SELECT folder, main_folder, inner_folder, NULL AS domain FROM {FOLDERS} f WHERE folder_idx % 7 != 0")
@@ -88,10 +121,18 @@ def _deploy_log(spark, d):
     result = F.when(F.col("o_orderkey") % 2 == 0, flat).otherwise(F.regexp_extract(nested, r'^\{"v":(.*)\}$', 1))
     value = F.concat(F.lit('{"timestamp": "'), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), F.lit('", "success": '),
                      (F.col("o_orderstatus") != "F").cast("string"), F.lit(', "result": '), result,
-                     F.lit(', "target_directory": "/srv", "server": "host"}'))
+                     F.lit(', "target_directory": "/srv/{[\\"}", "server": "host"}'))
     path = new_path(spark, "deploy-log")
-    sinks.write_lines(fx.table(spark, d, "orders").select("o_orderkey", value.alias("value")), path, "o_orderkey")
-    return files.deploy_log_scan(spark, path)
+    orders = fx.table(spark, d, "orders")
+    ends = orders.agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"))
+    # One array in one file, of which a third of the records are broken into lines.
+    body = orders.join(F.broadcast(ends)).select("o_orderkey", F.concat(
+        F.when(F.col("o_orderkey") == F.col("lo"), "[").otherwise(","),
+        F.when(F.col("o_orderkey") % 3 == 0, F.replace(value, F.lit(', "'), F.lit(',\n    "'))).otherwise(value),
+        F.when(F.col("o_orderkey") == F.col("hi"), "\n]").otherwise("")).alias("value"))
+    sinks.write_lines(body, path, "o_orderkey", parts=1)
+    with small_ranges(spark, 20 * _range(orders.count())):
+        return files.deploy_log_scan(spark, path)
 
 
 @query("deploy_log_scan", """
@@ -121,9 +162,18 @@ def _text_log(spark, d):
 
 
 @query("text_log_scan", f"""SELECT row_number() OVER (ORDER BY event_id) AS position, date_trunc('second', ts)::TIMESTAMP AS at,
-    {LEVEL_SQL} AS level, event_type AS message FROM events""")
+    {LEVEL_SQL} AS level, event_type || CASE event_id % 5 WHEN 0 THEN chr(10) || ' * Running on ' || event_id || chr(10) || chr(10) || '2024-01-02 - no head'
+      WHEN 1 THEN chr(10) ELSE '' END AS message FROM events""")
 def text_log_scan(spark, d):
-    return files.log_fields(ranked(_text_log(spark, d), "pos", name="position")).select(
+    """Records of one to five lines; the ranges end inside them."""
+    path = new_path(spark, "log")
+    events = fx.table(spark, d, "events")
+    more = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("\n * Running on "), F.col("event_id").cast("string"), F.lit("\n\n2024-01-02 - no head"))) \
+        .when(F.col("event_id") % 5 == 1, "\n").otherwise("")
+    sinks.write_lines(_log_lines(events).select("event_id", F.concat("value", more).alias("value")), path, "event_id")
+    with small_ranges(spark, 2 * _range(events.count())):
+        records = files.log_records(spark, path)
+    return files.log_fields(ranked(records, "pos", name="position")).select(
         "position", F.col("at").cast("timestamp_ntz").alias("at"), "level", "message")
 
 

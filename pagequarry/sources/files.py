@@ -1,5 +1,8 @@
 """File sources: lead tables, JSON maps, deployment logs, text logs, artifact trees."""
 
+import csv
+import io
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -8,6 +11,8 @@ from pyspark.sql.window import Window as W
 from ..functions import rules
 from ..functions.text import null_tokens_to_null, strip
 from ..functions.urls import normalize_url
+from ..operators.shared import materialize
+from . import records
 
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:/+"  # a path is written with one or three slashes
 
@@ -30,10 +35,27 @@ def with_row_order(df: DataFrame, name: str = "row_idx") -> DataFrame:
         .drop("_path", "_block", "_at", "_offset")
 
 
-def _reader(spark, multi_line: bool, **options):
-    """CSV cells may hold line breaks, so files are read whole; ``multi_line=False``
-    splits large files that are known to have none."""
-    return spark.read.options(escape='"', multiLine=multi_line, **options)
+def csv_records(spark, path: str) -> DataFrame:
+    """``path, idx, value``: the records of CSV files, which may hold line breaks in cells.  Written once: later steps read it."""
+    found = records.cut_records(spark, path, "\n", records.csv_line)
+    text = F.regexp_replace("value", r"^(?:[ \t\r]*\n)+|\r\z", "")
+    text = F.when(F.col("idx") == 0, F.regexp_replace(text, "^\ufeff", "")).otherwise(text)
+    return materialize(found.select("path", "idx", text.alias("value")).where(F.trim("value") != ""), "csv-records")
+
+
+def header_names(rows: DataFrame) -> list[str]:
+    """Cells of the first record of the first file; blank and repeated names get their position."""
+    head = rows.where("idx = 0").orderBy("path").select("value").head()
+    cells = next(csv.reader(io.StringIO(head.value, newline="")), []) if head else []
+    low = [c.lower() for c in cells]
+    return [f"_c{i}" if not c else f"{c}{i}" if low.count(c.lower()) > 1 else c for i, c in enumerate(cells)]
+
+
+def parsed(rows: DataFrame, names: list[str]) -> DataFrame:
+    """The cells of ``value`` as text columns; missing ones are NULL, further ones dropped."""
+    schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+    cells = F.from_csv("value", schema, {"escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"})
+    return rows.withColumn("value", cells).select("value.*", "row_idx")
 
 
 def finish_leads(raw: DataFrame, trim=True) -> DataFrame:
@@ -43,44 +65,45 @@ def finish_leads(raw: DataFrame, trim=True) -> DataFrame:
     return df.withColumn("url", normalize_url("url", trim))
 
 
-def lead_scan(spark, path: str, multi_line=True) -> DataFrame:
+def lead_scan(spark, path: str) -> DataFrame:
     """Lead CSV with a ``url`` column, all text, in row order.  Rows without a
     URL keep NULL there; see ``split_rejects``."""
-    raw = _reader(spark, multi_line, header=True).csv(path)
-    if "url" not in raw.columns:
+    rows = csv_records(spark, path)
+    names = header_names(rows)
+    if "url" not in names:
         raise ValueError("the lead file needs a 'url' column")
-    return finish_leads(with_row_order(raw))
+    return finish_leads(parsed(records.numbered(rows, "row_idx", skip=1), names))
 
 
 def split_rejects(leads: DataFrame):
     return leads.where("url is not null"), leads.where("url is null")
 
 
-def lead_scan_headerless(spark, path: str, multi_line=True) -> DataFrame:
+def _first_cells(rows: DataFrame) -> DataFrame:
+    return finish_leads(parsed(records.numbered(rows, "row_idx"), ["url"]), trim=False)
+
+
+def lead_scan_headerless(spark, path: str) -> DataFrame:
     """Without a ``url`` header the first cells of all rows are URLs, the header's too."""
-    raw = _reader(spark, multi_line, header=False).csv(path)
-    urls = with_row_order(raw.select(F.col(raw.columns[0]).alias("url"), "_metadata"))
-    return finish_leads(urls.select("url", "row_idx"), trim=False)
+    return _first_cells(csv_records(spark, path))
 
 
-def lead_upload(spark, path: str, multi_line=True) -> DataFrame:
+def lead_upload(spark, path: str) -> DataFrame:
     """Uploaded CSV: with a ``url`` header as it is, else headerless."""
-    if "url" in _reader(spark, multi_line, header=True).csv(path).columns:
-        return finish_leads(with_row_order(_reader(spark, multi_line, header=True).csv(path)), trim=False)
-    return lead_scan_headerless(spark, path, multi_line)
+    rows = csv_records(spark, path)
+    names = header_names(rows)
+    return finish_leads(parsed(records.numbered(rows, "row_idx", skip=1), names), trim=False) if "url" in names else _first_cells(rows)
 
 
-def lead_scan_lenient(spark, path: str, multi_line=True) -> DataFrame:
-    """Ragged CSV text: the ``url`` column if the first line names one, else the
+def lead_scan_lenient(spark, path: str) -> DataFrame:
+    """Ragged CSV text: the ``url`` column if the first record names one, else the
     first column; rows too short to have it are skipped."""
-    head = spark.read.text(path).limit(1).select(F.split("value", ",").alias("c")).head()
-    cells = [c.strip('"') for c in head.c] if head else []
-    at = cells.index("url") if "url" in cells else 0
-    width = max(len(cells), 1)
-    schema = ", ".join(f"_c{i} string" for i in range(width))
-    raw = _reader(spark, multi_line, header="url" in cells, mode="PERMISSIVE").schema(schema).csv(path)
-    urls = with_row_order(raw.select(F.col(f"_c{at}").alias("url"), "_metadata")).where("url is not null")
-    return finish_leads(urls.select("url", "row_idx"), trim=False)
+    rows = csv_records(spark, path)
+    names = header_names(rows)
+    at = names.index("url") if "url" in names else 0
+    cells = parsed(records.numbered(rows, "row_idx", skip=int("url" in names)), [f"_c{i}" for i in range(at + 1)])
+    urls = cells.where(F.col(f"_c{at}").isNotNull()).select(F.col(f"_c{at}").alias("url"), "row_idx")
+    return finish_leads(urls, trim=False)
 
 
 def json_map_scan(spark, path: str, value_type: str, key="key", whole_file=False) -> DataFrame:
@@ -97,10 +120,14 @@ def json_map_scan(spark, path: str, value_type: str, key="key", whole_file=False
 _LOG = "timestamp string, success boolean, result string, target_directory string, server string"
 
 
-def deploy_log_scan(spark, path: str, multi_line=False) -> DataFrame:
-    """Deployment records in append order; ``result`` stays text (see ``deploy_results``)."""
-    raw = spark.read.schema(_LOG).json(path, multiLine=multi_line)
-    return with_row_order(raw, "pos").withColumn("timestamp", F.try_to_timestamp("timestamp", F.lit("yyyy-MM-dd HH:mm:ss")))
+def deploy_log_scan(spark, path: str) -> DataFrame:
+    """Deployment records in append order, of files with one array or with an object after the other, however they are
+    broken into lines; ``result`` stays text (see ``deploy_results``).  A record without its last brace is no record."""
+    found = records.cut_records(spark, path, "}", records.json_piece, level=None).where("ended")
+    text = F.concat(F.regexp_extract("value", r"(?s)\{.*", 0), F.lit("}"))
+    rows = materialize(found.select("path", "idx", text.alias("value")), "json-records")
+    return records.numbered(rows, "pos").withColumn("value", F.from_json("value", _LOG)).select("value.*", "pos") \
+        .withColumn("timestamp", F.try_to_timestamp("timestamp", F.lit("yyyy-MM-dd HH:mm:ss")))
 
 
 def deploy_results(log: DataFrame) -> DataFrame:
@@ -119,6 +146,18 @@ def text_log_scan(spark, path: str) -> DataFrame:
     return with_row_order(spark.read.text(path), "pos")
 
 
+#: How a log record starts: its time.
+LOG_HEAD = r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3} - "
+
+
+def log_records(spark, path: str) -> DataFrame:
+    """``pos, value``: log records in file order, each with the lines that continue it; see ``log_fields``.  Lines before a
+    file's first record are one."""
+    found = records.cut_records(spark, path, "\n", records.log_line(LOG_HEAD), leading=True)
+    text = F.regexp_replace("value", r"\r(?=\n|\z)", "")
+    return records.numbered(materialize(found.select("path", "idx", text.alias("value")), "log-records"), "pos")
+
+
 def artifact_listing(spark, root: str) -> DataFrame:
     """Paths of all files under a root; file contents are not read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
@@ -133,8 +172,8 @@ def artifact_scan(paths: DataFrame) -> DataFrame:
 
 
 def log_fields(lines: DataFrame) -> DataFrame:
-    """Time, level and message of log lines; continuation lines have none of the first two."""
-    pattern = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}),(\d{3}) - ([A-Z]+) - (.*)$"
+    """Time, level and message of log lines or records; a continuation line by itself has none of the first two."""
+    pattern = r"(?s)^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}),(\d{3}) - ([A-Z]+) - (.*)$"
     level = F.nullif(F.regexp_extract("value", pattern, 3), F.lit(""))
     return lines.select("*", F.try_to_timestamp(F.regexp_extract("value", pattern, 1)).alias("at"), level.alias("level"),
                         F.when(level.isNotNull(), F.regexp_extract("value", pattern, 4)).otherwise(strip("value")).alias("message"))

@@ -9,9 +9,9 @@ from ..operators.linkage import site_style_cross
 from ..operators.report import services_split, tagline_phrase
 
 
-def in_order(df: DataFrame, order: str) -> DataFrame:
+def in_order(df: DataFrame, order: str, parts: int | None = None) -> DataFrame:
     """Range-partitioned by the order, so part files concatenate to a sorted table."""
-    return df.repartitionByRange(F.col(order)).sortWithinPartitions(order)
+    return df.repartitionByRange(*([parts] if parts else []), F.col(order)).sortWithinPartitions(order)
 
 
 def write_leads(leads: DataFrame, path: str) -> None:
@@ -19,8 +19,9 @@ def write_leads(leads: DataFrame, path: str) -> None:
     in_order(leads, "row_idx").drop("row_idx").write.csv(path, header=True, escape='"', emptyValue="")
 
 
-def write_lines(lines: DataFrame, path: str, order: str) -> None:
-    in_order(lines, order).select("value").write.text(path)
+def write_lines(lines: DataFrame, path: str, order: str, parts: int | None = None) -> None:
+    """One file per range; ``parts=1`` where the format needs a single file, which one task then writes."""
+    in_order(lines, order, parts).select("value").write.text(path)
 
 
 def write_map(entries: DataFrame, path: str, key: str) -> None:

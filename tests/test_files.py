@@ -60,7 +60,7 @@ def test_deploy_log_array_file_with_three_result_shapes(spark, tmp_path):
            {"timestamp": "2024-01-02 03:04:06", "success": True, "result": "{'s': {'modern': 'https://b.example.com'}}"},
            {"timestamp": "bad", "success": False, "result": "login failed"}]
     (tmp_path / "log.json").write_text(json.dumps(log))
-    rows = files.deploy_results(files.deploy_log_scan(spark, str(tmp_path / "log.json"), multi_line=True)).orderBy("pos").collect()
+    rows = files.deploy_results(files.deploy_log_scan(spark, str(tmp_path / "log.json"))).orderBy("pos").collect()
     assert [(r.site, r.style, r.url) for r in rows] == [
         ("s", None, "https://a.example.com"), ("s", "modern", "https://b.example.com"), (None, None, None)]
     assert rows[2].timestamp is None and rows[2].success is False
