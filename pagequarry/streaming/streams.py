@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.records import page_fields
-from ..operators.report import log_level
 from ..operators.shared import last_per_key, new_path
 from ..functions.urls import normalize_url
 
@@ -28,9 +27,14 @@ def folder_stream(spark, folder: str, files_per_batch: int = 1) -> DataFrame:
 
 
 def run(stream: DataFrame, mode: str, name: str, prepare=None) -> DataFrame:
+    """``run_at`` without the checkpoint."""
+    return run_at(stream, mode, name, prepare)[0]
+
+
+def run_at(stream: DataFrame, mode: str, name: str, prepare=None) -> tuple[DataFrame, str]:
     """Write each micro-batch to ``batch=<id>`` and read all of them back, with the
     row's ``place`` in its batch.  ``prepare(batch, before)`` may change a batch;
-    ``before`` has the rows of the earlier ones."""
+    ``before`` has the rows of the earlier ones.  Also returns the checkpoint."""
     spark = stream.sparkSession
     folder = new_path(spark, name)
     schema = T.StructType([*stream.schema.fields, T.StructField("place", T.LongType())])
@@ -49,7 +53,7 @@ def run(stream: DataFrame, mode: str, name: str, prepare=None) -> DataFrame:
              .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
              .foreachBatch(save).start())
     query.awaitTermination()
-    return read()
+    return read(), f"{folder}/checkpoint"
 
 
 def latest(df: DataFrame, keys) -> DataFrame:
@@ -91,11 +95,3 @@ def first_seen(events: DataFrame, key: str, time: str, delay: str) -> DataFrame:
 def extract_upsert(pages: DataFrame) -> DataFrame:
     """Fields of arriving pages, merged by page: the last version that arrived replaces a page's record."""
     return latest(run(page_fields(pages), "append", "extract"), ["page_id"])
-
-
-def log_levels(lines: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Lines per hour and level from ``at, value``."""
-    counts = lines.withWatermark("at", delay) \
-        .groupBy(F.window("at", "1 hour").alias("w"), log_level("value").alias("level")).agg(F.count("*").alias("n")) \
-        .select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "level", "n")
-    return latest(run(counts, "update", "log_levels"), ["hour", "level"])
