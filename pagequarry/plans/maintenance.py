@@ -8,7 +8,7 @@ from ..functions import rules, urls
 from ..functions.text import safe_folder_name
 from ..operators import linkage, maintain, matching, report
 from ..operators.shared import last_per_key, materialize, new_path, ranked
-from ..sources import files, sinks
+from ..sources import files, parts, sinks
 from . import fixtures as fx
 from .extraction import ALL_URLS, all_urls, netloc_sql, normalized_sql
 from .registry import query
@@ -281,12 +281,13 @@ NEW_URLS = f"""{_url_sql('elegant')} AS template_url, {_url_sql('elegant')} AS e
     SELECT 'leads' AS kind, row_idx, {_url_sql('elegant')} AS template_url FROM {MAPPED} x
     UNION ALL SELECT 'backup', row_idx, template_url FROM {LEADS} l""")
 def snapshot_before_update(spark, d):
-    folder = new_path(spark, "snapshots")
-    updated = maintain.update_template_urls(leads(spark, d), domain_map(spark, d), COUNTER)
-    new = sinks.write_if_changed(leads(spark, d), materialize(updated), folder, "20240101_000000")
-    old = new.replace("leads_ts", "backup_ts")
-    return spark.read.parquet(new).select(F.lit("leads").alias("kind"), "row_idx", "template_url").unionByName(
-        spark.read.parquet(old).select(F.lit("backup").alias("kind"), "row_idx", "template_url"))
+    """The table lies in parts of 100 rows; the version before the update is its backup."""
+    folder, table = new_path(spark, "snapshots"), leads(spark, d)
+    parts.create_by_range(table, folder, "row_idx", 100)
+    updated = maintain.update_template_urls(table, domain_map(spark, d), COUNTER)
+    now = parts.update_by_range(materialize(updated), folder, "row_idx", 100)
+    return parts.read_table(spark, folder, updated.drop("changed").schema, now).select(F.lit("leads").alias("kind"), "row_idx", "template_url").unionByName(
+        parts.read_table(spark, folder, table.schema, 0).select(F.lit("backup").alias("kind"), "row_idx", "template_url"))
 
 
 # ------------------------------------------------------------------ projections

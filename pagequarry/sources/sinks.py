@@ -35,16 +35,6 @@ def write_documents(docs: DataFrame, path: str) -> None:
     docs.write.parquet(path)
 
 
-def write_if_changed(old: DataFrame, updated: DataFrame, folder: str, stamp: str) -> str | None:
-    """Snapshot the old table and write the new one, only if a row changed.
-    Returns the path of the new table."""
-    if updated.where("changed").isEmpty():
-        return None
-    old.write.parquet(f"{folder}/backup_ts={stamp}")
-    updated.drop("changed").write.parquet(f"{folder}/leads_ts={stamp}")
-    return f"{folder}/leads_ts={stamp}"
-
-
 def rendered_pages(sites: DataFrame, year: int) -> DataFrame:
     """Three documents per site: ``folder, style, path, html``.
 

@@ -26,8 +26,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Parts of a range: lines before its first record, its last record, and the whole ones between.
 HEAD, LAST, WHOLE = 0, 1, 2
-_STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def log_stream(spark, folder: str, files_per_batch: int = 100) -> DataFrame:
@@ -121,12 +119,8 @@ def log_records(lines: DataFrame, log: Column, quiet: float = 60, name: str = "l
     cut = fragments(lines).withColumn("log", log)
     ends = cut.where(F.col("part") != WHOLE).withWatermark("arrived", "0 seconds").groupBy("log") \
         .transformWithStateInPandas(OpenRecord(quiet), "log string, value string", "append", "eventTime")
-    before = spark.conf.get(_STATE_STORE)
-    spark.conf.set(_STATE_STORE, _ROCKSDB)
-    try:
+    with streams.rocksdb(spark):
         found, checkpoint = streams.run_at(cut.where(F.col("part") == WHOLE).select("log", "value").unionByName(ends), "append", name)
-    finally:
-        spark.conf.set(_STATE_STORE, before)
     try:
         held = spark.read.format("statestore").option("stateVarName", "held").load(checkpoint).select(F.col("key.log").alias("log"), "value.value")
     except AnalysisException:  # no batch ran

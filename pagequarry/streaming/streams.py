@@ -5,6 +5,8 @@ Checkpoints and sinks live in the shared folder.  Each micro-batch writes its
 own directory named by the batch id, so a repeated batch replaces itself.
 """
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +14,7 @@ from pyspark.sql import types as T
 from ..operators.records import page_fields
 from ..operators.shared import last_per_key, new_path
 from ..functions.urls import normalize_url
+from ..sources import parts
 
 
 def table_stream(spark, sf_dir: str, name: str) -> DataFrame:
@@ -77,13 +80,31 @@ def progress(results: DataFrame, failed, total: int, time: str) -> DataFrame:
     return now.withColumns({"percent": share, "elapsed": elapsed}).drop("seconds")
 
 
-def new_urls(urls: DataFrame, known: DataFrame) -> DataFrame:
-    """Arriving URLs that are not known: each once.  What arrived before is looked up in
-    the table that the stream writes, so there is no state to keep in memory."""
-    def fresh(batch, before):
-        return batch.distinct().join(known.select("url"), "url", "left_anti").join(before.select("url"), "url", "left_anti")
-    arriving = urls.where(F.trim("url") != "").select(normalize_url("url").alias("url"))
-    return run(arriving, "append", "new_urls", fresh).drop("batch", "place")
+@contextmanager
+def rocksdb(spark):
+    """State in RocksDB, which keeps keys on disk and checkpoints only what changed."""
+    settings = {"providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+                "rocksdb.changelogCheckpointing.enabled": "true"}
+    before = {f"spark.sql.streaming.stateStore.{k}": spark.conf.get(f"spark.sql.streaming.stateStore.{k}", None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(f"spark.sql.streaming.stateStore.{k}", v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def new_urls(urls: DataFrame, known: DataFrame, keep: str | None = None) -> DataFrame:
+    """Arriving URLs that are not known: each once.  What arrived before is looked up by key in the state store, so a
+    batch reads nothing of the earlier ones.  With ``keep``, a URL is forgotten that long after it arrived."""
+    arriving = urls.where(F.trim("url") != "").select(normalize_url("url").alias("url")).join(known.select("url").distinct(), "url", "left_anti")
+    if keep:
+        once = arriving.withColumn("arrived", F.current_timestamp()).withWatermark("arrived", keep).dropDuplicatesWithinWatermark(["url"]).select("url")
+    else:
+        once = arriving.dropDuplicates(["url"])
+    with rocksdb(urls.sparkSession):
+        return run(once, "append", "new_urls").drop("batch", "place")
 
 
 def first_seen(events: DataFrame, key: str, time: str, delay: str) -> DataFrame:
@@ -92,6 +113,18 @@ def first_seen(events: DataFrame, key: str, time: str, delay: str) -> DataFrame:
     return run(timed.dropDuplicatesWithinWatermark([key]).select(key), "append", "first_seen").drop("batch", "place")
 
 
-def extract_upsert(pages: DataFrame) -> DataFrame:
+def upsert_stream(stream: DataFrame, folder: str, keys, buckets: int = 64) -> DataFrame:
+    """Merges arriving rows by key into the table of parts in ``folder``; the last that arrived stays.  A micro-batch is one
+    version of the table, so a repeated one changes nothing and a failed one leaves the version before it."""
+    def save(batch, batch_id):
+        parts.upsert(batch, f"{folder}/table", batch_id, list(keys), F.monotonically_increasing_id(), buckets)
+
+    query = (stream.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/checkpoint")
+             .trigger(availableNow=True).foreachBatch(save).start())
+    query.awaitTermination()
+    return parts.read_table(stream.sparkSession, f"{folder}/table", stream.schema)
+
+
+def extract_upsert(pages: DataFrame, buckets: int = 64) -> DataFrame:
     """Fields of arriving pages, merged by page: the last version that arrived replaces a page's record."""
-    return latest(run(page_fields(pages), "append", "extract"), ["page_id"])
+    return upsert_stream(page_fields(pages), new_path(pages.sparkSession, "extract"), ["page_id"], buckets)
