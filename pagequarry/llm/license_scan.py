@@ -8,6 +8,8 @@ those of its key phrases look up its postings, in every file; where all of them
 on the start of the notice is an alignment; its key phrases are then verified and its words weighed.
 """
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -72,7 +74,8 @@ def scan_words(docs: DataFrame, templates=TEMPLATES, base=BASE, id_col="doc_id",
     """The narrow pass: word counts, base places, and the template words of files that can match."""
     vocabulary = sorted({w for _, notice, _ in templates for w in notice.split()})
     words = docs.select(docs[id_col].alias("doc_id"), F.regexp_extract_all(
-        F.lower(F.coalesce(docs[text_col].cast("string"), F.lit(""))), F.lit(WORD), F.lit(0)).alias("words"))
+        F.translate(F.coalesce(docs[text_col].cast("string"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase),
+        F.lit(WORD), F.lit(0)).alias("words"))
     words = words.withColumns({"row": F.monotonically_increasing_id(),
                                "joined": F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))})
     words = words.withColumns({f"base{k}": _starts(phrase) for k, (_, phrase) in enumerate(base)} | {
