@@ -100,11 +100,16 @@ def present(part: pa.RecordBatch, chosen: Chosen, swap=None) -> tuple[np.ndarray
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """``doc_id, text, label`` of the sampled rows; at most ``sample`` ids are sent to the tasks."""
+    """``doc_id, h, text, label`` of at most ``sample`` labelled rows; ``h`` is a hash of the text.
+
+    Repeated rows are one.  The sample is taken of the keys of rows that are there, so it is neither larger nor, with
+    enough of them, smaller; only these keys are sent to the tasks.
+    """
     labelled = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("label")) \
         .where((crc_mod("doc_id", 5) != 0) & F.col("label").isNotNull()).groupBy("doc_id").agg(F.max("label").alias("label"))
-    ids = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return id_and_text(docs).join(F.broadcast(ids), "doc_id")
+    rows = id_and_text(docs).withColumn("h", F.xxhash64("text"))
+    keys = rows.select("doc_id", "h").distinct().join(labelled, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(sample)
+    return rows.join(F.broadcast(keys), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("doc_id", "h", "text", "label")
 
 
 def feature_counts(rows: DataFrame) -> DataFrame:
@@ -119,7 +124,7 @@ def feature_counts(rows: DataFrame) -> DataFrame:
                 pairs = np.unique(np.concatenate(each, axis=1), axis=1)
                 new, at = np.unique(np.concatenate([known, pairs[0]]), return_inverse=True)
                 old, at = at[:len(known)], at[len(known):]
-                total = np.stack([np.bincount(at, minlength=len(new)), np.bincount(at, label[pairs[1].astype(int)], len(new))])
+                total = np.stack([np.bincount(at, minlength=len(new)), np.bincount(at, label[pairs[1].astype(int)], len(new))]).astype(float)
                 total[:, old] += sums
                 known, sums = new, total
         yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(sums[0].astype(np.int64)),
@@ -176,9 +181,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, strength: fl
                 for pairs in (present(part, chosen), present(part, chosen, swap)):
                     ends = np.searchsorted(pairs[0], np.arange(part.num_rows + 1))
                     sides.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pairs[1], pa.int32())))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), *sides], ["doc_id", "label", "own", "other"])
-    table = rows.mapInArrow(run, "doc_id long, label int, own array<int>, other array<int>").toArrow()
-    table = table.take(pc.sort_indices(table["doc_id"]))  # so that a fit does not depend on task order
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), part.column("label"), *sides],
+                                                 ["doc_id", "h", "label", "own", "other"])
+    table = rows.mapInArrow(run, "doc_id long, h long, label int, own array<int>, other array<int>").toArrow()
+    order = pc.sort_indices(table, [("doc_id", "ascending"), ("h", "ascending")])
+    table = table.take(order)  # so that a fit does not depend on task order
     y = np.array(table["label"].to_pylist(), float)
 
     def pairs(column):
@@ -209,8 +216,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The documents that the model does not call toxic, in one narrow pass: columns as they came."""
-    text = docs.schema["text"].dataType.simpleString()
-    assert text == "string", text
+    kind = docs.schema["text"].dataType.simpleString()
+    if kind != "string":
+        raise TypeError(f"the text must be a string, not {kind}")
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
