@@ -27,6 +27,14 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def partitions(df: DataFrame) -> int:
     """Tasks of a shuffle, as the session sets them for its data."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

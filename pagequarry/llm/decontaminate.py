@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, received, send
+from .common import id_and_text, received, send, unused
 from .words import PUNCTUATION, chunks, find_words, hash_words, mix
 
 #: Steps of a walk, where the first check of all samples lies, places that a sample adds.
@@ -277,7 +277,7 @@ def benchmark_passages(docs: DataFrame, benchmark: DataFrame, max_edits: float =
     """``doc_id, item_id, edits, item_chars``: items that stand in a document with at most
     ``max_edits`` of their characters edited, each with its least distance.
 
-    An item under eight words must stand word for word; one without words never
+    An item under five words must stand word for word; one without words never
     matches.  Null texts are empty.  Repeated rows each report; a document without
     an id reports a null one.  A table without rows gives none.
     """
@@ -301,6 +301,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataF
 
     A row is known by a hash of its id and text, so rows without an id are judged like others.
     """
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    found = benchmark_passages(keyed.select(F.col("_row").alias("doc_id"), "text"), benchmark, **options)
-    return keyed.join(found.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").drop("_row")
+    row = unused(docs, "_row")
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    found = benchmark_passages(keyed.select(F.col(row).alias("doc_id"), "text"), benchmark, **options)
+    return keyed.join(found.select(F.col("doc_id").alias(row)).distinct(), row, "left_anti").drop(row)

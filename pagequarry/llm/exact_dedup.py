@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialize, partitions, skew_join
+from .common import id_and_text, materialize, partitions, skew_join, unused
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -213,8 +213,8 @@ def drop_exact(docs: DataFrame) -> DataFrame:
     A row is known by its id and text, so repeated rows are one document and an
     id with two texts is two.  Rows without an id stay, once per text.
     """
-    lost = exact_duplicates(docs).where("doc_id != keep_id").select("doc_id", "text_sha256")
-    lost = lost.withColumnRenamed("text_sha256", "_sha256")
-    low = F.translate(F.coalesce(F.col("text"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    rest = docs.withColumn("_sha256", F.sha2(low, 256)).join(lost, ["doc_id", "_sha256"], "left_anti")
-    return rest.dropDuplicates(["doc_id", "_sha256"]).select(docs.columns)
+    digest = unused(docs, "_sha256")
+    lost = exact_duplicates(docs).where("doc_id != keep_id").select("doc_id", F.col("text_sha256").alias(digest))
+    low = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    rest = docs.withColumn(digest, F.sha2(low, 256)).join(lost, ["doc_id", digest], "left_anti")
+    return rest.dropDuplicates(["doc_id", digest]).select(docs.columns)

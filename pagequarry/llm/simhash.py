@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, id_and_text, materialize, partitions, skew_join
+from .common import components, id_and_text, materialize, partitions, skew_join, unused
 from .words import mix
 
 BITS = 4
@@ -407,6 +407,7 @@ def drop_near(docs: DataFrame, size: int = 5, count: int = 8, bits: int = 10, si
     own = materialize(own, "documents")
     keep = own.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("keep"))
     lost = skew_join(own, keep, "root", ["doc_id", "digest"], "inner").where(F.struct("doc_id", "digest") != F.col("keep"))
-    lost = lost.select("doc_id", F.lower(F.hex("digest")).alias("_sha256"))
+    name = unused(docs, "_sha256")
+    lost = lost.select("doc_id", F.lower(F.hex("digest")).alias(name))
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    return docs.withColumn("_sha256", F.sha2(text, 256)).join(lost, ["doc_id", "_sha256"], "left_anti").select(docs.columns)
+    return docs.withColumn(name, F.sha2(text, 256)).join(lost, ["doc_id", name], "left_anti").select(docs.columns)

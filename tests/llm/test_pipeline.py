@@ -34,6 +34,28 @@ def test_stages_keep_columns_and_take_effect(spark):
     assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in encoded)
 
 
+def test_stages_keep_awkward_rows_as_they_came(spark):
+    """Null ids and texts, empty and long texts, repeated rows, and columns named like every helper's."""
+    import corpus_pipeline as pipeline
+    names = ["_sha256", "__SHA256", "_row", "row", "digest", "prints", "root", "keep", "shard", "n", "word", "score"]
+    long = " ".join(f"plainword{k}" for k in range(80_000))
+    rows = [(None, "a text without an id"), (None, None), (1, None), (2, ""), (3, long), (4, "three four five six seven eight nine"),
+            (4, "three four five six seven eight nine"), (4, "another text under the same id as before"), (5, "İ Kelvin K ſ \x00 end")]
+    docs = spark.createDataFrame([(i, t, "en", "src", 1, *[f"{k}:{c}" for c in names]) for k, (i, t) in enumerate(rows)],
+                                 "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in names))
+    given = {tuple(r) for r in docs.collect()}
+    empty = docs.limit(0)
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        kept = [tuple(r) for r in out.collect()]
+        assert out.columns == docs.columns and set(kept) <= given, name
+        texts = {t for _, t, *_ in kept}
+        assert {long, "another text under the same id as before", "a text without an id"} <= texts, name
+        assert stage(spark, empty, SF).count() == 0, name
+    encoded = pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert len(encoded) == len(rows) and pipeline.STAGES[-1][1](spark, empty, SF).count() == 0
+
+
 def test_queries_equal_their_oracles(spark):
     import check
 
@@ -44,7 +66,7 @@ def test_queries_equal_their_oracles(spark):
         assert sorted(got.columns) == sorted(want.columns) and check.rows(got) == check.rows(want), name
 
 
-@pytest.mark.parametrize("number", range(1, 11))
+@pytest.mark.parametrize("number", range(1, 14))
 def test_one_query_per_operator(number):
     from pagequarry.llm import queries
     assert len([q for q in queries.QUERIES if q.startswith(f"op{number}_")]) == 1

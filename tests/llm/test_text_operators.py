@@ -337,3 +337,24 @@ def test_a_key_phrase_of_one_word_is_found(spark):
     rows = [(1, "under the zlib terms"), (2, "no terms")]
     got = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), [("zlib", "under the zlib terms", ("zlib",))])
     assert {r.doc_id: r.labels for r in got.collect()} == {1: "zlib", 2: ""}
+
+
+def test_licences_lower_case_only_ascii(spark):
+    kelvin = "permission to use the wor\u212a under the mit licen\u017fe and UNDER THE MIT LICENSE"
+    row = license_scan.scan_licenses(spark.createDataFrame([(1, kelvin)], "doc_id long, text string")).head()
+    assert row.n_base == 1 and row.n_words == len(kelvin.split())
+
+
+def test_frequent_words_take_all_of_a_count_or_none(spark):
+    counts = spark.createDataFrame([("a", 9), ("b", 5), ("c", 5), ("d", 1), ("e", 1), ("f", 1)], "word string, n long")
+    assert [sorted(bpe.frequent_words(counts, k)) for k in (0, 1, 2, 3, 5, 6)] == [[], ["a"], ["a"], ["a", "b", "c"], ["a", "b", "c"], [*"abcdef"]]
+    assert bpe.frequent_words(counts.limit(0), 5) == []
+
+
+def test_the_toxicity_sample_bounds_rows_that_are_there(spark):
+    texts = [(i, f"text {i}") for i in range(100, 160)] + [(100, "text 100")] * 500 + [(101, f"other {k}") for k in range(300)] + [(None, "x")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100, 700)], "doc_id long, toxic int")
+    assert toxicity.training_rows(docs, labels, 50).count() == 50
+    rows = toxicity.training_rows(docs, labels, 10_000).collect()
+    assert len(rows) == len({(r.doc_id, r.text) for r in rows}) == len({(i, t) for i, t in texts if i is not None and zlib.crc32(str(i).encode()) % 5})
