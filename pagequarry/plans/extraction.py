@@ -61,10 +61,23 @@ ALL_URLS = f"(SELECT url FROM pages UNION ALL SELECT raw_url FROM {SITES}) u"
 
 # ------------------------------------------------------------------ URLs
 
-@query("page_scan", "SELECT page_id, url, CAST(length(html) AS BIGINT) AS n_chars FROM pages")
+#: Pages that name their charset in the response, in a meta element, by a mark, or not at all.
+FETCHED = [("gb18030", "text/html; charset=GBK", ""), ("shift_jis", None, '<meta charset="Shift_JIS">'), ("utf-16-le", None, "\ufeff"),
+           ("utf-8", None, ""), ("euc_kr", "text/html; charset='euc-kr'", ""), ("big5", "", "<META content='text/html; charset=big5'>")]
+FAR = "屋"
+
+
+@query("page_scan", f"""SELECT page_id, url, CAST(length(html) AS BIGINT) AS n_chars,
+    CASE page_id % 6 WHEN 1 THEN '{FETCHED[1][2]}' WHEN 5 THEN '{FETCHED[5][2].replace("'", "''")}' ELSE '' END || '{FAR}' || url AS head FROM pages""")
 def page_scan(spark, d):
-    return page_source.page_scan(spark, f"{d}/pages.parquet").select(
-        "page_id", "url", F.char_length("html").cast("long").alias("n_chars"))
+    """The given pages as they were stored, and a first line of each fetched in one of six charsets."""
+    pages = page_source.page_scan(spark, f"{d}/pages.parquet")
+    kinds = F.array(*[F.struct(F.lit(c).alias("charset"), F.lit(t).cast("string").alias("content_type"), F.lit(h).alias("head")) for c, t, h in FETCHED])
+    lines = pages.withColumn("k", F.get(kinds, (F.col("page_id") % len(FETCHED)).cast("int"))) \
+        .select("page_id", "url", F.col("k.content_type").alias("content_type"), F.col("k.charset").alias("charset"),
+                F.concat("k.head", F.lit(FAR), "url").alias("line"))
+    heads = page_source.decoded_pages(fx.encoded(lines)).select("page_id", F.col("html").alias("head"))
+    return pages.select("page_id", "url", F.char_length("html").cast("long").alias("n_chars")).join(heads, "page_id")
 
 
 @query("keep_url_only", f"SELECT url FROM {ALL_URLS}")

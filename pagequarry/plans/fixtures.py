@@ -203,3 +203,14 @@ SELECT concat('/srv/out/', generation, '/', site, '/', style, '/index.html') AS
     CASE WHEN n % 13 = 0 THEN '__pycache__' ELSE concat('site_', k) END AS site, style
   FROM ({SITES}) s CROSS JOIN (SELECT 'modern' AS style UNION ALL SELECT 'elegant' UNION ALL SELECT 'minimalist') t) x
 """
+
+
+def encoded(lines: DataFrame) -> DataFrame:
+    """``page_id, url, content_type, body`` of ``page_id, url, content_type, charset, line``: bodies as servers send them."""
+    def run(batches):
+        import pyarrow as pa
+        for b in batches:
+            bodies = [t.encode(c) for t, c in zip(b.column("line").to_pylist(), b.column("charset").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), b.column("content_type"), pa.array(bodies, pa.binary())],
+                                             ["page_id", "url", "content_type", "body"])
+    return lines.mapInArrow(run, "page_id long, url string, content_type string, body binary")

@@ -6,6 +6,8 @@ everything after it (selectors, scores, gates) is a per-row expression and the
 corpus is never shuffled for extraction.
 """
 
+import codecs
+import re
 import sys
 from html.parser import HTMLParser
 
@@ -57,6 +59,83 @@ def decoded_body(body: Column, content_type: Column) -> Column:
     return text
 
 
+#: Names that pages use for a charset and the decoder that reads it; others go by the standard library's names.
+DECODERS = {"gb2312": "gb18030", "gbk": "gb18030", "x-gbk": "gb18030", "iso-8859-1": "cp1252", "latin1": "cp1252", "latin-1": "cp1252", "us-ascii": "cp1252",
+            "ascii": "cp1252", "shift_jis": "cp932", "shift-jis": "cp932", "sjis": "cp932", "x-sjis": "cp932", "windows-31j": "cp932",
+            "euc-kr": "cp949", "ks_c_5601-1987": "cp949", "iso-8859-9": "cp1254", "tis-620": "cp874"}
+#: Byte order marks, longest first.
+MARKS = ((b"\xff\xfe\0\0", "utf-32-le"), (b"\0\0\xfe\xff", "utf-32-be"), (b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"))
+#: Charsets that are tried where nothing names one, with the letters that tell them apart and their weight: kana are about half of a
+#: Japanese text.
+UNNAMED = (("euc_jp", "[\u3041-\u30ff]", 2), ("cp932", "[\u3041-\u30ff]", 2), ("cp949", "[\uac00-\ud7a3]", 1),
+           ("gb18030", "[\u4e00-\u9fff]", 1), ("big5", "[\u4e00-\u9fff]", 1))
+_NAMED = re.compile(r"charset\s*=\s*[\"']?\s*([A-Za-z0-9_:.-]+)", re.IGNORECASE)
+_META = re.compile(rb"<meta\b[^>]*?charset\s*=\s*[\"']?\s*([A-Za-z0-9_:.-]+)", re.IGNORECASE)
+_COMMENT = re.compile(rb"<!--.*?(?:-->|\Z)", re.DOTALL)
+
+
+def _decoder(label: str) -> str | None:
+    try:
+        return codecs.lookup(DECODERS.get(label.lower(), label)).name
+    except LookupError:
+        return None
+
+
+def _unnamed(body: bytes) -> str:
+    """UTF-8 if the bytes are valid in it, else the charset in which they are valid and hold the largest share of its own
+    letters among those beyond ASCII, else windows-1252.
+
+    Of the two Chinese ones, pairs of bytes in the range of the most used characters decide.
+    """
+    try:
+        body.decode("utf-8")
+        return "utf-8"
+    except UnicodeDecodeError:
+        pass
+    best, share = "cp1252", 0.5
+    for charset, letters, weight in UNNAMED:
+        try:
+            far = [c for c in body.decode(charset) if c > "\x7f"]
+        except UnicodeDecodeError:
+            continue
+        own = weight * len(re.findall(letters, "".join(far))) / max(1, len(far))
+        if charset == "gb18030":  # most used: first bytes B0 to D7, second ones A1 and above
+            own *= len(re.findall(rb"[\xb0-\xd7][\xa1-\xfe]", body)) / max(1, len(far))
+        if charset == "big5":  # most used: first bytes A4 to C6
+            own *= len(re.findall(rb"[\xa4-\xc6][\x40-\x7e\xa1-\xfe]", body)) / max(1, len(far))
+        if own > share:
+            best, share = charset, own
+    return best
+
+
+def charset_of(body: bytes, content_type: str | None) -> str:
+    """Decoder of a fetched page: its byte order mark, else the response's name, else that of a ``meta`` element in its first
+    1,024 bytes (where UTF-16 can only mean UTF-8), else by its bytes."""
+    for mark, charset in MARKS:
+        if body.startswith(mark):
+            return charset
+    named = _NAMED.search(content_type or "")
+    if named and (charset := _decoder(named[1])):
+        return charset
+    meta = _META.search(_COMMENT.sub(b"", body[:1024]))
+    if meta and (charset := _decoder(meta[1].decode("ascii"))):
+        return "utf-8" if charset.startswith("utf-16") else charset
+    return _unnamed(body)
+
+
+def decoded_pages(fetched: DataFrame) -> DataFrame:
+    """``page_id, url, html`` of ``page_id, url, content_type, body``: a narrow pass; bytes that the charset lacks become
+    replacement characters, and a NULL body stays NULL."""
+    def run(batches):
+        for batch in batches:
+            types = batch.column("content_type").to_pylist()
+            texts = [None if b is None else b.decode(charset_of(b, t), "replace").removeprefix("\ufeff")
+                     for b, t in zip(batch.column("body").to_pylist(), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "html"])
+    return fetched.select(F.col("page_id").cast("long").alias("page_id"), "url", "content_type", "body") \
+        .mapInArrow(run, "page_id long, url string, html string")
+
+
 class _Tree(HTMLParser):
     """Elements of one page in document order, with text kept once per page.
 
