@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.text import blank_to_null, or_default, strip
 from ..functions.urls import authority, batch_folder, domain_key, domain_slug, first_label, netloc, site_url
-from .matching import first_contained, first_overlap
+from .automaton import first_contained, first_overlap
 from .shared import first_per_key, last_per_key, materialize, one_per_key, skew_join, union_all
 
 

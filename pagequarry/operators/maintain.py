@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.text import blank_to_null, safe_folder_name, strip
 from ..functions.urls import batch_folder, domain_key, first_label, folder_source_name, normalize_url
+from .greedy import WIDTH, taken_before
 from .linkage import domain_map_left_join, semi_membership, staged_linkage, with_site_urls
 from .shared import last_per_key, materialize, one_per_key, ranked, running_total, skew_join, union_all
 
@@ -136,7 +137,7 @@ def site_ids(leads: DataFrame, start: int, prefix=rules.SITE_ID_PREFIX) -> DataF
         "site_id", F.concat(F.lit(prefix), (F.col("_n") + start).cast("string"))).drop("_n")
 
 
-def unique_folders(rows: DataFrame) -> DataFrame:
+def unique_folders(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     """Give every row (``row_idx, name``) its own folder, as if taken in row order:
     the name itself if free, else the first free of ``name_1, name_2, …``.
 
@@ -145,9 +146,9 @@ def unique_folders(rows: DataFrame) -> DataFrame:
     its own name unless a repeat was given it before.  With the children of a
     name sorted by ``k``, child ``k`` is first in time exactly if
     ``taken_before(k) < k - repeats_before(first row of the child)``, where
-    ``taken_before`` counts the smaller children that were first.  That is
-    solved by iterating to its only fixed point; data without such names needs
-    no iteration.  No step puts a name's rows into one task.
+    ``taken_before`` counts the smaller children that were first.  That count is
+    found in a fixed number of passes (``greedy.taken_before``), one set of them per
+    level of names such as ``name_1_1``.  No step puts a name's rows into one task.
     """
     own = materialize(ranked(rows.select("row_idx", "name"), "row_idx", ["name"], name="r"), "named")
     child = r"^(.+)_([1-9][0-9]{0,17})$"
@@ -168,7 +169,8 @@ def unique_folders(rows: DataFrame) -> DataFrame:
             repeats.select(F.col("name").alias("parent"), F.col("row_idx").alias("at"), F.lit(1).alias("v")),
             level.select("parent", F.col("t1").alias("at"), F.lit(0).alias("v"), "name", "k"))
         counted = running_total(marks, "at", F.col("v"), ["parent"], name="before").where("v = 0")
-        solved = _first_children(counted.select("parent", "name", "k", (F.col("k") - F.col("before")).alias("room")))
+        rooms = materialize(counted.select("parent", "name", "k", (F.col("k") - F.col("before")).alias("room")), "rooms")
+        solved = materialize(taken_before(rooms, "parent", "k", "room", width), "children").withColumn("first", F.col("taken") < F.col("room"))
         lost_here = solved.where(~F.col("first")).select("name")
         skips_here = solved.where("first").groupBy(F.col("parent").alias("name"), (F.col("k") - F.col("taken")).alias("i")) \
             .agg(F.count("*").alias("v"))
@@ -193,17 +195,3 @@ def _repeats(own: DataFrame, lost: DataFrame | None) -> DataFrame:
     flag = lost.withColumn("_lost", F.lit(1))
     return skew_join(own, flag, "name", ["row_idx"]).withColumn(
         "i", F.col("r") - 1 + F.coalesce("_lost", F.lit(0))).drop("_lost")
-
-
-def _first_children(kids: DataFrame) -> DataFrame:
-    """Solve ``first(k) = taken(k) < room(k)`` with ``taken(k)`` = first children below ``k``."""
-    state = materialize(kids.withColumn("taken", F.lit(0).cast("long")), "children")
-    while True:
-        first = F.col("taken") < F.col("room")
-        new = running_total(state.withColumn("first", first), "k", F.col("first").cast("int"), ["parent"], name="upto") \
-            .withColumn("new", F.col("upto") - F.col("first").cast("int"))
-        state = materialize(new.select("parent", "name", "k", "room", (F.col("new") != F.col("taken")).alias("moved"),
-                                       F.col("new").alias("taken")), "children")
-        if state.where("moved").isEmpty():
-            return state.withColumn("first", F.col("taken") < F.col("room")).drop("moved")
-        state = state.drop("moved")

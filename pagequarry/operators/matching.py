@@ -1,81 +1,14 @@
-"""Exact matching of strings that contain one another, and near-duplicate texts.
-
-``a contains b`` is a theta join, and comparing all pairs is quadratic.  Here the
-contained string is looked up by the rarest of its three-letter grams among the
-grams of the other side; what shares it is then compared.  A string lists at most
-three grams per letter, however long it is.
-"""
+"""Near-duplicate texts and names, exactly."""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.text import jaccard, words
+from .automaton import containing_pairs
 from .shared import materialize, skew_join, union_all
 
 
-GRAM = 3
-
-
-def grams(df: DataFrame, col: str, shorter: bool) -> DataFrame:
-    """One row per distinct gram of a string: of ``GRAM`` letters, and with ``shorter``
-    also of fewer; else a string of fewer letters is its own gram."""
-    n = F.char_length(col)
-
-    def of(size):
-        at = F.when(n >= size, F.sequence(F.lit(1), n - size + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.substr(F.col(col), i, F.lit(size)))
-    listed = F.concat(*[of(k) for k in range(1, GRAM + 1)]) if shorter else \
-        F.when(n < GRAM, F.array(F.col(col))).otherwise(of(GRAM))
-    return df.withColumn("gram", F.explode(F.array_distinct(listed)))
-
-
-def rarest_grams(short: DataFrame, long: DataFrame, s: str, t: str) -> DataFrame:
-    """``s, gram`` for each distinct ``s`` all of whose grams occur in some ``t``: the gram in the fewest."""
-    counts = grams(long.select(t).distinct(), t, True).groupBy("gram").agg(F.count("*").alias("n"))
-    own = grams(short.select(s).where(f"{s} != ''").distinct(), s, False)
-    known = skew_join(own, counts, "gram", [s], "left")
-    best = known.groupBy(s).agg(F.min(F.struct("n", "gram")).alias("best"), F.count_if(F.col("n").isNull()).alias("missing"))
-    return best.where("missing = 0").select(s, F.col("best.gram").alias("gram"))
-
-
-def containing_pairs(short: DataFrame, long: DataFrame, s: str, t: str) -> DataFrame:
-    """Distinct ``s, t`` with ``s`` inside ``t``, for every ``s`` longer than a gram."""
-    keys = rarest_grams(short.where(F.char_length(s) > GRAM), long, s, t)
-    held = grams(long.select(t).distinct(), t, False)
-    return skew_join(held, keys, "gram", [t], "inner").where(F.contains(t, F.col(s))).select(s, t)
-
-
-def first_containing(short: DataFrame, long: DataFrame, s: str, t: str, order: str) -> DataFrame:
-    """For each distinct ``s``, the lowest ``order`` of a ``t`` that contains it.
-
-    A string no longer than a gram needs no comparison: the grams are reduced to
-    their first holder before the shuffle.
-    """
-    firsts = long.groupBy(t).agg(F.min(order).alias(order))
-    tiny = grams(firsts, t, True).groupBy("gram").agg(F.min(order).alias(order)).withColumnRenamed("gram", s)
-    small = short.select(s).where(f"{s} != ''").where(F.char_length(s) <= GRAM).distinct().join(tiny, s)
-    pairs = containing_pairs(short, long, s, t)
-    return skew_join(pairs, firsts, t, [s], "inner").groupBy(s).agg(F.min(order).alias(order)).unionByName(small.select(s, order))
-
-
-def first_contained(long: DataFrame, short: DataFrame, t: str, s: str, order: str) -> DataFrame:
-    """For each distinct ``t``, the lowest ``order`` of an ``s`` inside it."""
-    firsts = short.where(f"{s} != ''").groupBy(s).agg(F.min(order).alias(order))
-    tiny = grams(long.select(t).distinct(), t, True).withColumnRenamed("gram", s)
-    pairs = containing_pairs(short, long, s, t).unionByName(tiny.select(s, t))
-    return skew_join(pairs, firsts, s, [t], "inner").groupBy(t).agg(F.min(order).alias(order))
-
-
-def first_overlap(left: DataFrame, right: DataFrame, a: str, b: str, order: str) -> DataFrame:
-    """For each distinct ``a``, the lowest ``order`` of a ``b`` that contains it or lies in it."""
-    left, right = materialize(left.select(a).distinct()), materialize(right.groupBy(b).agg(F.min(order).alias(order)))
-    both = first_containing(left, right, a, b, order).unionByName(first_contained(left, right, a, b, order))
-    return both.groupBy(a).agg(F.min(order).alias(order))
-
-
-# ------------------------------------------------------------------ near duplicates
-
 def parity_bits(hashes, parts: int = 8) -> Column:
     """A set of word hashes as ``64 * parts`` bits; each word flips one.
 
@@ -161,8 +94,7 @@ def similar_names(names: DataFrame, col: str) -> DataFrame:
     the Jaccard threshold; ``a < b``."""
     distinct = materialize(names.select(F.lower(col).alias("s")).where("s != ''").distinct(), "names")
     other = distinct.select(F.col("s").alias("part"))
-    tiny = grams(distinct, "s", True).select("s", F.col("gram").alias("part")).join(other, "part")
-    contained = containing_pairs(other, distinct, "part", "s").unionByName(tiny.select("part", "s")).where("part != s").select(
+    contained = containing_pairs(other, distinct, "part", "s").where("part != s").select(
         F.least("s", "part").alias("a"), F.greatest("s", "part").alias("b"),
         F.lit(rules.CONTAINMENT_SIMILARITY).alias("similarity"))
     sets = distinct.select(F.col("s").alias("id"), words("s").alias("words")).where(F.size("words") > 0)

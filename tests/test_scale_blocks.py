@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pagequarry.operators import maintain, matching
+from pagequarry.operators import automaton, greedy, maintain, matching
 from pagequarry.operators.shared import ranked, running_total, shared_folder, skew_join
 
 
@@ -83,10 +83,32 @@ def test_unique_folders_equal_the_sequential_loop(spark, seed):
         names += [f"X_{rng.randint(1, 60)}" for _ in range(40)]
         rng.shuffle(names)
     df = spark.createDataFrame(list(enumerate(names)), "row_idx long, name string")
-    got = [r.folder for r in maintain.unique_folders(df).orderBy("row_idx").collect()]
+    got = [r.folder for r in maintain.unique_folders(df, width=[3, 1000][seed // 3]).orderBy("row_idx").collect()]
     assert got == sequential(names)
 
 
+def test_a_long_chain_of_numbered_names(spark):
+    rng = random.Random(2)
+    names = ["name"] * 3000 + [f"name_{k}" for k in range(1, 10_001)]
+    rng.shuffle(names)
+    df = spark.createDataFrame(list(enumerate(names)), "row_idx long, name string")
+    got = maintain.unique_folders(df, width=700).orderBy("row_idx").collect()
+    assert [r.folder for r in got] == sequential(names)
+
+
+@pytest.mark.parametrize("width", [1, 4, 50, 1000])
+def test_taken_before_equals_the_loop(spark, width):
+    rng = random.Random(width)
+    rows = [(g, o * 7 - 100, rng.randint(-3, n // 2 + 2)) for g, n in (("a", 200), ("b", 3), ("c", 90)) for o in range(n)]
+    want, counts = {}, {}
+    for g, o, room in rows:
+        want[g, o] = counts.setdefault(g, 0)
+        counts[g] += want[g, o] < room
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "g string, o long, room long")
+    got = greedy.taken_before(df, "g", "o", "room", width).collect()
+    assert {(r.g, r.o): r.taken for r in got} == want and len(got) == len(rows)
+
+
 def jaccard(a, b):
     return len(a & b) / len(a | b)
 
@@ -113,7 +135,8 @@ def test_near_duplicates_equal_brute_force_with_a_hot_copy_group(spark):
     assert {(r.a, r.b) for r in got if r.kind == "copy"} == copies
 
 
-def test_first_overlap_equals_brute_force(spark):
+@pytest.mark.parametrize("block, share", [(10_000, 10_000), (40, 50), (200, 30)])
+def test_first_overlap_equals_brute_force(spark, block, share):
     rng = random.Random(9)
     strings = lambda n: ["".join(rng.choices("ab.ü", k=rng.randint(0, 6))) for _ in range(n)]
     left, right = strings(150), strings(80)
@@ -124,7 +147,26 @@ def test_first_overlap_equals_brute_force(spark):
         hits = [i for i, t in enumerate(right) if t and (s in t or t in s)]
         if hits:
             want[s] = min(hits)
-    assert {r.a: r.o for r in matching.first_overlap(a, b, "a", "b", "o").collect()} == want
+    assert {r.a: r.o for r in automaton.first_overlap(a, b, "a", "b", "o", block, share).collect()} == want
+
+
+def test_a_family_that_shares_every_gram(spark):
+    rng = random.Random(4)
+    names = ["biz haus " + "".join(rng.choices("ab", k=rng.randint(0, 9))) for _ in range(1500)]
+    a = spark.createDataFrame([(n,) for n in names] + [("",), (None,)], "a string")
+    b = spark.createDataFrame(list(enumerate(names)) + [(5000, ""), (5001, None)], "o long, b string")
+    distinct = set(names)
+    want = {(s, t) for s in distinct for t in distinct if s in t}
+    got = automaton.containing_pairs(a, b, "a", "b", block=2000, share=3000).collect()
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
+
+
+def test_automaton_strings_too_long_for_a_trie(spark):
+    long = "x" * (automaton.LONG + 1)
+    a = automaton.Automaton([long, "x", "ü😀"])
+    assert set(a.pairs(["yx", "😀", "aü😀", long + "y"])) == {("x", "yx"), ("ü😀", "aü😀"), ("x", long + "y"), (long, long + "y")}
+    assert dict(a.first_inside([7, 8, 9], [long, "ü😀x", "none"])) == {long: 7, "ü😀x": 8}
+    assert dict(a.first_holder(["ax", long, "x"], [3, 2, 5])) == {"x": 2, long: 2}
 
 
 def test_subdomains_keep_place_and_last_entry(spark):
