@@ -192,22 +192,24 @@ def containing_pairs(short: DataFrame, long: DataFrame, s: str, t: str, block: i
     return _meet(short, long, s, t, block, share, lambda a, x, y: a.pairs(y[t]), [f"{s} string", f"{t} string"])
 
 
-def first_containing(short: DataFrame, long: DataFrame, s: str, t: str, order: str, block: int = BLOCK, share: int = SHARE) -> DataFrame:
-    """For each distinct ``s``, the lowest ``order`` of a ``t`` that contains it."""
-    short, long = materialize(_distinct(short, s), "short"), materialize(_distinct(long, t, order), "long")
-    found = _meet(short, long, s, t, block, share, lambda a, x, y: a.first_holder(y[t], y[order].tolist()), [f"{s} string", f"{order} long"])
-    return found.groupBy(s).agg(F.min(order).alias(order))
+def _holders(short, long, s, t, order, block, share):
+    """Per place: each ``s`` with the lowest ``order`` of a ``t`` that contains it."""
+    return _meet(short, long, s, t, block, share, lambda a, x, y: a.first_holder(y[t], y[order].tolist()), [f"{s} string", f"{order} long"])
+
+
+def _inside(long, short, t, s, order, block, share):
+    """Per place: each ``t`` with the lowest ``order`` of an ``s`` inside it."""
+    return _meet(short, long, s, t, block, share, lambda a, x, y: a.first_inside(x[order].tolist(), y[t]), [f"{t} string", f"{order} long"])
 
 
 def first_contained(long: DataFrame, short: DataFrame, t: str, s: str, order: str, block: int = BLOCK, share: int = SHARE) -> DataFrame:
     """For each distinct ``t``, the lowest ``order`` of an ``s`` inside it."""
     short, long = materialize(_distinct(short, s, order), "short"), materialize(_distinct(long, t), "long")
-    found = _meet(short, long, s, t, block, share, lambda a, x, y: a.first_inside(x[order].tolist(), y[t]), [f"{t} string", f"{order} long"])
-    return found.groupBy(t).agg(F.min(order).alias(order))
+    return _inside(long, short, t, s, order, block, share).groupBy(t).agg(F.min(order).alias(order))
 
 
 def first_overlap(left: DataFrame, right: DataFrame, a: str, b: str, order: str, block: int = BLOCK, share: int = SHARE) -> DataFrame:
     """For each distinct ``a``, the lowest ``order`` of a ``b`` that contains it or lies in it."""
-    both = first_containing(left, right, a, b, order, block, share).unionByName(
-        first_contained(left, right, a, b, order, block, share))
+    left, right = materialize(_distinct(left, a), "left"), materialize(_distinct(right, b, order), "right")
+    both = _holders(left, right, a, b, order, block, share).unionByName(_inside(left, right, a, b, order, block, share))
     return both.groupBy(a).agg(F.min(order).alias(order))
