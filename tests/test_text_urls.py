@@ -2,12 +2,13 @@
 
 import random
 import re
+import time
 from urllib.parse import urljoin, urlparse
 
 from pyspark.sql import functions as F
 
-from pagequarry.functions import text, urls
-from pagequarry.operators import names
+from pagequarry.functions import rules, text, urls
+from pagequarry.operators import emails, names
 
 BASES = ["https://a.example.com/", "http://b.example.org/start?ref=a", "https://c.example.net", "https://d.example.com:8443/x/y",
          "https://e.example.com/x/y/", "https://f.example.com/x//y/z?q#f"]
@@ -89,3 +90,21 @@ def test_safe_folder_name(spark):
              "日本": "", "www.x.example": "www.x.example"}
     df = spark.createDataFrame([(k,) for k in cases], "s string")
     assert {r.s: r.f for r in df.select("s", text.safe_folder_name("s").alias("f")).collect()} == cases
+
+
+def test_email_search_equals_the_plain_pattern(spark):
+    rng = random.Random(8)
+    letters = ["a", "B", "7", ".", "-", "_", "%", "+", "@", "@", "é", " ", "|", "<", "com", ".de", "x.org", "\U0001f600"]
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(8000)]
+    texts += ["a@b.com.x@y.org", ".info@a.de", "éinfo@a.de", "é.info@a.de", "a@b.cc@d.ee", "a@b.c|d", "-%-@a.bc", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.regexp_extract_all("t", F.lit("(?U)" + rules.EMAIL_PATTERN), F.lit(0))
+    rows = df.select("t", plain.alias("a"), F.regexp_extract_all("t", F.lit(emails.EMAIL_SEARCH), F.lit(1)).alias("b")).collect()
+    assert all(r.a == r.b for r in rows) and sum(len(r.a or []) for r in rows) > 500
+
+
+def test_email_search_is_linear_in_long_runs(spark):
+    runs = spark.range(1).select(F.explode(F.array(*[F.concat(F.repeat(F.lit(r), 2_500_000), F.lit(" i@a.de")) for r in ("a.", "ab", "-_", "@.", "a@")])).alias("t"))
+    started = time.perf_counter()
+    found = runs.select(emails.regex_emails("t").alias("e")).collect()
+    assert [list(r.e) for r in found] == [["i@a.de"]] * 5 and time.perf_counter() - started < 30
