@@ -28,7 +28,9 @@ from .common import id_and_text, received, send, unused
 from .words import PUNCTUATION, chunks, find_words, hash_words, mix
 
 #: Steps of a walk, where the first check of all samples lies, places that a sample adds.
-STEPS, EARLY, LATER = 10, 2, 2
+STEPS, EARLY, LATER = 10, 2, 1
+#: Words that an item needs for walks, and words that a walk's start must leave in it.
+WALKED, ROOM = 5, 3
 #: Rare words that a sample must hold (samples of common words alone are no evidence) if this share of an
 #: item's samples can; a word is rare if at most this share of the items has it.
 RARE, USABLE, RARE_SHARE = 2, 0.3, 0.03
@@ -39,24 +41,30 @@ _TABLE_BITS = 22
 
 
 def sample_places(seed: int, walk: int, sample: int) -> list[int]:
-    """Places of one sample: the walk's first word, one early place, and a few later ones."""
+    """Places of one sample: the walk's first word, one early place, and ``LATER`` others."""
     rng = np.random.default_rng([seed, walk, sample])
     return [0, EARLY, *sorted(int(p) for p in rng.choice(np.arange(EARLY + 1, STEPS), LATER, replace=False))]
 
 
-def repeats(recall: float, edits: float = 0.4, anchors: int = 10) -> tuple[int, int]:
+def repeats(recall: float, edits: float = 0.43, anchors: int = 10) -> tuple[int, int]:
     """Walks and samples per walk that reach a recall when a word is edited with
-    probability ``edits`` and ``anchors`` starts are tried: a sample survives when
-    the words that its walk reads, about half its steps, are untouched.  A hash of
-    64 bits serves six walks."""
+    probability ``edits`` (a tenth of its characters) and ``anchors`` starts are tried: a sample
+    survives when the words that its walk reads, about half its steps, are untouched."""
     one = (1 - edits) ** (STEPS / 2)
     needed = math.log(max(1e-9, 1 - recall)) / math.log(max(1e-9, 1 - one)) / anchors
-    return min(64 // STEPS, max(2, math.ceil(needed))), 2
+    return max(2, math.ceil(needed)), 4
 
 
-def _move(word: np.ndarray, at: np.ndarray, walk: int, step: int) -> np.ndarray:
+def _coins(hashes: np.ndarray, walk: int) -> np.ndarray:
+    """Per word the random bits of a walk's steps: ``64 // STEPS`` walks share one hash of the word."""
+    bank, place = divmod(walk, 64 // STEPS)
+    drawn = mix(hashes + np.uint64(bank)) if bank else hashes
+    return drawn >> np.uint64(place * STEPS)
+
+
+def _move(coins: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
     """Where the walk stands after a step: on the same word or the next."""
-    return at + (word >> np.uint64(walk * STEPS + step) & np.uint64(1)).astype(np.int32)
+    return at + (coins[at] >> np.uint64(step) & np.uint64(1)).astype(np.int32)
 
 
 def _keys(hashes: np.ndarray, starts: np.ndarray, walks: int, samples: int, seed: int, keep=None, rare=None):
@@ -65,12 +73,12 @@ def _keys(hashes: np.ndarray, starts: np.ndarray, walks: int, samples: int, seed
     ``STEPS`` zeros, which walks past the end write.  ``keep(partial)`` may drop starts
     after the early place, before the rest of the walk."""
     for walk in range(walks):
-        own = starts
+        own, coins = starts, _coins(hashes, walk)
         for step in range(EARLY + 1):
             word, seen = hashes[own], own
             if step == 0:
                 partial = mix(word + np.uint64(walk + 1))
-            own = _move(word, own, walk, step)
+            own = _move(coins, own, step)
         partial = mix(partial ^ word)
         live = starts
         if keep is not None:
@@ -89,7 +97,7 @@ def _keys(hashes: np.ndarray, starts: np.ndarray, walks: int, samples: int, seed
                     if rare is not None:
                         counts[s] = counts[s] + (rare[own] & (own > before[s]))
                         before[s] = own
-            own = _move(word, own, walk, step)
+            own = _move(coins, own, step)
         yield live, partial, keys, counts if rare is not None else None
 
 
@@ -137,10 +145,10 @@ class Items:
             self.forms.append(_form(found, lo, hi))
             if hi == lo:
                 continue
-            if hi - lo < STEPS // 2:  # too short for a walk: found word for word only
+            if hi - lo < WALKED:  # too short for a walk: found word for word only
                 self.short.setdefault(int(hi - lo), {}).setdefault(int(_run_hash(own, hi - lo)[0]), []).append(k)
                 continue
-            starts = np.arange(hi - lo - STEPS // 2 + 1, dtype=np.int32)
+            starts = np.arange(hi - lo - ROOM + 1, dtype=np.int32)
             rare = np.r_[usual[lo:hi] <= common, np.zeros(STEPS + 1, bool)]
             walked = list(_keys(_padded(own), starts, walks, samples, seed, rare=rare))
             seen = np.concatenate([c for *_, counts in walked for c in counts])
@@ -235,7 +243,7 @@ def scan(items: Items, batches: Iterator[pa.RecordBatch], max_edits: float = MAX
                 ids = part.column("doc_id")
                 for text, k, start, last in items.candidates(hash_words(found), found.first):
                     form = items.forms[k]
-                    most = int(max_edits * len(form)) if items.words[k] >= STEPS // 2 else 0
+                    most = int(max_edits * len(form)) if items.words[k] >= WALKED else 0
                     if best.get((text, k)) == 0:
                         continue
                     base, end = int(found.first[text]), int(found.first[text + 1])
@@ -277,7 +285,7 @@ def benchmark_passages(docs: DataFrame, benchmark: DataFrame, max_edits: float =
     """``doc_id, item_id, edits, item_chars``: items that stand in a document with at most
     ``max_edits`` of their characters edited, each with its least distance.
 
-    An item under five words must stand word for word; one without words never
+    An item under five words (``WALKED``) must stand word for word; one without words never
     matches.  Null texts are empty.  Repeated rows each report; a document without
     an id reports a null one.  A table without rows gives none.
     """

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -358,3 +359,18 @@ def test_the_toxicity_sample_bounds_rows_that_are_there(spark):
     assert toxicity.training_rows(docs, labels, 50).count() == 50
     rows = toxicity.training_rows(docs, labels, 10_000).collect()
     assert len(rows) == len({(r.doc_id, r.text) for r in rows}) == len({(i, t) for i, t in texts if i is not None and zlib.crc32(str(i).encode()) % 5})
+
+
+@pytest.mark.parametrize("words", [5, 6, 8, 12])
+def test_short_items_with_one_edited_character_are_found(words):
+    rng = random.Random(words)
+    forms = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(3000)]
+    items = [" ".join(rng.choices(forms, k=words)) for _ in range(150)]
+    block = decontaminate.Items(list(range(150)), items, *decontaminate.repeats(0.99), 1)
+    found = 0
+    for i, text in enumerate(items):
+        at = rng.randrange(len(text))
+        doc = "before it all " + text[:at] + ("x" if text[at] != " " else "xx ") + text[at + 1:] + " and after it"
+        batch = pa.record_batch({"doc_id": pa.array([i]), "text": pa.array([doc], pa.large_string())})
+        found += any(r["item_id"] == i for out in decontaminate.scan(block, iter([batch])) for r in out.to_pylist())
+    assert found >= 0.9 * len(items)
