@@ -126,6 +126,16 @@ def edit_distance_within(pattern: str, text: str) -> int:
     return best
 
 
+def _grams(text: str) -> list[str]:
+    return [text[i:i + 3] for i in range(len(text) - 2)]
+
+
+def too_far(pattern_grams: list[str], text: str, most: int) -> bool:
+    """Whether no substring of the text is within ``most`` edits: an edit spoils at most three of the pattern's grams."""
+    held = set(_grams(text))
+    return sum(g not in held for g in pattern_grams) > 3 * most
+
+
 class Items:
     """A block of items with the keys of their walks."""
 
@@ -235,6 +245,7 @@ def _form(found, lo: int, hi: int) -> str:
 
 def scan(items: Items, batches: Iterator[pa.RecordBatch], max_edits: float = MAX_EDITS):
     """Arrow batches of ``doc_id, item, edits, item_chars``: the best window of each item in each text."""
+    grams: dict[int, list[str]] = {}
     for batch in batches:
         for part in chunks(batch, "text"):
             found = find_words(part.column("text"), PUNCTUATION)
@@ -254,7 +265,9 @@ def scan(items: Items, batches: Iterator[pa.RecordBatch], max_edits: float = MAX
                     if most == 0 or form in window:
                         edits = 0 if f" {form} " in f" {window} " or (most and form in window) else 1
                     else:
-                        edits = edit_distance_within(form, window)
+                        if k not in grams:
+                            grams[k] = _grams(form)
+                        edits = most + 1 if too_far(grams[k], window, most) else edit_distance_within(form, window)
                     if edits <= most:
                         best[text, k] = min(edits, best.get((text, k), edits))
             rows = sorted(best.items())

@@ -84,6 +84,7 @@ def test_edit_distance_equals_brute_force():
     for _ in range(300):
         p, t = ("".join(rng.choices("abcé", k=rng.randint(a, b))) for a, b in ((1, 70), (0, 90)))
         assert decontaminate.edit_distance_within(p, t) == brute_distance(p, t)
+        assert not decontaminate.too_far(decontaminate._grams(p), t, brute_distance(p, t))
 
 
 def test_edited_passages_are_found_and_clean_texts_left(spark):
