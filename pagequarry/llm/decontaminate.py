@@ -38,6 +38,7 @@ RARE, USABLE, RARE_SHARE = 2, 0.3, 0.03
 MAX_EDITS = 0.2
 BLOCK_WORDS = 200_000  # about 40 MB of keys
 _TABLE_BITS = 22
+_TOGETHER = 2048  # pairs of a text window and an item whose distances advance together
 
 
 def sample_places(seed: int, walk: int, sample: int) -> list[int]:
@@ -101,39 +102,79 @@ def _keys(hashes: np.ndarray, starts: np.ndarray, walks: int, samples: int, seed
         yield live, partial, keys, counts if rare is not None else None
 
 
-def edit_distance_within(pattern: str, text: str) -> int:
-    """The least edit distance between the pattern and any substring of the text (bit-parallel, exact)."""
-    m = len(pattern)
-    if not m:
-        return 0
-    masks: dict[str, int] = {}
-    for i, c in enumerate(pattern):
-        masks[c] = masks.get(c, 0) | 1 << i
-    full, top = (1 << m) - 1, 1 << m - 1
-    plus, minus, score = full, 0, m
-    best = m
-    for c in text:
-        eq = masks.get(c, 0)
-        diagonal = ((eq & plus) + plus ^ plus) | eq | minus
-        up = minus | ~(diagonal | plus) & full
-        down = plus & diagonal
-        score += bool(up & top) - bool(down & top)
-        best = min(best, score)
-        up = up << 1 & full  # a match may start anywhere: no cost along the text
-        down = down << 1 & full
-        plus = down | ~(diagonal | up) & full
-        minus = up & diagonal
-    return best
-
+def edit_distances(patterns: list[str], pairs: list[tuple[int, str]]) -> np.ndarray:
+    """For each pair (place of a pattern, text) the least edit distance between the pattern and any
+    substring of the text.
 
-def _grams(text: str) -> list[str]:
-    return [text[i:i + 3] for i in range(len(text) - 2)]
+    Exact and bit-parallel: a column of the distance table is two bit sets, one bit per letter of the
+    pattern, of where it rises and falls.  All pairs whose patterns need as many 64-bit words advance
+    together, one letter of their texts at a time.
+    """
+    out = np.zeros(len(pairs), np.int64)
+    for place in range(0, len(pairs), _TOGETHER):
+        groups: dict[int, list[int]] = {}
+        for i in range(place, min(len(pairs), place + _TOGETHER)):
+            if patterns[pairs[i][0]]:
+                groups.setdefault((len(patterns[pairs[i][0]]) + 63) // 64, []).append(i)
+        for size, members in groups.items():
+            members.sort(key=lambda i: -len(pairs[i][1]))
+            out[members] = _advance(patterns, [pairs[i] for i in members], size)
+    return out
 
 
-def too_far(pattern_grams: list[str], text: str, most: int) -> bool:
-    """Whether no substring of the text is within ``most`` edits: an edit spoils at most three of the pattern's grams."""
-    held = set(_grams(text))
-    return sum(g not in held for g in pattern_grams) > 3 * most
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _advance(patterns: list[str], pairs: list[tuple[int, str]], size: int) -> np.ndarray:
+    """``edit_distances`` of pairs whose patterns fill ``size`` words, the longest text first."""
+    # Per pattern and letter a row of bits, where the letter stands; row 0 for letters that it lacks.
+    tables, letters, rows = [np.zeros((1, size), np.uint64)], {}, 1
+    for k in {k for k, _ in pairs}:
+        points = _points(patterns[k])
+        known, at = np.unique(points, return_inverse=True)
+        bits = np.zeros((len(known), size), np.uint64)
+        spots = np.arange(len(points))
+        np.bitwise_or.at(bits, (at, spots >> 6), np.uint64(1) << (spots & 63).astype(np.uint64))
+        letters[k] = known, rows
+        tables.append(bits)
+        rows += len(known)
+    table = np.concatenate(tables).T.copy()
+    lengths = np.array([len(t) for _, t in pairs])
+    reads = np.zeros((int(lengths[0]), len(pairs)), np.int32)
+    for i, (k, text) in enumerate(pairs):
+        known, first = letters[k]
+        points = _points(text)
+        at = np.minimum(np.searchsorted(known, points), len(known) - 1)
+        reads[:len(points), i] = np.where(known[at] == points, first + at, 0)
+    score = np.array([len(patterns[k]) for k, _ in pairs])
+    top = np.uint64(1) << ((score - 1) & 63).astype(np.uint64)
+    best = score.copy()
+    plus = np.full((size, len(pairs)), ~np.uint64(0))
+    minus = np.zeros_like(plus)
+    one, last = np.uint64(1), np.uint64(63)
+    for column, live in enumerate(np.searchsorted(-lengths, -np.arange(len(reads)), "left")):
+        if live < plus.shape[1]:  # texts that have ended
+            plus, minus, score, top = plus[:, :live], minus[:, :live], score[:live], top[:live]
+        eq = table[:, reads[column, :live]]
+        kept = eq & plus
+        total = kept + plus
+        over = total < kept
+        for w in range(1, size):
+            total[w] += over[w - 1]
+            over[w] |= over[w - 1] & (total[w] == 0)
+        diagonal = (total ^ plus) | eq | minus
+        up = minus | ~(diagonal | plus)
+        down = plus & diagonal
+        score = score + ((up[-1] & top) != 0) - ((down[-1] & top) != 0)
+        np.minimum(best[:live], score, out=best[:live])
+        # Along the text the first row stays 0: a match may start anywhere.
+        up_next, down_next = up << one, down << one
+        up_next[1:] |= up[:-1] >> last
+        down_next[1:] |= down[:-1] >> last
+        plus = down_next | ~(diagonal | up_next)
+        minus = up_next & diagonal
+    return best
 
 
 class Items:
@@ -245,37 +286,55 @@ def _form(found, lo: int, hi: int) -> str:
 
 def scan(items: Items, batches: Iterator[pa.RecordBatch], max_edits: float = MAX_EDITS):
     """Arrow batches of ``doc_id, item, edits, item_chars``: the best window of each item in each text."""
-    grams: dict[int, list[str]] = {}
+    ids: list = []  # of the texts with proposals since the last batch went out
+    best: dict[tuple[int, int], int] = {}
+    unsure: dict[tuple[int, str], set[int]] = {}  # copies of a passage are compared once
+
+    def out():
+        pairs = list(unsure)
+        for (k, window), edits in zip(pairs, edit_distances(items.forms, pairs).tolist()):
+            if edits <= int(max_edits * len(items.forms[k])):
+                for text in unsure[k, window]:
+                    best[text, k] = min(edits, best.get((text, k), edits))
+        rows = sorted(best.items())
+        done = pa.RecordBatch.from_pydict({
+            "doc_id": pa.array([ids[t] for (t, _), _ in rows], pa.int64()),
+            "item_id": pa.array([items.ids[k] for (_, k), _ in rows], pa.int64()),
+            "edits": pa.array([e for _, e in rows], pa.int64()),
+            "item_chars": pa.array([len(items.forms[k]) for (_, k), _ in rows], pa.int64())})
+        ids.clear()
+        best.clear()
+        unsure.clear()
+        return done
+
     for batch in batches:
         for part in chunks(batch, "text"):
             found = find_words(part.column("text"), PUNCTUATION)
-            best: dict[tuple[int, int], int] = {}
-            if len(found.start):
-                ids = part.column("doc_id")
-                for text, k, start, last in items.candidates(hash_words(found), found.first):
-                    form = items.forms[k]
-                    most = int(max_edits * len(form)) if items.words[k] >= WALKED else 0
-                    if best.get((text, k)) == 0:
-                        continue
-                    base, end = int(found.first[text]), int(found.first[text + 1])
-                    # A window a little larger than the item; the distance picks the best part of it.
-                    extra = int(max_edits * items.words[k]) + 1
-                    lo, hi = max(base, base + start - extra), min(end, base + last + items.words[k] + extra)
-                    window = _form(found, lo, hi)
-                    if most == 0 or form in window:
-                        edits = 0 if f" {form} " in f" {window} " or (most and form in window) else 1
-                    else:
-                        if k not in grams:
-                            grams[k] = _grams(form)
-                        edits = most + 1 if too_far(grams[k], window, most) else edit_distance_within(form, window)
-                    if edits <= most:
-                        best[text, k] = min(edits, best.get((text, k), edits))
-            rows = sorted(best.items())
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.array([ids[t].as_py() for (t, _), _ in rows], pa.int64()) if rows else pa.array([], pa.int64()),
-                "item_id": pa.array([items.ids[k] for (_, k), _ in rows], pa.int64()),
-                "edits": pa.array([e for _, e in rows], pa.int64()),
-                "item_chars": pa.array([len(items.forms[k]) for (_, k), _ in rows], pa.int64())})
+            if not len(found.start):
+                continue
+            places: dict[int, int] = {}
+            for text, k, start, last in items.candidates(hash_words(found), found.first):
+                if text not in places:
+                    places[text] = len(ids)
+                    ids.append(part.column("doc_id")[text].as_py())
+                place, form = places[text], items.forms[k]
+                if best.get((place, k)) == 0:
+                    continue
+                base, end = int(found.first[text]), int(found.first[text + 1])
+                # A window a little larger than the item; the distance picks the best part of it.
+                extra = int(max_edits * items.words[k]) + 1
+                lo, hi = max(base, base + start - extra), min(end, base + last + items.words[k] + extra)
+                window = _form(found, lo, hi)
+                if items.words[k] < WALKED or int(max_edits * len(form)) == 0:  # word for word only
+                    if f" {form} " in f" {window} ":
+                        best[place, k] = 0
+                elif form in window:
+                    best[place, k] = 0
+                else:
+                    unsure.setdefault((k, window), set()).add(place)
+            if len(unsure) >= _TOGETHER or len(best) >= _TOGETHER:
+                yield out()
+    yield out()
 
 
 def _blocks(benchmark: DataFrame, most: int) -> Iterator[tuple[list, list]]:

@@ -81,10 +81,19 @@ def brute_distance(pattern, text):
 
 def test_edit_distance_equals_brute_force():
     rng = random.Random(3)
+    patterns, pairs = [], []
     for _ in range(300):
-        p, t = ("".join(rng.choices("abcé", k=rng.randint(a, b))) for a, b in ((1, 70), (0, 90)))
-        assert decontaminate.edit_distance_within(p, t) == brute_distance(p, t)
-        assert not decontaminate.too_far(decontaminate._grams(p), t, brute_distance(p, t))
+        p, t = ("".join(rng.choices("abcé", k=rng.randint(a, b))) for a, b in ((1, 200), (0, 250)))
+        patterns.append(p)
+        pairs.append((len(patterns) - 1, t))
+    # Edges of the 64-bit words, an empty pattern, letters beyond 16 bits, a pattern in many texts.
+    for n in (63, 64, 65, 128, 129):
+        patterns.append("a" * n)
+        pairs += [(len(patterns) - 1, t) for t in ("a" * n, "a" * (n - 1), "b" * n, "b" + "a" * n + "b", "")]
+    patterns += ["", "a\U0001f600b"]
+    pairs += [(len(patterns) - 2, "abc"), (len(patterns) - 1, "xa\U0001f600bx"), (len(patterns) - 1, "ab"), (0, patterns[0] * 2)]
+    expected = [brute_distance(patterns[k], t) for k, t in pairs]
+    assert decontaminate.edit_distances(patterns, pairs).tolist() == expected
 
 
 def test_edited_passages_are_found_and_clean_texts_left(spark):
