@@ -352,7 +352,7 @@ def _blocks(benchmark: DataFrame, most: int) -> Iterator[tuple[list, list]]:
         yield ids, texts
 
 
-def benchmark_passages(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS, recall: float = 0.99,
+def benchmark_passages(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS, recall: float = 0.997,
                        seed: int = 1, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``doc_id, item_id, edits, item_chars``: items that stand in a document with at most
     ``max_edits`` of their characters edited, each with its least distance.
