@@ -12,7 +12,7 @@ from ..functions import rules
 from ..functions.text import blank_to_null, or_default, strip
 from ..functions.urls import authority, batch_folder, domain_key, domain_slug, first_label, netloc, site_url
 from .automaton import first_contained, first_overlap
-from .shared import first_per_key, last_per_key, materialize, one_per_key, skew_join, union_all
+from .shared import first_per_key, last_per_key, lookup_join, materialize, one_per_key, skew_join, union_all
 
 
 def domain_map_left_join(leads: DataFrame, domain_map: DataFrame, counter: int) -> DataFrame:
@@ -21,7 +21,7 @@ def domain_map_left_join(leads: DataFrame, domain_map: DataFrame, counter: int)
     places = [c for c in ("pos",) if c in domain_map.columns]
     mapped = one_per_key(domain_map.select(F.col("domain").alias("domain_key"), F.col("main_folder").alias("_main"),
                                            F.col("inner_folder").alias("_inner"), *places), ["domain_key"])
-    joined = skew_join(leads.withColumn("domain_key", domain_key("url")), mapped, "domain_key", ["row_idx"])
+    joined = lookup_join(leads.withColumn("domain_key", domain_key("url")), mapped, "domain_key", ["row_idx"])
     known = F.col("domain_key").isNotNull()
     return joined.withColumns({
         "main_folder": F.when(known, F.coalesce("_main", batch_folder(F.lit(counter)))),
@@ -34,15 +34,14 @@ def _first_folders(folders: DataFrame, key) -> DataFrame:
                          ["_key"], F.col("folder_idx"))
 
 
-def name_exact_match(leads: DataFrame, folders: DataFrame) -> DataFrame:
+def name_exact_match(leads: DataFrame, folders: DataFrame, how: str = "inner") -> DataFrame:
     """Leads whose business name equals a folder name, ignoring case."""
     named = leads.withColumn("_key", F.lower(blank_to_null("business_name")))
-    return skew_join(named, _first_folders(folders, F.lower("folder")), "_key", ["row_idx"], how="inner").drop("_key")
+    return lookup_join(named, _first_folders(folders, F.lower("folder")), "_key", ["row_idx"], how).drop("_key")
 
 
-def domain_map_then_deployed(leads: DataFrame, folders: DataFrame, domain_map: DataFrame) -> DataFrame:
-    """Leads whose domain is mapped to a folder that is deployed.  The key
-    without ``www.`` is preferred where it is mapped."""
+def _deployed_hosts(leads: DataFrame, folders: DataFrame, domain_map: DataFrame) -> DataFrame:
+    """The deployed folder that each host of the leads is mapped to."""
     hosts = leads.select(authority("url").alias("_host")).where("_host != ''").distinct()
     places = [c for c in ("pos",) if c in domain_map.columns]
     entries = one_per_key(domain_map.select(F.col("domain").alias("_try"), "ftp_name", "main_folder", "inner_folder", *places), ["_try"])
@@ -50,10 +49,15 @@ def domain_map_then_deployed(leads: DataFrame, folders: DataFrame, domain_map: D
         F.regexp_replace("_host", r"^www\.", ""), F.col("_host")))).alias("_at", "_try"))
     hits = first_per_key(tries.join(entries, "_try"), ["_host"], F.col("_at"))
     names = folders.groupBy(F.col("folder").alias("ftp_name")).agg(F.min("folder_idx").alias("folder_idx"))
-    live = hits.join(names, "ftp_name").select(
+    return hits.join(names, "ftp_name").select(
         "_host", "folder_idx", F.col("ftp_name").alias("folder"), "main_folder", "inner_folder")
+
+
+def domain_map_then_deployed(leads: DataFrame, folders: DataFrame, domain_map: DataFrame) -> DataFrame:
+    """Leads whose domain is mapped to a folder that is deployed.  The key
+    without ``www.`` is preferred where it is mapped."""
     keyed = leads.withColumn("_host", authority("url"))
-    return skew_join(keyed, live, "_host", ["row_idx"], how="inner").drop("_host")
+    return lookup_join(keyed, _deployed_hosts(leads, folders, domain_map), "_host", ["row_idx"], "inner").drop("_host")
 
 
 def linkage_domain(domain_map: DataFrame, leads: DataFrame) -> DataFrame:
@@ -62,7 +66,7 @@ def linkage_domain(domain_map: DataFrame, leads: DataFrame) -> DataFrame:
     bare = F.regexp_replace(host, r"^www\.", "")
     keyed = leads.withColumn("_bare", F.nullif(bare, F.lit(""))).withColumn("_host", F.nullif(host, F.lit("")))
     known = domain_map.select(F.col("domain").alias("_bare"), F.lit(True).alias("_known")).distinct()
-    return skew_join(keyed, known, "_bare", ["row_idx"]).withColumn(
+    return lookup_join(keyed, known, "_bare", ["row_idx"]).withColumn(
         "_domain", F.when(F.col("_known"), F.col("_bare")).otherwise(F.col("_host"))).drop("_bare", "_host", "_known")
 
 
@@ -72,23 +76,27 @@ def partial_match(leads: DataFrame, folders: DataFrame, domain_map: DataFrame) -
     low = folders.select(F.lower("folder").alias("_folder"), "folder_idx")
     hit = first_overlap(keyed.where("_domain is not null"), low, "_domain", "_folder", "folder_idx")
     full = hit.join(folders.select("folder_idx", "folder", "main_folder", "inner_folder"), "folder_idx")
-    return skew_join(keyed, full, "_domain", ["row_idx"], how="inner").drop("_domain")
+    return lookup_join(keyed, full, "_domain", ["row_idx"], "inner").drop("_domain")
 
 
 def staged_linkage(leads: DataFrame, folders: DataFrame, domain_map: DataFrame) -> DataFrame:
-    """The first stage that succeeds decides: 1 name, 2 domain map, 3 partial."""
-    keys = leads.select("row_idx", "url", "business_name")
-    columns = ["row_idx", "folder_idx", "folder", "main_folder", "inner_folder"]
+    """The first stage that succeeds decides: 1 name, 2 domain map, 3 partial.
 
-    def stage(n, links):
-        return materialize(links.select(F.lit(n).cast("long").alias("stage"), *columns), f"stage{n}")
+    Names and hosts are looked up in one pass over the leads; those without an answer go on.
+    """
+    columns = ["folder_idx", "folder", "main_folder", "inner_folder"]
 
-    by_name = stage(1, name_exact_match(keys, folders))
-    rest = materialize(keys.join(by_name.select("row_idx"), "row_idx", "left_anti"), "unlinked")
-    by_map = stage(2, domain_map_then_deployed(rest, folders, domain_map))
-    rest = rest.join(by_map.select("row_idx"), "row_idx", "left_anti")
-    by_part = partial_match(rest, folders, domain_map).select(F.lit(3).cast("long").alias("stage"), *columns)
-    return union_all(by_name, by_map, by_part)
+    def link(n):
+        return F.when(F.col("folder_idx").isNotNull(), F.struct(F.lit(n).cast("long").alias("stage"), *columns))
+
+    keys = leads.select("row_idx", "url", "business_name")
+    named = name_exact_match(keys, folders, "left").select("row_idx", "url", link(1).alias("_named"))
+    both = lookup_join(named.withColumn("_host", authority("url")), _deployed_hosts(keys, folders, domain_map), "_host", ["row_idx"])
+    looked = materialize(both.select("row_idx", "url", F.coalesce("_named", link(2)).alias("_link")), "looked_up")
+    done = looked.where("_link is not null").select("_link.stage", "row_idx", *[f"_link.{c}" for c in columns])
+    rest = looked.where("_link is null").select("row_idx", "url")
+    by_part = partial_match(rest, folders, domain_map).select(F.lit(3).cast("long").alias("stage"), "row_idx", *columns)
+    return done.unionByName(by_part)
 
 
 def folder_lead_containment(folders: DataFrame, leads: DataFrame) -> DataFrame:
@@ -127,13 +135,13 @@ def site_style_cross(sites: DataFrame, styles=rules.STYLES) -> DataFrame:
 
 def semi_membership(batch: DataFrame, known: DataFrame) -> DataFrame:
     """Batch rows whose URL is not known yet."""
-    return skew_join(batch, known.select("url").distinct(), "url", how="left_anti")
+    return lookup_join(batch, known.select("url").distinct(), "url", how="left_anti")
 
 
 def deployed_status(sites: DataFrame, deployed: DataFrame) -> DataFrame:
     """Flags the sites that are deployed."""
     live = deployed.select("folder").distinct().withColumn("_live", F.lit(True))
-    return skew_join(sites, live, "folder", ["site_idx"]).withColumn("deployed", F.col("_live").isNotNull()).drop("_live")
+    return lookup_join(sites, live, "folder", ["site_idx"]).withColumn("deployed", F.col("_live").isNotNull()).drop("_live")
 
 
 def reverse_map(folder_map: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.text import jaccard, words
 from .automaton import containing_pairs
-from .shared import materialize, skew_join, union_all
+from .shared import lookup_join, materialize, skew_join, union_all
 
 
 def parity_bits(hashes, parts: int = 8) -> Column:
@@ -55,7 +55,7 @@ def jaccard_pairs(sets: DataFrame, threshold: float = rules.SERVICE_SIMILARITY)
     listed = sets.select("id", F.size("words").alias("n"), F.explode("words").alias("w")).where(F.col("n") > smallest - 1e-9) \
         .select("id", "n", F.xxhash64("w").alias("h"))
     counts = listed.groupBy("h").agg(F.count("*").alias("df"))
-    ordered = skew_join(listed, counts, "h", ["id"], "inner").groupBy("id", "n").agg(
+    ordered = lookup_join(listed, counts, "h", ["id"], "inner").groupBy("id", "n").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("df", "h"))), lambda x: x["h"]).alias("hashes"))
     prefix = F.slice("hashes", F.lit(1), F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1)
     tokens = materialize(ordered.withColumn("bits", parity_bits("hashes")).select(

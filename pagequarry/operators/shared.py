@@ -4,10 +4,13 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+#: A lookup table that measures at most this is sent to all tasks.
+BROADCAST_BYTES = 64 << 20
+
 
 def shared_folder(spark) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
@@ -62,6 +65,28 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, spread_by=None, how:
     return joined.unionByName(left.where(F.col(key).isNull()), allowMissingColumns=True)
 
 
+def measured(df: DataFrame, name: str = "lookup") -> tuple[DataFrame, int]:
+    """The table, written as by ``materialize``, and about the bytes that it takes in
+    memory, counted while it is written.  A task run again can only count twice."""
+    values = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)).cast("long") for c in df.columns]
+    seen = Observation()
+    width = 32 + 24 * len(values)
+    written = materialize(df.observe(seen, F.sum(sum(values, F.lit(width).cast("long"))).alias("bytes")), name)
+    return written, seen.get["bytes"] or 0
+
+
+def lookup_join(left: DataFrame, right: DataFrame, key: str, spread_by=None, how: str = "left", limit: int | None = None) -> DataFrame:
+    """``skew_join`` for a right side that is often small, with scalar columns and one row per key.
+
+    The right side is written and measured.  Up to ``limit`` bytes it is sent to the tasks and
+    the left side is read once and not shuffled; beyond, the join is salted.
+    """
+    table, size = measured(right)
+    if size <= (BROADCAST_BYTES if limit is None else limit):
+        return left.join(F.broadcast(table), key, how)
+    return skew_join(left, table, key, spread_by, how)
+
+
 def running_total(df: DataFrame, order: str, value: Column, keys=(), name: str = "total",
                   width: int = 1_000_000) -> DataFrame:
     """Inclusive running sum in the order of a ``long`` that is unique per key.

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagequarry.operators import automaton, greedy, maintain, matching
-from pagequarry.operators.shared import ranked, running_total, shared_folder, skew_join
+from pagequarry.operators.shared import lookup_join, measured, ranked, running_total, shared_folder, skew_join
 
 
 def test_skew_join_equals_plain_join(spark):
@@ -176,3 +176,19 @@ def test_subdomains_keep_place_and_last_entry(spark):
                                 "seq long, subdomain string, website_path string, style string, active boolean, date_added string")
     got = {r.subdomain: (r.position, r.style, r.active) for r in maintain.upsert_subdomains(old, new).collect()}
     assert got == {"a": (1, "old", True), "b": (2, "s2", False), "c": (3, "s3", True)}
+
+
+def test_a_lookup_is_sent_or_salted_by_its_size(spark):
+    left = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 50 == 1, None)
+                                    .otherwise((F.col("id") % 100).cast("string")).alias("k"))
+    right = spark.createDataFrame([("hot", 1), ("7", None), ("none", 3)], "k string, v int")
+    empty = right.where("k = 'absent'")
+    for how in ("left", "inner", "left_anti", "left_semi"):
+        for table in (right, empty):
+            expected = left.join(table, "k", how)
+            for limit in (None, 0):
+                got = lookup_join(left, table, "k", ["id"], how, limit)
+                assert sorted(map(repr, got.select(expected.columns).collect())) == sorted(map(repr, expected.collect()))
+    small, size = measured(right)
+    assert small.count() == 3 and 0 < size < 1000 and measured(empty)[1] == 0
+    assert "BroadcastHashJoin" in lookup_join(left, right, "k")._jdf.queryExecution().toString()
