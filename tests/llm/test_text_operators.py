@@ -306,6 +306,60 @@ def test_class_model_scores_and_base(spark):
     assert class_lm.score_documents(frame(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_class_scores_equal_a_plain_restatement(spark):
+    from pyspark.sql import functions as F
+
+    from pagequarry.llm.words import find_words, hash_words
+    rng = random.Random(4)
+    vocabulary = [f"{a}{b}{c}" for a in "bdk" for b in "aeiou" for c in ("r", "lt", "sh", "é")]
+    texts = [" ".join(rng.choices(vocabulary, [1 / (k + 1) for k in range(len(vocabulary))], k=rng.randint(0, 25))) for _ in range(120)]
+    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    rows = list(enumerate(texts))
+    # One held-out text a thousand times: its words are unknown, or rare where the model learns.
+    hot = next(d for d in range(1000, 2000) if held(d))
+    rows += [(hot, f"never seen {vocabulary[-1]} never {vocabulary[-2]}")] * 1000
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    options = {"words": 9, "classes": 3, "head": 12}
+    model, counted = class_lm.train(docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2).select("text"), **options)
+    place = {int(h): k for k, h in enumerate(model.clustered)}
+    assert 0 < len(place) <= 9 and 0 < len(model.head) <= 12 < counted.count()
+
+    def kind(word):
+        if word is None:
+            return "end"
+        own = int(hash_words(find_words(pa.array([word], pa.large_string())))[0])
+        return int(model.of[place[own]]) if own in place else f"byte {word.encode()[-1] % class_lm.ENDINGS}"
+
+    tokens = lambda t: [*low(t).split(), None]
+    counts, steps = collections.Counter(), collections.Counter()
+    for d, t in rows:
+        if not held(d):
+            counts.update(tokens(t))
+            steps.update(zip(["end", *map(kind, tokens(t))], map(kind, tokens(t))))
+    before, after, types = collections.Counter(), collections.Counter(), collections.Counter(map(kind, counts))
+    for (a, b), c in steps.items():
+        before[a] += c
+        after[b] += c
+    size, total = options["classes"] + class_lm.ENDINGS + 1, sum(steps.values())
+
+    def score(text):
+        out, last = 0.0, "end"
+        for w in tokens(text):
+            k = kind(w)
+            share = (after[k] + 1) / (total + size)
+            out += math.log10((steps[last, k] + class_lm.PRIOR * share) / (before[last] + class_lm.PRIOR))
+            out += 0.0 if w is None else math.log10((counts[w] + 1) / (after[k] + types[k] + 1))
+            last = k
+        return out
+
+    got = class_lm.score_documents(docs, **options).collect()
+    assert len(got) == len(rows)
+    text = dict(rows)
+    for r in got:
+        assert r.score == pytest.approx(score(text[r.doc_id]), rel=1e-9, abs=1e-9)
+        assert r.n_known == sum(counts[w] > 0 for w in tokens(text[r.doc_id]))
+
+
 def test_class_model_is_a_distribution(spark):
     docs = frame(spark, [f"a b c{k % 7} d{k}" for k in range(40)])
     model, counts = class_lm.train(docs, words=6, classes=3)
