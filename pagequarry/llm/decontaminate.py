@@ -233,9 +233,11 @@ class Items:
         for walk, (live, _, keys, _) in enumerate(_keys(padded, starts, self.walks, self.samples, self.seed, keep)):
             for s, key in enumerate(keys):
                 known, item, offset = self.posts[walk * self.samples + s]
-                lo, hi = np.searchsorted(known, key), np.searchsorted(known, key, "right")
-                hit = np.flatnonzero(hi > lo)
-                count = (hi - lo)[hit]
+                if not len(known):
+                    continue
+                lo = np.searchsorted(known, key)
+                hit = np.flatnonzero(known[np.minimum(lo, len(known) - 1)] == key)
+                count = np.searchsorted(known, key[hit], "right") - lo[hit]
                 at = np.repeat(lo[hit], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 out.append((np.repeat(live[hit], count), item[at].astype(np.int64), offset[at].astype(np.int64)))
         for size, known in self.short.items():
