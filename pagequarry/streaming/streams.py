@@ -18,9 +18,10 @@ from ..sources import parts
 
 
 def table_stream(spark, sf_dir: str, name: str) -> DataFrame:
-    """One file of a folder as a stream."""
+    """A table of a folder as a stream, be it one file or a folder of part files.  A stream's plain path must be a
+    folder; a pattern may name either."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def folder_stream(spark, folder: str, files_per_batch: int = 1) -> DataFrame:
