@@ -1,11 +1,13 @@
 """Business name of a page: scored candidates from title, JSON-LD, headings, meta tags and domain."""
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.nodes import (NODES, best, candidate, first, json_is_object, json_ld, json_string, meta_content,
-                               present, rule_table, select, select_rule, text_of)
+from ..functions.nodes import (NODES, ancestors, best, candidate, first, json_is_object, json_ld, json_string, matches_rule,
+                               meta_content, present, rule_table, select, steps, text_of)
 from ..functions.text import built_once, _c, blank_to_null, let, strip
 from ..functions.urls import domain_display_name
 
@@ -46,9 +48,14 @@ def _fits(value: Column) -> Column:
 def header_candidates(nodes=NODES, table=rules.NAME_HEADER_RULES) -> Column:
     """The first match of each rule, if its text has a name's length."""
     rows = rule_table([s for s, _ in table], [score for _, score in table])
-    found = F.transform(rows, lambda r: F.struct(
-        _fits(text_of(first(select_rule(r, nodes)))).alias("value"), r["score"].alias("score"),
-        r["selector"].alias("method")))
+    # Only elements with a class or an id, or of a tag that a rule ends in, can match one.
+    tags = sorted({t for t in (re.match(r"\w*", steps(s)[-1])[0] for s, _ in table) if t})
+
+    def of_rules(likely):
+        return F.transform(rows, lambda r: F.struct(
+            _fits(text_of(first(F.filter(likely, lambda n: matches_rule(n, r, ancestors(n, nodes)))))).alias("value"),
+            r["score"].alias("score"), r["selector"].alias("method")))
+    found = let(F.filter(nodes, lambda n: (F.size(n["classes"]) > 0) | n["id"].isNotNull() | n["tag"].isin(*tags)), of_rules)
     return F.filter(found, lambda c: c["value"].isNotNull())
 
 

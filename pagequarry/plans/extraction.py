@@ -452,8 +452,9 @@ def name_domain(spark, d):
 @query("name_best", f"""SELECT url, coalesce({CLEAN_SQL}, {display_sql('url')}) AS business_name FROM pages
     UNION ALL SELECT url, {fx.EXPECTED_NAME} FROM {SITES}""")
 def name_best(spark, d):
-    both = fx.pages(spark, d).unionByName(fx.site_pages(spark, d))
-    return names.with_name(page_source.parse_pages(fx.spread(both, "url"))).select("url", "business_name")
+    # Each by itself: pages in many splits would hide that the sites are one.
+    both = fx.spread(fx.pages(spark, d), "page_id").unionByName(fx.spread(fx.site_pages(spark, d), "page_id"))
+    return names.with_name(page_source.parse_pages(both)).select("url", "business_name")
 
 
 @query("candidate_top1", f"SELECT page_id, url, coalesce({RAW_CLEAN_SQL}, {display_sql('url')}) AS business_name FROM pages")

@@ -157,11 +157,17 @@ def pages(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", "url", "html")
 
 
+#: Rows that a task gets of a table that is spread.
+ROWS_PER_TASK = 20_000
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """A small table is one file and one split; spread it before per-row work.
-    A table with splits enough for all cores is left as it is read."""
+    A table with splits enough for all cores is left as it is read: those grow with it."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, F.col(key))
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(max(cores, -(-df.count() // ROWS_PER_TASK)), F.col(key))
 
 
 # ------------------------------------------------------------------ lead tables

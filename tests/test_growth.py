@@ -1,5 +1,9 @@
 """Work that must grow with the rows: tables in folders, splits of each input, expressions computed once."""
 
+from pyspark.sql import functions as F
+
+from pagequarry.operators import records
+from pagequarry.plans import extraction
 from pagequarry.streaming import streams
 
 
@@ -7,6 +11,11 @@ def page(k):
     return k, f"https://a{k}.example.com/", f"<title>A{k}</title>"
 
 
+def customers(spark, folder, n):
+    rows = spark.range(n).select(F.col("id").alias("c_custkey"), F.lit(1).alias("c_nationkey"), F.lit("BUILDING").alias("c_mktsegment"))
+    rows.coalesce(1).write.parquet(f"{folder}/customer.parquet")
+
+
 def test_a_table_in_a_folder_is_a_stream(spark, tmp_path):
     rows = [page(k) for k in range(20)] + [(20, "http://known.example.com/", "")]
     spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
@@ -21,3 +30,11 @@ def test_a_table_in_one_file_is_a_stream(spark, tmp_path):
     pd.DataFrame({"n": [1]}).to_parquet(f"{tmp_path}/other.parquet")
     found = streams.new_urls(streams.table_stream(spark, str(tmp_path), "pages"), spark.createDataFrame([], "url string"))
     assert sorted(r.url for r in found.collect()) == [page(1)[1], page(2)[1]]
+
+
+def test_names_spread_each_input(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    spark.createDataFrame([page(k) for k in range(40)], "page_id long, url string, html string").repartition(2 * cores) \
+        .write.parquet(f"{tmp_path}/pages.parquet")
+    customers(spark, tmp_path, 10)
+    assert extraction.name_best(spark, str(tmp_path)).rdd.getNumPartitions() >= 2 * cores
