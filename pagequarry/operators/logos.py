@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.nodes import (NODES, ancestors, attr, attr_filled, best, first, json_ld, json_string, matches_rule,
                                parent, rule_table)
-from ..functions.text import built_once, let
+from ..functions.text import _c, built_once, let
 from ..functions.urls import is_image_url, resolve_url
 
 _CANDIDATES = "array<struct<value:string,score:int,method:string>>"
@@ -48,10 +48,11 @@ def images(nodes=NODES, base_url=None) -> Column:
 @built_once
 def selector_candidates(imgs="imgs", selectors=rules.LOGO_SELECTORS) -> Column:
     """Images matched by each selector in turn; one image may appear several times."""
-    return F.flatten(F.transform(rule_table(selectors), lambda r: F.transform(
-        F.filter(imgs, lambda i: matches_rule(i, r, i["above"])),
+    # Bound before the selectors: a column named inside their lambda would be computed again for each.
+    return let(_c(imgs), lambda found: F.flatten(F.transform(rule_table(selectors), lambda r: F.transform(
+        F.filter(found, lambda i: matches_rule(i, r, i["above"])),
         lambda i: F.struct(i["value"].alias("value"), i["score"].cast("int").alias("score"),
-                           r["selector"].alias("method")))))
+                           r["selector"].alias("method"))))))
 
 
 def _single(value: Column, score: int, method: str) -> Column:

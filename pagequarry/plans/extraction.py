@@ -536,7 +536,7 @@ def scrape_record(spark, d):
       {fx.EXPECTED_SERVICES} AS services, NULL AS error FROM {SITES}""")
 def scrape_record_sites(spark, d):
     sites = fx.spread(fx.site_pages(spark, d), "page_id")
-    return records.scrape_records(sites, fx.contact_pages(spark, d)).drop("page_id")
+    return records.scrape_records(sites, fx.spread(fx.contact_pages(spark, d), "page_id")).drop("page_id")
 
 
 @query("page_contact_join", f"SELECT n * 2 AS page_id, root || '/kontakt' AS contact_url, n * 2 + 1 AS contact_page_id FROM {SITES} WHERE n % 6 = 3")

@@ -38,3 +38,11 @@ def test_names_spread_each_input(spark, tmp_path):
         .write.parquet(f"{tmp_path}/pages.parquet")
     customers(spark, tmp_path, 10)
     assert extraction.name_best(spark, str(tmp_path)).rdd.getNumPartitions() >= 2 * cores
+
+
+def test_contact_pages_are_spread(spark, tmp_path, monkeypatch):
+    customers(spark, tmp_path, 10)
+    seen = []
+    monkeypatch.setattr(records, "scrape_records", lambda pages, corpus: seen.append(corpus) or pages)
+    extraction.scrape_record_sites(spark, str(tmp_path))
+    assert seen[0].rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
