@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.nodes import (NODES, attr, descendants, first, matches_step, meta_content, next_sibling, raw_text,
                                rule_table, siblings_until_heading, text_of)
-from ..functions.text import (built_once, contains_any, drop_near_duplicates, is_service_text, let, split_on_first_separator,
+from ..functions.text import (_c, built_once, contains_any, drop_near_duplicates, is_service_text, let, split_on_first_separator,
                               strip)
 
 
@@ -40,8 +40,9 @@ def labelled(nodes=NODES) -> Column:
 @built_once
 def sections(from_nodes="labelled", selectors=rules.SERVICE_SECTION_SELECTORS) -> Column:
     """Matches of every selector in turn; a section may appear more than once."""
-    return F.flatten(F.transform(rule_table(selectors), lambda r: F.filter(
-        from_nodes, lambda n: matches_step(n, r["last"]))))
+    # Bound before the selectors: a column named inside their lambda would be computed again for each.
+    return let(_c(from_nodes), lambda ns: F.flatten(F.transform(rule_table(selectors), lambda r: F.filter(
+        ns, lambda n: matches_step(n, r["last"])))))
 
 
 @built_once

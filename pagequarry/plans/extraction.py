@@ -511,7 +511,8 @@ def services_meta_description(spark, d):
     unnest(range(1, 1 + len(string_split({fx.EXPECTED_SERVICES}, '; ')))) AS pos FROM {SITES}""")
 def services_dedup(spark, d):
     kept = services.with_services(parsed_sites(spark, d))
-    return kept.select("page_id", F.posexplode("service_list").alias("p", "service")).select(
+    # With a plain posexplode Spark first filters by the list's size, which computes all methods again for that.
+    return kept.select("page_id", F.posexplode_outer("service_list").alias("p", "service")).where("p is not null").select(
         "page_id", "service", (F.col("p") + 1).cast("long").alias("pos"))
 
 

@@ -46,3 +46,11 @@ def test_contact_pages_are_spread(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(records, "scrape_records", lambda pages, corpus: seen.append(corpus) or pages)
     extraction.scrape_record_sites(spark, str(tmp_path))
     assert seen[0].rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_services_are_computed_once(spark, tmp_path):
+    customers(spark, tmp_path, 10)
+    found = extraction.services_dedup(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Filter" in line and "aggregate(" in line]
+    assert {(r.page_id, r.service, r.pos) for r in found.where("page_id = 2").collect()} == {(2, "Roofing 1", 1), (2, "Tiling 1", 2)}
