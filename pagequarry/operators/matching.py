@@ -9,6 +9,10 @@ from .automaton import containing_pairs
 from .shared import lookup_join, materialize, skew_join, union_all
 
 
+#: Tokens of a word that one task pairs with each other.
+BLOCK = 5_000
+
+
 def parity_bits(hashes, parts: int = 8) -> Column:
     """A set of word hashes as ``64 * parts`` bits; each word flips one.
 
@@ -34,11 +38,26 @@ def copy_groups(texts: DataFrame, id_col: str, text_col: str):
     reps = keyed.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     copies = skew_join(keyed.select("id", "key"), reps.where("copies > 1").drop("copies"), "key", ["id"], how="inner") \
         .where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
-    distinct = keyed.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "words")
+    distinct = lookup_join(keyed, reps.select(F.col("rep").alias("id")), "id", ["key"], "left_semi").select("id", "words")
     return distinct, copies
 
 
-def jaccard_pairs(sets: DataFrame, threshold: float = rules.SERVICE_SIMILARITY) -> DataFrame:
+def meetings(tokens: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """``tokens`` (``id, word, ...``) twice, as both sides of a join on ``place`` where all pairs with the same word meet once.
+
+    Each side has a row per token, so what is shuffled grows with the tokens.  Only a word of more than ``block``
+    tokens is cut into blocks, and each block of one side goes to each of the other, so that no task has all its pairs.
+    """
+    counts = tokens.groupBy("word").agg(F.count("*").alias("n_tokens"))
+    hot = counts.where(F.col("n_tokens") > block).select("word", F.ceil(F.col("n_tokens") / block).cast("int").alias("blocks"))
+    cut = lookup_join(tokens, hot, "word", ["id"]).withColumn("_blocks", F.coalesce("blocks", F.lit(1))).drop("blocks")
+    own = F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    return (cut.withColumn("_other", every).withColumn("place", F.struct("word", own.alias("i"), F.col("_other").alias("j"))).drop("_blocks", "_other"),
+            cut.withColumn("_other", every).withColumn("place", F.struct("word", F.col("_other").alias("i"), own.alias("j"))).drop("_blocks", "_other"))
+
+
+def jaccard_pairs(sets: DataFrame, threshold: float = rules.SERVICE_SIMILARITY, block: int = BLOCK) -> DataFrame:
     """All pairs ``a < b`` of distinct word sets (``id, words``) above a Jaccard threshold, exactly.
 
     Words are ordered by the number of sets that hold them, so the prefixes hold
@@ -63,17 +82,21 @@ def jaccard_pairs(sets: DataFrame, threshold: float = rules.SERVICE_SIMILARITY)
 
     bits = [c for c in tokens.columns if c.startswith("bits")]
 
-    def side(s):
-        return tokens.select("word", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "pos", *bits)])
+    def side(df, s):
+        return df.select("place", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "pos", *bits)])
 
     total = F.col("n_a") + F.col("n_b")
     possible = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
     differing = sum(F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in bits)
-    found = skew_join(side("a"), side("b"), "word", ["id_a"], how="inner") \
+    left, right = meetings(tokens, block)
+    found = side(left, "a").join(side(right, "b"), "place") \
         .where((F.col("id_a") < F.col("id_b")) & (possible > total * threshold / (1 + threshold) - 1e-9)
                & (F.col("n_a") > F.col("n_b") * threshold) & (F.col("n_b") > F.col("n_a") * threshold)
                & (differing < total * (1 - threshold) / (1 + threshold) + 1e-9)) \
         .select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    found = materialize(found, "found")
+    paired = found.select(F.col("a").alias("id")).union(found.select("b")).distinct()
+    sets = materialize(lookup_join(sets.select("id", "words"), paired, "id", ["id"], "left_semi"), "paired")
     full = found.join(sets.select(F.col("id").alias("a"), F.col("words").alias("w_a")), "a") \
         .join(sets.select(F.col("id").alias("b"), F.col("words").alias("w_b")), "b")
     return full.withColumn("similarity", jaccard(F.col("w_a"), F.col("w_b"))) \

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pagequarry.operators import records
+from pagequarry.operators import matching, records
 from pagequarry.plans import extraction
 from pagequarry.streaming import streams
 
@@ -54,3 +54,22 @@ def test_services_are_computed_once(spark, tmp_path):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.split("\n") if "Filter" in line and "aggregate(" in line]
     assert {(r.page_id, r.service, r.pos) for r in found.where("page_id = 2").collect()} == {(2, "Roofing 1", 1), (2, "Tiling 1", 2)}
+
+
+def test_frequent_words_are_cut_into_blocks_and_all_pairs_are_found(spark):
+    texts = {k: " ".join(f"w{(k + i) % 60}" for i in range(24 + k % 3)) for k in range(120)}
+    sets = matching.copy_groups(spark.createDataFrame(texts.items(), "id long, text string"), "id", "text")[0]
+    rows = {r.id: set(r.words) for r in sets.select("id", "words").collect()}
+    wanted = {(a, b) for a in rows for b in rows if a < b and len(rows[a] & rows[b]) / len(rows[a] | rows[b]) > 0.8}
+    assert wanted
+    for block in (3, 10_000):
+        assert {(r.a, r.b) for r in matching.jaccard_pairs(sets, 0.8, block).collect()} == wanted
+
+
+def test_pairs_shuffle_each_token_once_a_side(spark):
+    tokens = spark.range(400).select("id", F.pmod("id", F.lit(2)).alias("word"))
+    for block, times in ((500, 1), (100, 2)):
+        left, right = matching.meetings(tokens, block)
+        assert left.count() == right.count() == 400 * times
+        pairs = left.select("place", F.col("id").alias("a")).join(right.select("place", F.col("id").alias("b")), "place")
+        assert pairs.count() == pairs.distinct().count() == 2 * 200 * 200
