@@ -41,12 +41,16 @@ def folders(spark, d):
 
 # ------------------------------------------------------------------ sources and sinks
 
+SPLIT = 16 << 20
+
+
 @contextmanager
 def small_ranges(spark, size):
-    """Input splits of a few hundred bytes, so that the given tables' files are cut inside records."""
+    """Input splits of a few hundred bytes, so that the given tables' files are cut inside records; of at most ``SPLIT``
+    bytes, so that those of large tables do not grow with them."""
     key = "spark.sql.files.maxPartitionBytes"
     before = spark.conf.get(key)
-    spark.conf.set(key, str(size))
+    spark.conf.set(key, str(min(size, SPLIT)))
     try:
         yield
     finally:
@@ -113,6 +117,10 @@ def json_map_scan(spark, d):
     return files.json_map_scan(spark, path, "struct<main_folder:string,inner_folder:string,domain:string>", "folder")
 
 
+#: Order keys of one file of the log.
+LOG_KEYS = 250_000
+
+
 def _deploy_log(spark, d):
     k = F.col("o_orderkey").cast("string")
     flat = F.concat(F.lit('{"site'), k, F.lit('": "https://sites.example.com/'), k, F.lit('"}'))
@@ -123,14 +131,14 @@ def _deploy_log(spark, d):
                      (F.col("o_orderstatus") != "F").cast("string"), F.lit(', "result": '), result,
                      F.lit(', "target_directory": "/srv/{[\\"}", "server": "host"}'))
     path = new_path(spark, "deploy-log")
-    orders = fx.table(spark, d, "orders")
-    ends = orders.agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"))
-    # One array in one file, of which a third of the records are broken into lines.
-    body = orders.join(F.broadcast(ends)).select("o_orderkey", F.concat(
+    # A range of keys is an array in a file of its own, as a log is rotated; a third of the records are broken into lines.
+    orders = fx.table(spark, d, "orders").withColumn("file", F.floor(F.col("o_orderkey") / LOG_KEYS))
+    ends = orders.groupBy("file").agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"))
+    body = orders.join(F.broadcast(ends), "file").select("o_orderkey", "file", F.concat(
         F.when(F.col("o_orderkey") == F.col("lo"), "[").otherwise(","),
         F.when(F.col("o_orderkey") % 3 == 0, F.replace(value, F.lit(', "'), F.lit(',\n    "'))).otherwise(value),
         F.when(F.col("o_orderkey") == F.col("hi"), "\n]").otherwise("")).alias("value"))
-    sinks.write_lines(body, path, "o_orderkey", parts=1)
+    sinks.write_files(body, path, "file", "o_orderkey")
     with small_ranges(spark, 20 * _range(orders.count())):
         return files.deploy_log_scan(spark, path)
 

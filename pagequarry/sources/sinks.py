@@ -26,6 +26,14 @@ def write_lines(lines: DataFrame, path: str, order: str, parts: int | None = Non
 
 def write_map(entries: DataFrame, path: str, key: str) -> None:
     """One ``{key: {...}}`` document per line."""
+def write_files(lines: DataFrame, path: str, file: str, order: str) -> None:
+    """One file for each number ``file``, in the order of the numbers and its lines in order; rows without a value are left
+    out.  A task holds the rows of a file or a few."""
+    named = lines.where("value is not null").select(F.format_string("%012d", F.col(file)).alias("file"), order, "value")
+    count = max(1, named.select("file").distinct().count())
+    named.repartitionByRange(count, "file").sortWithinPartitions("file", order).select("file", "value").write.partitionBy("file").text(path)
+
+
     rest = [c for c in entries.columns if c != key]
     entries.select(F.to_json(F.create_map(F.col(key), F.struct(*rest))).alias("value")).write.text(path)
 

@@ -1,9 +1,12 @@
 """Work that must grow with the rows: tables in folders, splits of each input, expressions computed once."""
 
+import glob
+
 from pyspark.sql import functions as F
 
 from pagequarry.operators import matching, records
-from pagequarry.plans import extraction
+from pagequarry.plans import extraction, maintenance
+from pagequarry.sources import files, sinks
 from pagequarry.streaming import streams
 
 
@@ -73,3 +76,17 @@ def test_pairs_shuffle_each_token_once_a_side(spark):
         assert left.count() == right.count() == 400 * times
         pairs = left.select("place", F.col("id").alias("a")).join(right.select("place", F.col("id").alias("b")), "place")
         assert pairs.count() == pairs.distinct().count() == 2 * 200 * 200
+
+
+def test_a_deployment_log_is_written_in_ranges_of_keys(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(maintenance, "LOG_KEYS", 100)
+    paths = []
+    scan = files.deploy_log_scan
+    monkeypatch.setattr(files, "deploy_log_scan", lambda spark, path: paths.append(path) or scan(spark, path))
+    spark.sql("SELECT id AS o_orderkey, DATE'2024-02-01' AS o_orderdate, 'F' AS o_orderstatus FROM range(950, 1350)") \
+        .write.parquet(f"{tmp_path}/orders.parquet")
+    log = maintenance._deploy_log(spark, str(tmp_path))
+    assert [r.target_directory for r in log.collect()] == ['/srv/{["}'] * 400
+    ids = [int(r.id) for r in log.orderBy("pos").select(F.regexp_extract("result", "site([0-9]+)", 1).alias("id")).collect()]
+    assert ids == list(range(950, 1350))
+    assert len(glob.glob(f"{paths[0]}/**/*.txt", recursive=True)) == 5
