@@ -261,7 +261,7 @@ TAGLINE = "CASE WHEN services IS NULL THEN 'professional services' WHEN row_idx
     FROM (SELECT *, coalesce(business_name, {netloc_sql('url')}) AS name FROM {LEADS} l), (SELECT unnest(['modern', 'elegant', 'minimalist']) AS style)""")
 def rendered_pages(spark, d):
     path = new_path(spark, "rendered")
-    sinks.write_pages(sinks.rendered_pages(_with_folders(spark, d), YEAR), path)
+    sinks.write_pages(sinks.rendered_pages(fx.spread(_with_folders(spark, d), "row_idx"), YEAR), path)
     return spark.read.parquet(path)
 
 

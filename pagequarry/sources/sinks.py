@@ -1,5 +1,7 @@
 """Writers.  All write new folders: a path that is being read is never overwritten."""
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +26,6 @@ def write_lines(lines: DataFrame, path: str, order: str, parts: int | None = Non
     in_order(lines, order, parts).select("value").write.text(path)
 
 
-def write_map(entries: DataFrame, path: str, key: str) -> None:
-    """One ``{key: {...}}`` document per line."""
 def write_files(lines: DataFrame, path: str, file: str, order: str) -> None:
     """One file for each number ``file``, in the order of the numbers and its lines in order; rows without a value are left
     out.  A task holds the rows of a file or a few."""
@@ -34,6 +34,8 @@ def write_files(lines: DataFrame, path: str, file: str, order: str) -> None:
     named.repartitionByRange(count, "file").sortWithinPartitions("file", order).select("file", "value").write.partitionBy("file").text(path)
 
 
+def write_map(entries: DataFrame, path: str, key: str) -> None:
+    """One ``{key: {...}}`` document per line."""
     rest = [c for c in entries.columns if c != key]
     entries.select(F.to_json(F.create_map(F.col(key), F.struct(*rest))).alias("value")).write.text(path)
 
@@ -73,7 +75,20 @@ def rendered_pages(sites: DataFrame, year: int) -> DataFrame:
         "folder", "style", F.concat_ws("/", "folder", "style", F.lit("index.html")).alias("path"), html.alias("html"))
 
 
+@contextmanager
+def concurrent_files(spark, most: int):
+    """A task that writes partitioned files keeps up to ``most`` open; with more it sorts its rows as usual."""
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def write_pages(pages: DataFrame, path: str) -> None:
-    """Partitioned by the three styles, not by site."""
-    pages.write.partitionBy("style").parquet(path)
+    """Partitioned by the three styles, not by site.  A task keeps a file of each style open, so it need not sort its pages."""
+    with concurrent_files(pages.sparkSession, 8):
+        pages.write.partitionBy("style").parquet(path)
 

@@ -90,3 +90,12 @@ def test_a_deployment_log_is_written_in_ranges_of_keys(spark, tmp_path, monkeypa
     ids = [int(r.id) for r in log.orderBy("pos").select(F.regexp_extract("result", "site([0-9]+)", 1).alias("id")).collect()]
     assert ids == list(range(950, 1350))
     assert len(glob.glob(f"{paths[0]}/**/*.txt", recursive=True)) == 5
+
+
+def test_pages_are_rendered_by_many_tasks_without_a_sort(spark, tmp_path, monkeypatch):
+    customers(spark, tmp_path, 50)
+    paths = []
+    write = sinks.write_pages
+    monkeypatch.setattr(sinks, "write_pages", lambda pages, path: paths.append(path) or write(pages, path))
+    assert maintenance.rendered_pages(spark, str(tmp_path)).groupBy("style").count().select("count").distinct().collect() == [(50,)]
+    assert len(glob.glob(f"{paths[0]}/style=modern/*.parquet")) > 1
