@@ -178,12 +178,17 @@ def _meet(short, long, s, t, block, share, answer, schema) -> DataFrame:
     def run(a, b):
         rows = answer(Automaton(a[s]), a, b) if len(a) and len(b) else ()
         return pd.DataFrame(list(rows), columns=columns)
+    # A place is few bytes but much work: Spark would join many places in a task by their bytes.
+    n = int(short.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    here, there = here.repartition(n, "place"), there.repartition(n, "place")
     return here.groupBy("place").cogroup(there.groupBy("place")).applyInPandas(run, ", ".join(schema))
 
 
 def _distinct(df: DataFrame, col: str, order: str | None = None) -> DataFrame:
+    """Dealt to all cores: names are few bytes, so Spark would leave them, and the grams of all, to a task or two."""
     named = df.where(F.col(col) != "")
-    return named.select(col).distinct() if order is None else named.groupBy(col).agg(F.min(F.col(order).cast("long")).alias(order))
+    once = named.select(col).distinct() if order is None else named.groupBy(col).agg(F.min(F.col(order).cast("long")).alias(order))
+    return once.repartition(df.sparkSession.sparkContext.defaultParallelism, F.col(col))
 
 
 def containing_pairs(short: DataFrame, long: DataFrame, s: str, t: str, block: int = BLOCK, share: int = SHARE) -> DataFrame:

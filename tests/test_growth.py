@@ -4,7 +4,7 @@ import glob
 
 from pyspark.sql import functions as F
 
-from pagequarry.operators import matching, records
+from pagequarry.operators import automaton, matching, records
 from pagequarry.plans import extraction, maintenance
 from pagequarry.sources import files, sinks
 from pagequarry.streaming import streams
@@ -99,3 +99,10 @@ def test_pages_are_rendered_by_many_tasks_without_a_sort(spark, tmp_path, monkey
     monkeypatch.setattr(sinks, "write_pages", lambda pages, path: paths.append(path) or write(pages, path))
     assert maintenance.rendered_pages(spark, str(tmp_path)).groupBy("style").count().select("count").distinct().collect() == [(50,)]
     assert len(glob.glob(f"{paths[0]}/style=modern/*.parquet")) > 1
+
+
+def test_contained_names_are_dealt_to_all_cores(spark):
+    names = spark.createDataFrame([(f"name {k}", k) for k in range(100)], "s string, k long").coalesce(1)
+    for once in (automaton._distinct(names, "s"), automaton._distinct(names, "s", "k")):
+        assert once.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert automaton.first_contained(names.select(F.concat("s", F.lit(" x")).alias("t")), names, "t", "s", "k").count() == 100
