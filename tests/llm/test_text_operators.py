@@ -387,6 +387,82 @@ def test_exchange_finds_the_classes_of_a_cycle():
     assert len({(k % kinds, of[k]) for k in range(words)}) == kinds and of[words:].tolist() == [3, 4]
 
 
+def test_every_word_moves_to_its_best_class(spark):
+    from pagequarry.llm.words import find_words, hash_words
+    rng = random.Random(12)
+    vocabulary = [f"{a}{b}{c}" for a in "bdkm" for b in "aeiou" for c in ("r", "lt", "sh", "é")]
+    texts = [" ".join(rng.choices(vocabulary, [1 / (k + 1) for k in range(len(vocabulary))], k=rng.randint(0, 30))) for _ in range(150)]
+    texts += ["echo echo echo bar", "echo echo", None, "seen once", "kept twice kept twice"]
+    tokens = lambda t: [*low(t).split(), None]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    model, counted = class_lm.train(docs, classes=4, head=20, core=9)
+    number = lambda w: int(hash_words(find_words(pa.array([w], pa.large_string()))).view(np.int64)[0])
+    table = {r.word: r for r in counted.collect()}
+    counts = collections.Counter(w for t in texts for w in tokens(t))
+    assert len(table) == len(counts) and all(table[number(w) if w else 1].n == n for w, n in counts.items())
+    assert all(table[number(w)].kind < 4 for w in counts if w)  # none is left in the class of its last byte
+    core = {int(h) for h in model.clustered.view(np.int64)}
+    start = {w: "end" if w is None else table[number(w)].kind if number(w) in core else f"byte {w.encode()[-1] % class_lm.ENDINGS}" for w in counts}
+    pairs = collections.Counter((a, b) for t in texts for a, b in zip([None, *tokens(t)], tokens(t)))
+
+    def likelihood(of):
+        cells, rows, cols = collections.Counter(), collections.Counter(), collections.Counter()
+        for (a, b), n in pairs.items():
+            cells[of[a], of[b]] += n
+            rows[of[a]] += n
+            cols[of[b]] += n
+        return sum(n * math.log(n) for n in cells.values()) - sum(n * math.log(n) for c in (rows, cols) for n in c.values())
+    moved = [w for w in counts if w and number(w) not in core]
+    assert 50 < len(moved) == len(counts) - 1 - 9
+    for w in moved:
+        each = [likelihood({**start, w: k}) for k in range(4)]
+        assert each[table[number(w)].kind] == pytest.approx(max(each), abs=1e-7)
+
+
+def test_scores_with_all_words_clustered_equal_a_plain_restatement(spark):
+    from pagequarry.llm.words import find_words, hash_words
+    rng = random.Random(13)
+    groups = [[f"{g}{k}x" for k in range(150)] for g in "abc"]  # all end alike: only a class tells the groups apart
+    texts = [" ".join(rng.choice(groups[(s + k) % 3]) for k in range(rng.randint(0, 60))) for s in range(400)]
+    texts += [None, "", "never", "b1x Never met before c1x"] + [f"onlyhere{k}y a1x" for k in range(30)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    learned = spark.createDataFrame([r for r in rows if not held(r[0])], "doc_id long, text string")
+    options = {"classes": 6, "head": 40, "core": 30}
+    model, counted = class_lm.train(learned, **options)
+    table = {r.word: r for r in counted.collect()}
+    number = lambda w: int(hash_words(find_words(pa.array([w], pa.large_string()))).view(np.int64)[0])
+    tokens = lambda t: [*low(t).split(), None]
+    end = options["classes"] + class_lm.ENDINGS
+
+    def kind(w):
+        if w is None:
+            return end
+        known = table.get(number(w))
+        return known.kind if known else int(model.of[len(model.clustered) + w.encode()[-1] % class_lm.ENDINGS])
+    steps = collections.Counter((a, b) for d, t in rows if not held(d) for a, b in zip([end, *map(kind, tokens(t))], map(kind, tokens(t))))
+    before, after, types = collections.Counter(), collections.Counter(), collections.Counter(r.kind for r in table.values())
+    for (a, b), n in steps.items():
+        before[a] += n
+        after[b] += n
+    total = sum(steps.values())
+    got = class_lm.score_documents(docs, **options).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        want, last = 0.0, end
+        for w in tokens(texts[r.doc_id]):
+            k, n = kind(w), table[number(w)].n if w and number(w) in table else 0
+            share = (after[k] + 1) / (total + end + 1)
+            want += math.log10((steps[last, k] + class_lm.PRIOR * share) / (before[last] + class_lm.PRIOR))
+            want += 0.0 if w is None else math.log10((n + 1) / (after[k] + types[k] + 1))
+            last = k
+        assert r.score == pytest.approx(want, rel=1e-9, abs=1e-9)
+    test = lambda rows: sum(r.score for r in rows if r.held_out and r.n_tokens > 20)
+    few = class_lm.score_documents(docs, words=30, classes=6, head=40).collect()
+    assert test(got) > 0.97 * test(few)  # the rare words' classes carry the order
+
+
 def test_every_notice_of_a_file_is_looked_up(spark):
     from pagequarry.llm import license_scan
     gpl = "this work is licensed under the GNU general public license version 3"
