@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import components, id_and_text, materialize, partitions, skew_join, unused
 from .words import mix
 
-BITS = 4
+BITS, SIZE = 4, 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
 BLOCK = 4096
@@ -100,9 +100,10 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, size: int = 4, count: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, size: int = SIZE, count: int = 1, more: int | None = None) -> DataFrame:
     """``doc_id, prints array<long>, digest binary`` (SHA-256) of whole texts.  The first is over the hashes
-    themselves, further ones over independent permutations of them."""
+    themselves, further ones over independent permutations of them.  With ``more``, the plain
+    fingerprint of shingles of so many words follows."""
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             out, digests = [], []
@@ -110,7 +111,10 @@ def fingerprints(docs: DataFrame, size: int = 4, count: int = 1) -> DataFrame:
                 text = text.as_py() or ""
                 h = shingle_hashes(text, size)
                 digests.append(hashlib.sha256(text.encode()).digest())
-                out.append([np.uint64(fingerprint(mix(h ^ np.uint64(k)) if k else h)).astype(np.int64) for k in range(count)])
+                prints = [fingerprint(mix(h ^ np.uint64(k)) if k else h) for k in range(count)]
+                if more is not None:
+                    prints.append(fingerprint(shingle_hashes(text, more)))
+                out.append([np.uint64(p).astype(np.int64) for p in prints])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.list_(pa.int64())), pa.array(digests, pa.binary())],
                                              ["doc_id", "prints", "digest"])
     return id_and_text(docs).mapInArrow(run, "doc_id long, prints array<long>, digest binary")
@@ -349,34 +353,39 @@ def verified_links(nodes: DataFrame, bits: int, most: int) -> DataFrame:
     return materialize(links.distinct(), "verified")
 
 
-def _unverified(nodes: DataFrame, bits: int, count: int) -> DataFrame:
-    """Links ``a, b`` of nodes with a fingerprint within ``bits``."""
+def _unverified(nodes: DataFrame, bits: int, shared: bool) -> DataFrame:
+    """Links ``a, b`` of nodes with a fingerprint within ``bits``; ``shared``: nodes may have one in common."""
     each = nodes.select("node", F.posexplode("prints").alias("number", "print"))
     distinct = materialize(each.groupBy("number", "print").agg(F.min("node").alias("first")), "distinct")
     near = near_links(distinct, bits)
-    firsts = distinct.groupBy("print").agg(F.min("first").alias("first")) if count > 1 else distinct
+    firsts = distinct.groupBy("print").agg(F.min("first").alias("first")) if shared else distinct
     links = near.join(firsts.select(F.col("print").alias("a"), F.col("first").alias("x")), "a") \
         .join(firsts.select(F.col("print").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    if count > 1:
-        same = each.join(distinct, ["number", "print"]).where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    if shared:
+        same = skew_join(each, distinct.withColumnRenamed("number", "_number"), "print", ["node"], "inner") \
+            .where("number = _number and node != first").select(F.col("node").alias("a"), F.col("first").alias("b"))
         links = links.unionByName(same)
     return links
 
 
-def _roots(rows: DataFrame, bits: int, count: int, similarity: float | None) -> DataFrame:
-    """``prints, doc_id`` (the smallest), ``root`` (a number of its class) of each distinct ``prints``."""
+def _roots(rows: DataFrame, bits: int, count: int, similarity: float | None, more: bool = False) -> DataFrame:
+    """``prints, doc_id`` (the smallest), ``root`` (a number of its class) of each distinct ``prints``.
+    ``more``: after the ``count`` fingerprints one follows that links by itself, at ``BITS`` or fewer."""
     nodes = rows.groupBy("prints").agg(F.min("doc_id").alias("doc_id"))
     # A node's number: its place in the written table.
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    own = nodes.select("node", F.slice("prints", 1, count).alias("prints")) if more else nodes
     if similarity is not None:
-        links = verified_links(nodes, bits, int(share_of_bits(similarity) * 64 * count))
+        links = verified_links(own, bits, int(share_of_bits(similarity) * 64 * count))
     else:
-        links = _unverified(nodes, bits, count)
+        links = _unverified(own, bits, more or count > 1)
+    if more:
+        links = links.unionByName(_unverified(nodes.select("node", F.slice("prints", count + 1, 1).alias("prints")), BITS, True))
     tied = nodes.join(components(links), "node", "left").select("prints", "doc_id", F.coalesce("component", "node").alias("root"))
     return materialize(tied, "tied")
 
 
-def near_duplicate_classes(docs: DataFrame, size: int = 4, count: int = 1, bits: int = BITS, similarity: float | None = None) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, size: int = SIZE, count: int = 1, bits: int = BITS, similarity: float | None = None) -> DataFrame:
     """One row per input row: ``doc_id, prints, component_id`` (the smallest id reachable).
 
     Two documents are linked when a fingerprint of theirs is within ``bits``.
@@ -397,11 +406,14 @@ def near_duplicate_classes(docs: DataFrame, size: int = 4, count: int = 1, bits:
 def drop_near(docs: DataFrame, size: int = 5, count: int = 8, bits: int = 10, similarity: float = 0.8) -> DataFrame:
     """The documents with one row of each near-duplicate class, the smallest id: columns as they came.
 
+    Two documents are linked when their fingerprints of four-word shingles are within four bits, as in
+    ``near_duplicate_classes``: all such links count.  ``count`` fingerprints of ``size``-word shingles add
+    links of texts that differ more: those that share a key and pass the test on all bits.
     A row is known by its id and text: an id with two texts is two documents, of
     which one class keeps one.  Rows without an id stay.
     """
-    rows = materialize(fingerprints(docs, size, count), "prints")
-    tied = _roots(rows, bits, count, similarity)
+    rows = materialize(fingerprints(docs, size, count, SIZE), "prints")
+    tied = _roots(rows, bits, count, similarity, more=True)
     own = skew_join(rows.where("doc_id is not null").distinct(), tied.select("prints", "root"), "prints", ["doc_id", "digest"], "inner") \
         .select("doc_id", "digest", "root")
     own = materialize(own, "documents")

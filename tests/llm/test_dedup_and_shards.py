@@ -269,3 +269,37 @@ def test_drop_near_removes_rows_not_ids(spark):
     kept = simhash.drop_near(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.doc_id, r.text) for r in kept} & {(1, a), (2, b), (None, f"{a} more")} == {(1, a), (2, b), (None, f"{a} more")}
     assert len({r.text for r in kept if r.doc_id == 3}) == 1 and (2, f"{a} end") not in {(r.doc_id, r.text) for r in kept}
+
+
+def test_drop_near_keeps_one_of_each_class_of_four_bits(spark):
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(4000)]
+    texts, pairs = [], 0
+    while pairs < 12:  # pairs within four bits of each other whose texts share less than the test on all bits asks for
+        base = rng.choices(words, k=24)
+        for _ in range(300):
+            other = list(base)
+            for at in rng.sample(range(24), 2):
+                other[at] = rng.choice(words)
+            a, b = " ".join(base), " ".join(other)
+            if (print_of(a) ^ print_of(b)).bit_count() <= 4:
+                texts += [a, b]
+                pairs += 1
+                break
+    texts += [" ".join(rng.choices(words, k=40)) for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    classes = collections.defaultdict(set)
+    for r in simhash.near_duplicate_classes(df).collect():
+        classes[r.component_id].add(r.doc_id)
+    kept = {r.doc_id for r in simhash.drop_near(df).collect()}
+    assert sum(len(c) > 1 for c in classes.values()) == pairs
+    assert kept == set(classes)  # the smallest id of each class, and nothing else goes
+
+
+def test_texts_that_share_a_print_are_linked_by_it(spark):
+    rng = random.Random(22)
+    far = [[rng.getrandbits(63) for _ in range(2)] for _ in range(6)]
+    rows = [(k, [*p, 5 if k < 4 else 7 if k == 4 else 1 << 40 | 0xFFFF]) for k, p in enumerate(far)]
+    tied = simhash._roots(spark.createDataFrame(rows, "doc_id long, prints array<long>"), 4, 2, 0.9, more=True).collect()
+    roots = {r.doc_id: r.root for r in tied}
+    assert len({roots[k] for k in range(5)}) == 1 and roots[5] != roots[0]
