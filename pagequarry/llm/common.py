@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.shared import materialize, skew_join  # noqa: F401
+from ..operators.shared import components, materialize, skew_join  # noqa: F401
 
 
 def read(spark, sf_dir: str, table: str) -> DataFrame:
@@ -55,31 +55,3 @@ def received(kind, sent):
     thing = kind.__new__(kind)
     thing.__dict__.update(sent.value)
     return thing
-
-
-def components(links: DataFrame) -> DataFrame:
-    """Connected components of links ``a long, b long`` as ``node, component`` (the smallest node).
-
-    Alternating star contraction: each round ties larger neighbours, then smaller
-    ones, to the smallest neighbour, until every node hangs on its root.  Each
-    star is an aggregate and a join on ids; a node with very many links is split
-    by the join's salts.  Rounds grow with the logarithm of a component's size.
-    """
-    edges = materialize(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-                        .distinct(), "links")
-    before = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        small = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = skew_join(both, small, "u", ["v"], "inner").where("v > u") \
-            .select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        large = materialize(large, "stars")
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        tied = skew_join(large, small, "u", ["v"], "inner").select(
-            F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = materialize(tied.where("u != v").distinct(), "links")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
-        if now == before:
-            roots = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-            return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        before = now

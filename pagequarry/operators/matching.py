@@ -1,45 +1,35 @@
 """Near-duplicate texts and names, exactly."""
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import jaccard, words
+from ..functions.text import words
+from . import overlaps
 from .automaton import containing_pairs
-from .shared import lookup_join, materialize, skew_join, union_all
+from .shared import components, lookup_join, materialize, skew_join, union_all
 
 
 #: Tokens of a word that one task pairs with each other.
 BLOCK = 5_000
 
 
-def parity_bits(hashes, parts: int = 8) -> Column:
-    """A set of word hashes as ``64 * parts`` bits; each word flips one.
-
-    Flips cancel, so the bits in which two sets differ are at most the words in
-    which they differ: a lower bound on the difference, whatever the set size.
-    """
-    def flip(acc, h):
-        bit = F.pmod(F.shiftright(h, 8), F.lit(64)).cast("int")
-        return acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit))
-
-    def part(hashes, i):
-        mine = F.filter(hashes, lambda h: F.pmod(h, F.lit(parts)) == i)
-        return F.aggregate(mine, F.lit(0).cast("long"), flip).alias(f"bits{i}")
-
-    return F.struct(*[part(F.col(hashes), i) for i in range(parts)])
-
-
 def copy_groups(texts: DataFrame, id_col: str, text_col: str):
     """Split texts into one representative per distinct word set, and links from
-    every copy to its representative.  A group of copies stays linear."""
+    every copy to its representative.  A group of copies stays linear.
+
+    The word sets are written once; the copies, mostly few, are taken out whenever they are read."""
     sets = texts.select(F.col(id_col).alias("id"), words(F.lower(text_col)).alias("words")).where(F.size("words") > 0)
-    keyed = materialize(sets.withColumn("key", F.sha2(F.array_join(F.sort_array("words"), " "), 256)), "wordsets")
+    keyed = materialize(sets.withColumn("key", F.unhex(F.sha2(F.array_join(F.sort_array("words"), " "), 256))), "wordsets", compression="zstd")
     reps = keyed.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    copies = skew_join(keyed.select("id", "key"), reps.where("copies > 1").drop("copies"), "key", ["id"], how="inner") \
-        .where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
-    distinct = lookup_join(keyed, reps.select(F.col("rep").alias("id")), "id", ["key"], "left_semi").select("id", "words")
-    return distinct, copies
+    links = materialize(skew_join(keyed.select("id", "key"), reps.where("copies > 1").drop("copies"), "key", ["id"], how="inner")
+                        .where("id != rep"), "copies")
+    copies = links.select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    member = F.struct("id", "key").alias("member")
+    distinct = lookup_join(keyed.where("id IS NOT NULL").select("*", member), links.select(member).distinct(), "member", ["id"], "left_anti", kept="distinct")
+    return distinct.select("id", "words"), copies
 
 
 def meetings(tokens: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -66,48 +56,36 @@ def jaccard_pairs(sets: DataFrame, threshold: float = rules.SERVICE_SIMILARITY,
 
     Two sets above the threshold share a word among the first
     ``n - ceil(t n) + 1`` of each; sizes and positions bound the overlap that is
-    still possible, parity bits bound the difference, and only surviving pairs
-    meet the full word sets.
+    still possible, and sketches bound the difference.  Sets that may be a pair are
+    only tied together, a link each, however often they meet.  The full word sets
+    travel once, to the family that they hang together in, whose pairs are compared
+    there: what is shuffled does not grow with the pairs.  ``sets`` is read three times.
     """
     # Different sets this small cannot exceed the threshold: n/(n+1) is too low.
     smallest = threshold / (1 - threshold)
-    listed = sets.select("id", F.size("words").alias("n"), F.explode("words").alias("w")).where(F.col("n") > smallest - 1e-9) \
-        .select("id", "n", F.xxhash64("w").alias("h"))
-    counts = listed.groupBy("h").agg(F.count("*").alias("df"))
-    ordered = lookup_join(listed, counts, "h", ["id"], "inner").groupBy("id", "n").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("df", "h"))), lambda x: x["h"]).alias("hashes"))
-    prefix = F.slice("hashes", F.lit(1), F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1)
-    tokens = materialize(ordered.withColumn("bits", parity_bits("hashes")).select(
-        "id", "n", "bits.*", F.posexplode(prefix).alias("pos", "word")), "prefixes")
-
-    bits = [c for c in tokens.columns if c.startswith("bits")]
-
-    def side(df, s):
-        return df.select("place", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "pos", *bits)])
-
-    total = F.col("n_a") + F.col("n_b")
-    possible = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-    differing = sum(F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in bits)
-    left, right = meetings(tokens, block)
-    found = side(left, "a").join(side(right, "b"), "place") \
-        .where((F.col("id_a") < F.col("id_b")) & (possible > total * threshold / (1 + threshold) - 1e-9)
-               & (F.col("n_a") > F.col("n_b") * threshold) & (F.col("n_b") > F.col("n_a") * threshold)
-               & (differing < total * (1 - threshold) / (1 + threshold) + 1e-9)) \
-        .select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-    found = materialize(found, "found")
-    paired = found.select(F.col("a").alias("id")).union(found.select("b")).distinct()
-    sets = materialize(lookup_join(sets.select("id", "words"), paired, "id", ["id"], "left_semi"), "paired")
-    full = found.join(sets.select(F.col("id").alias("a"), F.col("words").alias("w_a")), "a") \
-        .join(sets.select(F.col("id").alias("b"), F.col("words").alias("w_b")), "b")
-    return full.withColumn("similarity", jaccard(F.col("w_a"), F.col("w_b"))) \
-        .where(F.col("similarity") > threshold).select("a", "b", "similarity")
+    sets = sets.where(F.size("words") > smallest - 1e-9).select("id", "words", F.xxhash64("id", "words").alias("node"))
+    hashed = sets.select("node", overlaps.hashes("words").alias("hashes"))
+    levels, listed = overlaps.word_levels(hashed)
+    parts = max(sets.sparkSession.sparkContext.defaultParallelism, math.ceil(listed * (1 - threshold) / overlaps.PART))
+    links = overlaps.prefixes(hashed, levels, threshold, block, parts).repartitionById(parts, "part") \
+        .mapInArrow(overlaps.linked(threshold), "a long, b long")
+    families = components(links).withColumnRenamed("component", "word")
+    tied = materialize(lookup_join(sets, families, "node", ["id"], "inner"), "families", compression="zstd")
+    left, right = meetings(tied, min(block, overlaps.FAMILY))
+    at = [F.col("place")[c].alias(c) for c in ("word", "i", "j")]
+    # A family of one block meets itself.
+    both = left.withColumn("side", F.lit(0)).unionByName(right.where("place.i != place.j").withColumn("side", F.lit(1))) \
+        .select(*at, "side", "id", "node", "words")
+    tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = sets.schema["id"].dataType.simpleString()
+    return both.repartition(tasks, "word", "i", "j").sortWithinPartitions("word", "i", "j") \
+        .mapInArrow(overlaps.overlapping(threshold), f"a {kind}, b {kind}, similarity double")
 
 
 def near_duplicates(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Near-duplicate texts as ``kind, a, b, similarity``: ``near`` pairs of
     representatives, and a ``copy`` link from each exact copy to its representative."""
     distinct, copies = copy_groups(texts, id_col, text_col)
-    distinct = materialize(distinct, "distinct")
     return union_all(jaccard_pairs(distinct).withColumn("kind", F.lit("near")),
                      copies.withColumn("kind", F.lit("copy")))
 
@@ -126,6 +104,6 @@ def similar_names(names: DataFrame, col: str) -> DataFrame:
     firsts = groups.groupBy("key").agg(F.min("id").alias("first"))
     same = groups.join(firsts, "key").where("id != first").select(
         F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
-    near = jaccard_pairs(groups.join(firsts.select(F.col("first").alias("id")), "id", "left_semi").select("id", "words"))
+    near = jaccard_pairs(materialize(groups.join(firsts.select(F.col("first").alias("id")), "id", "left_semi").select("id", "words"), "sets"))
     rest = union_all(same, near).join(contained.select("a", "b"), ["a", "b"], "left_anti")
     return contained.unionByName(rest)

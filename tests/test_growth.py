@@ -1,10 +1,14 @@
 """Work that must grow with the rows: tables in folders, splits of each input, expressions computed once."""
 
 import glob
+import itertools
+import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from pagequarry.operators import automaton, matching, records
+from pagequarry.operators import automaton, matching, overlaps, records
 from pagequarry.plans import extraction, maintenance
 from pagequarry.sources import files, sinks
 from pagequarry.streaming import streams
@@ -78,6 +82,77 @@ def test_pairs_shuffle_each_token_once_a_side(spark):
         assert pairs.count() == pairs.distinct().count() == 2 * 200 * 200
 
 
+def family(n, words=60, seed=3):
+    rng = random.Random(seed)
+    base = [f"w{k}" for k in range(words)]
+    return [" ".join(f"x{k}-{w}" if i in gone else w for i, w in enumerate(base)) for k in range(n) for gone in [set(rng.sample(range(words), 3))]]
+
+
+def near(texts):
+    """Pairs of representatives by brute force, each once."""
+    first = {}
+    for i, t in sorted(texts):
+        if t.split():
+            first[frozenset(t.lower().split())] = min(i, first.get(frozenset(t.lower().split()), i))
+    return sorted((min(a, b), max(a, b), round(len(x & y) / len(x | y), 9)) for (x, a), (y, b) in itertools.combinations(first.items(), 2)
+                  if a != b and len(x & y) / len(x | y) > 0.8)
+
+
+def found(spark, texts):
+    rows = matching.near_duplicates(spark.createDataFrame(texts, "id long, text string"), "id", "text").collect()
+    return sorted((r.a, r.b, round(r.similarity, 9)) for r in rows if r.kind == "near")
+
+
+def test_pairs_of_a_family_are_not_written(spark, monkeypatch):
+    texts, written, write = list(enumerate(family(150))), {}, matching.materialize
+
+    def counted(df, name, **options):
+        out = write(df, name, **options)
+        written[name] = out.count()
+        return out
+    monkeypatch.setattr(matching, "materialize", counted)
+    got = found(spark, texts)
+    assert got == near(texts) and len(got) == 150 * 149 // 2
+    assert max(written.values()) <= 150
+
+
+def test_texts_that_come_twice_are_paired_once(spark):
+    rng = random.Random(8)
+    texts = list(enumerate(family(12) + family(6, seed=5)))
+    texts += rng.sample(texts, 9) + [(None, texts[0][1]), (None, "only here " + texts[0][1]), (30, None), (31, ""), (40, texts[3][1].upper())]
+    assert found(spark, texts) == near([(i, t) for i, t in texts if i is not None and t]) != []
+
+
+@pytest.mark.parametrize("pairs, rows, block", [(7, 3, 4), (500_000, 2_000, 5_000)])
+def test_pairs_across_chunks_blocks_and_sizes_equal_brute_force(spark, monkeypatch, pairs, rows, block):
+    monkeypatch.setattr(overlaps, "PAIRS", pairs)
+    monkeypatch.setattr(overlaps, "ROWS", rows)
+    monkeypatch.setattr(overlaps, "STEPS", np.array([10, 20, *(40 << k for k in range(12))]))
+    rng = random.Random(pairs)
+    sets = []
+    for _ in range(40):
+        words = rng.sample(range(150), rng.randint(4, 60))
+        sets += [frozenset(words)] + [frozenset(words[:-rng.randint(1, 4)]) | {rng.randrange(150)} for _ in range(rng.randrange(5))]
+    texts = {f"s{i:03}": " ".join(f"w{w}" for w in s) for i, s in enumerate(set(sets))}
+    df = spark.createDataFrame([(i, t.split()) for i, t in texts.items()], "id string, words array<string>")
+    got = sorted((r.a, r.b, round(r.similarity, 9)) for r in matching.jaccard_pairs(df, 0.8, block).collect())
+    assert got == near(texts.items()) and len(got) > 20
+
+
+def test_sketches_never_differ_by_more_than_the_words():
+    rng = np.random.default_rng(4)
+    words, sets = rng.integers(0, 1 << 63, 3000).astype(np.uint64), []
+    for n in (60, 75, 85, 100, 170, 200, 400, 450, 890, 950, 1900):
+        sets += [rng.permutation(3000)[:n], np.arange(n)]
+    n = np.array([len(x) for x in sets])
+    known = overlaps.Sketches(*overlaps.sketches(words[np.concatenate(sets)], np.repeat(np.arange(len(n)), n), n))
+    for a, b in itertools.combinations(range(len(n)), 2):
+        apart = len(set(sets[a]) ^ set(sets[b]))
+        assert known.differing(np.array([a]), np.array([b]))[0] <= apart
+    same, other = np.arange(1, len(n), 2), np.arange(0, len(n), 2)
+    assert (known.differing(same[:-1], same[1:]) <= np.diff(n[same])).all() and (known.differing(same, other) > 0.25 * n[same]).all()
+
+
 def test_a_deployment_log_is_written_in_ranges_of_keys(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(maintenance, "LOG_KEYS", 100)
     paths = []
