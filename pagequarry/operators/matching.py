@@ -1,7 +1,5 @@
 """Near-duplicate texts and names, exactly."""
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,9 +63,9 @@ def jaccard_pairs(sets: DataFrame, threshold: float = rules.SERVICE_SIMILARITY,
     smallest = threshold / (1 - threshold)
     sets = sets.where(F.size("words") > smallest - 1e-9).select("id", "words", F.xxhash64("id", "words").alias("node"))
     hashed = sets.select("node", overlaps.hashes("words").alias("hashes"))
-    levels, listed = overlaps.word_levels(hashed)
-    parts = max(sets.sparkSession.sparkContext.defaultParallelism, math.ceil(listed * (1 - threshold) / overlaps.PART))
-    links = overlaps.prefixes(hashed, levels, threshold, block, parts).repartitionById(parts, "part") \
+    levels, sizes = overlaps.word_levels(hashed)
+    parts = overlaps.shares(sizes, threshold, 2 * sets.sparkSession.sparkContext.defaultParallelism)
+    links = overlaps.prefixes(hashed, levels, threshold, block, parts).repartitionById(int(parts.sum()), "part") \
         .mapInArrow(overlaps.linked(threshold), "a long, b long")
     families = components(links).withColumnRenamed("component", "word")
     tied = materialize(lookup_join(sets, families, "node", ["id"], "inner"), "families", compression="zstd")

@@ -20,8 +20,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BUCKETS, RANGES = 1 << 22, 64
 #: Sets of a family that one task pairs with each other.
 FAMILY = 2_000
-#: Prefix words that meet in one task, sets that a task takes up and pairs that it looks at at once.
-PART, ROWS, PAIRS = 1_000_000, 2_000, 500_000
+#: Prefix words that meet in one task; sets, prefix words and pairs that a task takes up at once.
+PART, ROWS, TOKENS, PAIRS = 2_500_000, 2_000, 500_000, 500_000
+#: Sizes of sets go by their doublings.
+DOUBLINGS = 32
 #: A set of more words than one of these takes a sketch of twice as many longs.
 STEPS = np.array([80, 180, 420, *(900 << k for k in range(16))])
 
@@ -71,16 +73,23 @@ def level(count):
     return np.ceil(8 * np.log2(1 + count)).astype(np.uint8)
 
 
-def word_levels(hashed: DataFrame) -> tuple[np.ndarray, int]:
-    """How frequent the words of each bucket of hashes are, as ``level`` of the sets that hold one, and the number of
-    all words.  Tasks count in their own memory and send compressed ranges of counts."""
+def doubling(n):
+    """The doubling that sizes lie in."""
+    return np.log2(np.maximum(n, 1)).astype(np.int64)
+
+
+def word_levels(hashed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """How frequent the words of each bucket of hashes are, as ``level`` of the sets that hold one, and the words
+    in sets of each doubling of size.  Tasks count in their own memory and send compressed ranges of counts."""
     width = BUCKETS // RANGES
 
     def count(batches):
-        seen = np.zeros(BUCKETS, np.int32)
+        seen, sizes = np.zeros(BUCKETS, np.int32), np.zeros(DOUBLINGS, np.int64)
         for b in batches:
-            np.add.at(seen, lists(b.column("hashes"))[0].to_numpy().view(np.uint64) & np.uint64(BUCKETS - 1), 1)
-        some = [(r, part) for r, part in enumerate(seen.reshape(RANGES, width)) if part.any()]
+            words, n = lists(b.column("hashes"))
+            np.add.at(seen, words.to_numpy().view(np.uint64) & np.uint64(BUCKETS - 1), 1)
+            np.add.at(sizes, doubling(n), n)
+        some = [(r, part) for r, part in enumerate(seen.reshape(RANGES, width)) if part.any()] + [(RANGES, sizes.view(np.int32))]
         yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in some], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for _, x in some], pa.binary())],
                                          ["range", "counts"])
 
@@ -88,15 +97,24 @@ def word_levels(hashed: DataFrame) -> tuple[np.ndarray, int]:
         seen = {}
         for b in batches:
             for r, x in zip(b.column("range").to_pylist(), b.column("counts").to_pylist()):
-                seen[r] = seen.get(r, 0) + np.frombuffer(zlib.decompress(x), np.int32).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array([level(x).tobytes() for x in seen.values()], pa.binary()),
-                                          pa.array([int(x.sum()) for x in seen.values()], pa.int64())], ["range", "levels", "n"])
+                seen[r] = seen.get(r, 0) + np.frombuffer(zlib.decompress(x), np.int32 if r < RANGES else np.int64).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array([(level(x) if r < RANGES else x).tobytes() for r, x in seen.items()], pa.binary())],
+                                         ["range", "levels"])
 
-    table = hashed.select("hashes").mapInArrow(count, "range int, counts binary").repartition("range").mapInArrow(add, "range int, levels binary, n long").toArrow()
-    levels = np.zeros((RANGES, width), np.uint8)
+    table = hashed.select("hashes").mapInArrow(count, "range int, counts binary").repartition("range").mapInArrow(add, "range int, levels binary").toArrow()
+    levels, sizes = np.zeros((RANGES, width), np.uint8), np.zeros(DOUBLINGS, np.int64)
     for r, x in zip(table["range"].to_pylist(), table["levels"].to_pylist()):
-        levels[r] = np.frombuffer(x, np.uint8)
-    return levels.ravel(), sum(table["n"].to_pylist())
+        if r < RANGES:
+            levels[r] = np.frombuffer(x, np.uint8)
+        else:
+            sizes = np.frombuffer(x, np.int64)
+    return levels.ravel(), sizes
+
+
+def shares(sizes: np.ndarray, threshold: float, tasks: int) -> np.ndarray:
+    """Parts of the prefix words of each doubling: of ``PART`` words, or fewer if there are idle tasks."""
+    words = np.ceil(sizes * (1 - threshold))
+    return np.maximum(1, np.ceil(words / max(1, min(PART, words.sum() / tasks)))).astype(np.int64)
 
 
 def sketches(h, row, n):
@@ -112,13 +130,17 @@ def sketches(h, row, n):
     return out, longs
 
 
-def prefixes(hashed: DataFrame, levels, threshold: float, block: int, parts: int) -> DataFrame:
+def prefixes(hashed: DataFrame, levels, threshold: float, block: int, parts: np.ndarray) -> DataFrame:
     """The rarest words of each set that a set above the threshold must share one of, one row a set and part.
 
     ``words`` are hashes, each mixed with the block of its word where a word has more than ``block`` sets, and ``at``
     their places in the set.  A word of one set meets none and stays out, but counts for the places.
+
+    Sets of each doubling of size have ``parts`` of their own, so that many words of a large set, whose sketch is
+    large, meet in one.  A set goes to its doubling and to those of the smaller sets that it may be a pair with.
     """
     sent = hashed.sparkSession.sparkContext.broadcast(levels)
+    before = starts(parts)
     blocks = np.maximum(1, np.ceil((2 ** (np.arange(256) / 8) - 1) / block)).astype(np.int64)
 
     def run(batches):
@@ -140,7 +162,12 @@ def prefixes(hashed: DataFrame, levels, threshold: float, block: int, parts: int
         own = (mix(node.view(np.uint64))[row] % times.astype(np.uint64)).astype(np.int64)
         pair = (np.minimum(own, other) << 32) + np.maximum(own, other) + 1
         place = np.where(times > 1, mix(place ^ mix(pair.astype(np.uint64))), place)
-        part = (mix(place) % np.uint64(parts)).astype(np.int64)
+        least, most = doubling(np.ceil(n * threshold - 1e-9)), doubling(n)
+        times = (most - least + 1)[row]
+        double = least[np.repeat(row, times)] + within(times)
+        place, row, at = (np.repeat(x, times) for x in (mix(place), row, at))
+        part = before[double] + (place % parts[double].astype(np.uint64)).astype(np.int64)
+        place = (place >> np.uint64(32)).astype(np.uint32)  # two words alike in these bits only meet more sets
         order = np.lexsort((part, row))
         place, row, at, part = place[order], row[order], at[order], part[order]
         first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (part[1:] != part[:-1])])) if len(row) else np.zeros(0, np.int64)
@@ -229,18 +256,22 @@ def linked(threshold: float):
         column = {c: pa.concat_arrays([b.column(c) for b in read]) for c in read[0].schema.names}
         del read
         node, size = column["node"].to_numpy(), column["n"].to_numpy().astype(np.int64)
-        (place, count), (pos, _) = unblob(column["words"], np.uint64), unblob(column["at"], np.int32)
+        (words, count), (places, _) = unblob(column["words"], np.uint32), unblob(column["at"], np.int32)
         known = Sketches(*unblob(column["bits"], np.uint64))
-        row = np.repeat(np.arange(len(node)), count)
-        order = np.lexsort((size[row], place))
-        place, row, pos = place[order], row[order], pos[order].astype(np.int64)
-        label = np.arange(len(node))
-        for a, b in pairs(place, size[row], pos):
-            a, b = row[a], row[b]
-            new = label[a] != label[b]
-            a, b = np.divmod(np.unique(a[new] * len(node) + b[new]), len(node))
-            good = known.differing(a, b) < (size[a] + size[b]) * apart + 1e-9
-            tie(label, a[good], b[good])
+        rows, label = np.repeat(np.arange(len(node), dtype=np.int32), count), np.arange(len(node))
+        cuts = np.uint32(len(words) // TOKENS + 1)
+        for cut in range(int(cuts)):
+            mine = np.flatnonzero(words % cuts == cut)
+            if not len(mine):
+                continue
+            mine = mine[np.lexsort((size[rows[mine]], words[mine]))]
+            row = rows[mine].astype(np.int64)
+            for a, b in pairs(words[mine], size[row], places[mine].astype(np.int64)):
+                a, b = row[a], row[b]
+                new = label[a] != label[b]
+                a, b = np.divmod(np.unique(a[new] * len(node) + b[new]), len(node))
+                good = known.differing(a, b) < (size[a] + size[b]) * apart + 1e-9
+                tie(label, a[good], b[good])
         tied = np.flatnonzero(node != node[label])
         yield pa.RecordBatch.from_arrays([pa.array(node[tied]), pa.array(node[label[tied]])], ["a", "b"])
     return run

@@ -127,6 +127,7 @@ def test_texts_that_come_twice_are_paired_once(spark):
 def test_pairs_across_chunks_blocks_and_sizes_equal_brute_force(spark, monkeypatch, pairs, rows, block):
     monkeypatch.setattr(overlaps, "PAIRS", pairs)
     monkeypatch.setattr(overlaps, "ROWS", rows)
+    monkeypatch.setattr(overlaps, "TOKENS", pairs)
     monkeypatch.setattr(overlaps, "STEPS", np.array([10, 20, *(40 << k for k in range(12))]))
     rng = random.Random(pairs)
     sets = []
